@@ -43,10 +43,10 @@ def _needed_ranks(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
     return out
 
 
-def _count_pass(df: DataFrame, brackets: list[_Bracket]) -> None:
+def _count_pass(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> None:
     exprs = []
     for i, b in enumerate(brackets):
-        c = F.col(b.col).cast("double")
+        c = ex[b.col]
         exprs.append(F.count_if(c < F.lit(b.lo)).alias(f"b{i}"))
         exprs.append(F.count_if(c.between(F.lit(b.lo), F.lit(b.hi))).alias(f"i{i}"))
     row = df.agg(*exprs).first()
@@ -66,12 +66,12 @@ def _merge(brackets: list[_Bracket]) -> list[_Bracket]:
     return out
 
 
-def _select_ranks(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+def _select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> dict[tuple[str, int], float]:
     """Values at the requested ranks; each bracket holds at most ``limit`` rows,
     so the window partitions below are bounded."""
     structs = [
-        F.when(F.col(b.col).cast("double").between(F.lit(b.lo), F.lit(b.hi)),
-               F.struct(F.lit(i).alias("bid"), F.col(b.col).cast("double").alias("v")))
+        F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)),
+               F.struct(F.lit(i).alias("bid"), ex[b.col].alias("v")))
         for i, b in enumerate(brackets)
     ]
     cand = df.select(F.explode(F.array_compact(F.array(*structs))).alias("s")).select("s.bid", "s.v")
@@ -88,19 +88,31 @@ def _select_ranks(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, in
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = 200_000,
+def _exprs(cols) -> dict[str, Column]:
+    if isinstance(cols, dict):
+        return {k: v.cast("double") for k, v in cols.items()}
+    return {c: F.col(c).cast("double") for c in cols}
+
+
+def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 200_000,
                     grid: int = 1000, accuracy: int = 10_000, max_iter: int = 8) -> dict[str, list]:
     """Exact linear-interpolated quantiles of each column in ``cols``.
 
-    Returns ``{col: [q(p) for p in probs]}`` (``None`` for an all-NULL column).
+    ``cols`` is a list of column names or a ``{name: Column}`` dict (e.g.
+    ``when(class == k, x)`` for per-class quantiles over a known class set).
+    Returns ``{name: [q(p) for p in probs]}`` (``None`` for an all-NULL input).
     NULLs are ignored, like every engine's quantile aggregate.
     """
     if not cols:
         return {}
-    stats = df.agg(*[e for c in cols for e in (
-        F.count(F.col(c)).alias(f"n_{c}"),
-        F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-        F.max(F.col(c).cast("double")).alias(f"hi_{c}"))]).first()
+    ex = _exprs(cols)
+    cols = list(ex)
+    names = {c: f"c{i}" for i, c in enumerate(cols)}
+    row = df.agg(*[e for c in cols for e in (
+        F.count(ex[c]).alias(f"n_{names[c]}"),
+        F.min(ex[c]).alias(f"lo_{names[c]}"),
+        F.max(ex[c]).alias(f"hi_{names[c]}"))]).first()
+    stats = {f"{k}_{c}": row[f"{k}_{names[c]}"] for c in cols for k in ("n", "lo", "hi")}
     plans: dict[str, list[tuple[int, int, float]]] = {}
     brackets: list[_Bracket] = []
     for c in cols:
@@ -119,8 +131,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: i
             break
         sketches = df.agg(*[
             F.percentile_approx(
-                F.when(F.col(b.col).cast("double").between(F.lit(b.lo), F.lit(b.hi)),
-                       F.col(b.col).cast("double")), fracs, accuracy).alias(f"g{i}")
+                F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)), ex[b.col]),
+                fracs, accuracy).alias(f"g{i}")
             for i, b in enumerate(big)]).first()
         refined: list[_Bracket] = [b for b in brackets if b.inside <= limit]
         for i, b in enumerate(big):
@@ -135,7 +147,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: i
                 subs.append(_Bracket(b.col, lo, hi, 0, 0, {r}))
             refined.extend(_merge(subs))
         brackets = _merge(refined)
-        _count_pass(df, brackets)
+        _count_pass(df, brackets, ex)
         # a sketch outside its error bound would leave a rank outside its
         # bracket: widen that side to the column bound and count again.
         bad = False
@@ -147,9 +159,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: i
                     b.hi, bad = float(stats[f"hi_{b.col}"]), True
         if bad:
             brackets = _merge(brackets)
-            _count_pass(df, brackets)
+            _count_pass(df, brackets, ex)
 
-    values = _select_ranks(df, brackets) if brackets else {}
+    values = _select_ranks(df, brackets, ex) if brackets else {}
     out: dict[str, list] = {}
     for c in cols:
         if c not in plans:
@@ -163,12 +175,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: i
     return out
 
 
-def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+def approx_quantiles(df: DataFrame, cols, probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list]:
     """One-pass ``percentile_approx`` (rank error <= n / accuracy)."""
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c)
-                   for c in cols]).first()
-    return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
+    ex = _exprs(cols)
+    row = df.agg(*[F.percentile_approx(e, probs, accuracy).alias(f"c{i}")
+                   for i, e in enumerate(ex.values())]).first()
+    return {c: (list(row[f"c{i}"]) if row[f"c{i}"] is not None else [None] * len(probs))
+            for i, c in enumerate(ex)}
 
 
 def qcut_edges(df: DataFrame, cols: list[str], q: int = 5, method: str = "exact") -> dict[str, list]:

@@ -67,8 +67,11 @@ def _lit(v):
 
 
 def round_half_even(col, digits: int) -> Column:
-    """PR15 / S5: numpy-style half-even rounding."""
-    return F.bround(_c(col), digits)
+    """PR15 / S5: numpy's rounding, rint(x * 10^d) / 10^d (half-even on the
+    binary value). ``bround`` rounds the shortest decimal string instead and
+    differs on values like 2469.885."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(_c(col).cast("double") * scale) / scale
 
 
 def safe_log(col) -> Column:

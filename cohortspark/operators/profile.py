@@ -184,7 +184,9 @@ def group_median_iqr(df: DataFrame, cols: list[str], by: str, classes: list, ove
 
 def median_iqr_text(med: Column, q1: Column, q3: Column) -> Column:
     """FN7: 'm (a–b)' with one decimal."""
-    return F.format_string("%.1f (%.1f–%.1f)", F.bround(med, 1), F.bround(q1, 1), F.bround(q3, 1))
+    from cohortspark.functions.columns import round_half_even
+    return F.format_string("%.1f (%.1f–%.1f)", round_half_even(med, 1), round_half_even(q1, 1),
+                           round_half_even(q3, 1))
 
 
 def crosstab(df: DataFrame, a: str, b: str, margin: str = "All") -> DataFrame:

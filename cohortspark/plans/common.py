@@ -19,9 +19,10 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
-    """Half-even rounding (S5); matches DuckDB ``round_even``."""
+    """numpy-style half-even rounding (S5); equals DuckDB ``round_even``."""
+    from cohortspark.functions.columns import round_half_even
     col = F.col(c) if isinstance(c, str) else c
-    return F.bround(col.cast("double"), digits)
+    return round_half_even(col, digits)
 
 
 def lineitem_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,5 +31,5 @@ def register(name: str, ids: str, sql: str | None = None):
 
 def load_all() -> dict[str, Registered]:
     # importing the topic modules fills REGISTRY
-    from cohortspark.plans import q_audit, q_entropy, q_impute, q_metrics, q_prep, q_profile  # noqa: F401
+    from cohortspark.plans import q_audit, q_cluster, q_entropy, q_impute, q_metrics, q_prep, q_profile  # noqa: F401
     return REGISTRY

@@ -91,16 +91,20 @@ ENGINEERED = ["metabolic_proxy", "ldl_hdl_ratio", "tc_hdl_ratio", "trig_hdl_rati
               "bmi_hdl", "log_lap", "log_metabolic", "log_vai", "wc_trig", "bmi_wc_hdl"]
 
 
+def interaction_names(cols: list[str], degree: int = 2) -> list[tuple[str, ...]]:
+    """Column combinations of size 2..degree, in itertools order."""
+    return [combo for k in range(2, degree + 1) for combo in combinations(cols, k)]
+
+
 def interaction_terms(cols: list[str], degree: int = 2) -> dict[str, Column]:
     """FE10: interaction-only products of 2..degree distinct columns (no
     squares, unlike PolynomialExpansion); names join inputs with '*'."""
     out = {}
-    for k in range(2, degree + 1):
-        for combo in combinations(cols, k):
-            e = F.col(combo[0]).cast("double")
-            for c in combo[1:]:
-                e = e * F.col(c).cast("double")
-            out["*".join(combo)] = e
+    for combo in interaction_names(cols, degree):
+        e = F.col(combo[0]).cast("double")
+        for c in combo[1:]:
+            e = e * F.col(c).cast("double")
+        out["*".join(combo)] = e
     return out
 
 

@@ -169,7 +169,7 @@ _INTER = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("interactions", "FE10", sql="SELECT " + _KEYS + ", " + ", ".join(
-    f"round_even({' * '.join(k.split('*'))}, 6) AS \"{k}\"" for k in fe.interaction_terms(_INTER, 3)) + " FROM lineitem")
+    f"round_even({' * '.join(k)}, 6) AS \"{'*'.join(k)}\"" for k in fe.interaction_names(_INTER, 3)) + " FROM lineitem")
 def interactions(spark, d):
     terms = fe.interaction_terms(_INTER, 3)
     return t(spark, d, "lineitem").select(*LI_KEY, *[r6(v).alias(k) for k, v in terms.items()])

@@ -5,7 +5,8 @@ merges it in one task, so a global exact quantile of a high-cardinality
 column would pull the whole column into one task. ``exact_quantiles`` instead
 narrows a value bracket around each needed rank with bounded
 ``percentile_approx`` sketches and counting passes, and only sorts the last
-small bracket (at most ``limit`` rows per bracket) with a window. Every pass is
+small bracket (at most ``limit`` rows per bracket; ties are counted, not
+sorted) with a window over its distinct values. Every pass is
 one distributed aggregation over the pruned columns; only a few numbers per
 column reach the driver.
 
@@ -67,24 +68,40 @@ def _merge(brackets: list[_Bracket]) -> list[_Bracket]:
 
 
 def _select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> dict[tuple[str, int], float]:
-    """Values at the requested ranks; each bracket holds at most ``limit`` rows,
-    so the window partitions below are bounded."""
+    """Values at the requested ranks.
+
+    A bracket holding a single value answers directly. Otherwise the bracket
+    rows are counted per distinct value (partial aggregation, so ties cost
+    nothing) and a running count over the distinct values of each bracket
+    (at most ``limit`` of them) locates every rank."""
+    out: dict[tuple[str, int], float] = {}
+    todo = []
+    for b in brackets:
+        if b.lo == b.hi:
+            for r in b.ranks:
+                out[(b.col, r)] = b.lo
+        else:
+            todo.append(b)
+    if not todo:
+        return out
     structs = [
         F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)),
                F.struct(F.lit(i).alias("bid"), ex[b.col].alias("v")))
-        for i, b in enumerate(brackets)
+        for i, b in enumerate(todo)
     ]
     cand = df.select(F.explode(F.array_compact(F.array(*structs))).alias("s")).select("s.bid", "s.v")
-    wanted = [(i, r - b.below + 1) for i, b in enumerate(brackets) for r in b.ranks]
+    counts = cand.groupBy("bid", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("cum", F.sum("n").over(w))
+    wanted = [(i, r - b.below + 1) for i, b in enumerate(todo) for r in b.ranks]
     cond = F.lit(False)
     for i, pos in wanted:
-        cond = cond | ((F.col("bid") == i) & (F.col("pos") == pos))
-    ranked = cand.withColumn("pos", F.row_number().over(Window.partitionBy("bid").orderBy("v")))
-    got = {(int(r["bid"]), int(r["pos"])): float(r["v"]) for r in ranked.where(cond).collect()}
-    out = {}
-    for i, b in enumerate(brackets):
+        cond = cond | ((F.col("bid") == i) & (F.col("cum") >= pos) & (F.col("cum") - F.col("n") < pos))
+    hits = [(int(r["bid"]), int(r["cum"]), int(r["n"]), float(r["v"])) for r in counts.where(cond).collect()]
+    for i, b in enumerate(todo):
         for r in b.ranks:
-            out[(b.col, r)] = got[(i, r - b.below + 1)]
+            pos = r - b.below + 1
+            out[(b.col, r)] = next(v for bid, cum, n, v in hits if bid == i and cum >= pos and cum - n < pos)
     return out
 
 
@@ -94,72 +111,99 @@ def _exprs(cols) -> dict[str, Column]:
     return {c: F.col(c).cast("double") for c in cols}
 
 
-def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 200_000,
-                    grid: int = 1000, accuracy: int = 10_000, max_iter: int = 8) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_000,
+                    accuracy: int = 10_000, small: int = 50_000, max_iter: int = 8) -> dict[str, list]:
     """Exact linear-interpolated quantiles of each column in ``cols``.
 
     ``cols`` is a list of column names or a ``{name: Column}`` dict (e.g.
     ``when(class == k, x)`` for per-class quantiles over a known class set).
     Returns ``{name: [q(p) for p in probs]}`` (``None`` for an all-NULL input).
     NULLs are ignored, like every engine's quantile aggregate.
+
+    Pass 1 computes count / min / max and a bounded sketch at p +- margin;
+    pass 2 counts the rows below and inside each bracket (widening a bracket
+    whose sketch missed); further sketch passes run only while a bracket holds
+    more than ``limit`` rows; the last pass ranks the few bracket rows with a
+    window. Columns with at most ``small`` values skip straight to ranking.
     """
     if not cols:
         return {}
     ex = _exprs(cols)
     cols = list(ex)
     names = {c: f"c{i}" for i, c in enumerate(cols)}
+    margin = 2.0 / accuracy
+    fr = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     row = df.agg(*[e for c in cols for e in (
         F.count(ex[c]).alias(f"n_{names[c]}"),
         F.min(ex[c]).alias(f"lo_{names[c]}"),
-        F.max(ex[c]).alias(f"hi_{names[c]}"))]).first()
-    stats = {f"{k}_{c}": row[f"{k}_{names[c]}"] for c in cols for k in ("n", "lo", "hi")}
+        F.max(ex[c]).alias(f"hi_{names[c]}"),
+        F.percentile_approx(ex[c], fr, accuracy).alias(f"g_{names[c]}"))]).first()
+    stats = {f"{k}_{c}": row[f"{k}_{names[c]}"] for c in cols for k in ("n", "lo", "hi", "g")}
     plans: dict[str, list[tuple[int, int, float]]] = {}
     brackets: list[_Bracket] = []
+    need_count = False
     for c in cols:
         n = int(stats[f"n_{c}"])
         if n == 0:
             continue
         plans[c] = _needed_ranks(n, probs)
-        ranks = {r for r0, r1, _ in plans[c] for r in (r0, r1)}
-        brackets.append(_Bracket(c, float(stats[f"lo_{c}"]), float(stats[f"hi_{c}"]), 0, n, ranks))
+        lo_c, hi_c = float(stats[f"lo_{c}"]), float(stats[f"hi_{c}"])
+        if n <= small:
+            ranks = {r for r0, r1, _ in plans[c] for r in (r0, r1)}
+            brackets.append(_Bracket(c, lo_c, hi_c, 0, n, ranks))
+            continue
+        g = stats[f"g_{c}"]
+        subs = []
+        for p, (r0, r1, _) in zip(probs, plans[c]):
+            a, b = max(0.0, p - margin), min(1.0, p + margin)
+            lo = lo_c if a <= 0.0 else float(g[fr.index(a)])
+            hi = hi_c if b >= 1.0 else float(g[fr.index(b)])
+            subs.append(_Bracket(c, lo, hi, 0, 0, {r0, r1}))
+        brackets.extend(_merge(subs))
+        need_count = True
+    brackets = _merge_keep(brackets)
 
-    fracs = [j / grid for j in range(grid + 1)]
-    margin = 2.0 / accuracy + 1.0 / grid
+    def count_and_widen():
+        _count_pass(df, brackets, ex)
+        bad = False
+        for b in brackets:
+            for r in b.ranks:
+                if r < b.below:
+                    b.lo, bad = float(stats[f"lo_{b.col}"]), True
+                if r >= b.below + b.inside:
+                    b.hi, bad = float(stats[f"hi_{b.col}"]), True
+        return bad
+
+    if need_count and count_and_widen():
+        brackets = _merge(brackets)
+        count_and_widen()
     for _ in range(max_iter):
-        big = [b for b in brackets if b.inside > limit]
+        big = [b for b in brackets if b.inside > limit and b.lo < b.hi]
         if not big:
             break
+        targets = []
+        for b in big:
+            pos = sorted({min(1.0, max(0.0, (r - b.below) / max(b.inside - 1, 1) + s * margin))
+                          for r in b.ranks for s in (-1, 1)})
+            targets.append(pos)
         sketches = df.agg(*[
-            F.percentile_approx(
-                F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)), ex[b.col]),
-                fracs, accuracy).alias(f"g{i}")
-            for i, b in enumerate(big)]).first()
-        refined: list[_Bracket] = [b for b in brackets if b.inside <= limit]
-        for i, b in enumerate(big):
+            F.percentile_approx(F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)), ex[b.col]), pos, accuracy)
+            .alias(f"g{i}") for i, (b, pos) in enumerate(zip(big, targets))]).first()
+        refined: list[_Bracket] = [b for b in brackets if not (b.inside > limit and b.lo < b.hi)]
+        for i, (b, pos) in enumerate(zip(big, targets)):
             g = sketches[f"g{i}"]
             subs = []
             for r in b.ranks:
-                pos = (r - b.below) / max(b.inside - 1, 1)
-                lo_idx = int(math.floor((pos - margin) * grid))
-                hi_idx = int(math.ceil((pos + margin) * grid))
-                lo = b.lo if lo_idx <= 0 else float(g[lo_idx])
-                hi = b.hi if hi_idx >= grid else float(g[hi_idx])
+                f = (r - b.below) / max(b.inside - 1, 1)
+                a, z = min(1.0, max(0.0, f - margin)), min(1.0, max(0.0, f + margin))
+                lo = b.lo if a <= 0.0 else float(g[pos.index(a)])
+                hi = b.hi if z >= 1.0 else float(g[pos.index(z)])
                 subs.append(_Bracket(b.col, lo, hi, 0, 0, {r}))
             refined.extend(_merge(subs))
         brackets = _merge(refined)
-        _count_pass(df, brackets, ex)
-        # a sketch outside its error bound would leave a rank outside its
-        # bracket: widen that side to the column bound and count again.
-        bad = False
-        for b in brackets:
-            for r in b.ranks:
-                if r < b.below:
-                    b.lo, bad = float(stats[f"lo_{b.col}"]), True
-                if r >= b.below + b.inside:
-                    b.hi, bad = float(stats[f"hi_{b.col}"]), True
-        if bad:
+        if count_and_widen():
             brackets = _merge(brackets)
-            _count_pass(df, brackets, ex)
+            count_and_widen()
 
     values = _select_ranks(df, brackets, ex) if brackets else {}
     out: dict[str, list] = {}
@@ -175,6 +219,18 @@ def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 200_00
     return out
 
 
+def _merge_keep(brackets: list[_Bracket]) -> list[_Bracket]:
+    """Like ``_merge`` but keeps counts of brackets that need no recount."""
+    out: list[_Bracket] = []
+    for b in sorted(brackets, key=lambda x: (x.col, x.lo, x.hi)):
+        if out and out[-1].col == b.col and b.lo <= out[-1].hi:
+            out[-1].hi = max(out[-1].hi, b.hi)
+            out[-1].ranks |= b.ranks
+        else:
+            out.append(_Bracket(b.col, b.lo, b.hi, b.below, b.inside, set(b.ranks)))
+    return out
+
+
 def approx_quantiles(df: DataFrame, cols, probs: list[float],
                      accuracy: int = 10_000) -> dict[str, list]:
     """One-pass ``percentile_approx`` (rank error <= n / accuracy)."""

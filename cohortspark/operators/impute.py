@@ -48,6 +48,7 @@ def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str], k
     weight; a row with no usable donor gets the column mean. ``grid`` columns
     must be complete (they bound the search)."""
     targets = targets or [c for c in feats if c not in grid]
+    df = df.cache()  # read once per target column and per search round
     out = df
     means = df.agg(*[F.avg(F.col(c)).alias(c) for c in targets]).first()
     for c in targets:

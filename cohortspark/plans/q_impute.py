@@ -92,7 +92,7 @@ f_{c} AS (SELECT qk, sum(w * dv) / sum(w) AS v FROM (SELECT qk, dv, CASE WHEN ma
 @register("knn_fill", "IM4 S16 JN3 JN4", sql=_knn_fill_sql(["s_acctbal", "avg_qty"]))
 def knn_fill(spark, d):
     prof = supplier_profile(spark, d)
-    x = im.knn_fill(prof, ["s_suppkey"], _PROFILE_FEATS, grid=["avg_disc", "n_lines"], k=5,
+    x = im.knn_fill(prof, ["s_suppkey"], _PROFILE_FEATS, grid=["avg_price", "n_lines"], k=5,
                     targets=["s_acctbal", "avg_qty"], occupancy=8)
     return x.select("s_suppkey", r6("s_acctbal").alias("s_acctbal"), r6("avg_qty").alias("avg_qty"))
 

@@ -83,11 +83,22 @@ def feature_entropies(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def row_entropy(cols: list[str]) -> Column:
     """EN6: entropy of one row's positive values normalised to sum 1;
-    0 when no value is positive (array higher-order functions, no UDF)."""
-    arr = F.filter(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x > 0)
-    total = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    h = F.aggregate(arr, F.lit(0.0), lambda a, x: a - (x / total) * F.log2(x / total))
-    return F.when(F.size(arr) > 0, h).otherwise(F.lit(0.0))
+    0 when no value is positive. The column list is known when the plan is
+    built, so the sums are written out term by term (left to right): plain
+    arithmetic that whole-stage codegen compiles, unlike array lambdas."""
+    xs = [F.col(c).cast("double") for c in cols]
+    pos = [F.when(x > 0, x).otherwise(F.lit(0.0)) for x in xs]
+    total = pos[0]
+    for x in pos[1:]:
+        total = total + x
+    terms = [F.when(x > 0, -(x / total) * F.log2(x / total)).otherwise(F.lit(0.0)) for x in xs]
+    h = F.lit(0.0)
+    for term in terms:
+        h = h + term
+    any_pos = xs[0] > 0
+    for x in xs[1:]:
+        any_pos = any_pos | (x > 0)
+    return F.when(F.coalesce(any_pos, F.lit(False)), h).otherwise(F.lit(0.0))
 
 
 def binned_features(df: DataFrame, target: str, numeric: list[str], categorical: list[str],

@@ -103,29 +103,67 @@ def _poisson_cuts(kmax: int = 12) -> list[int]:
 POISSON_CUTS = _poisson_cuts()
 
 
-def bootstrap_weight(key: list[str], replicate: Column, seed: int = 42) -> Column:
-    """Poisson(1) weight of a row in one bootstrap replicate, from md5 of
-    (seed, replicate, key) — the scalable equivalent of drawing n rows with
-    replacement (equal in expectation)."""
-    txt = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), *[F.col(k).cast("string") for k in key])
-    u = F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("bigint")
+# Integer mixing for per-replicate uniforms: all arithmetic stays below 2^62,
+# so Spark and DuckDB compute identical values (no overflow, no floats).
+MIX_P = 2147483647  # 2^31 - 1
+MIX_G, MIX_A, MIX_C1, MIX_C2 = 1000003, 48271, 12345, 67890
+
+
+def _mix(x: Column) -> Column:
+    p = F.lit(MIX_P)
+    x = (x * x + F.lit(MIX_C1)) % p
+    x = (x * F.lit(MIX_A) + F.lit(MIX_C2)) % p
+    return (x * x + F.lit(MIX_C1)) % p
+
+
+def bootstrap_weight(key: list[str], replicate: Column, seed: int = 42, base: Column | None = None) -> Column:
+    """Poisson(1) weight of a row in one bootstrap replicate — the scalable
+    equivalent of drawing n rows with replacement (equal in expectation).
+    One md5 per row gives a base value; each replicate mixes (base + r*G)
+    with integer squaring / multiplication mod 2^31-1 into a uniform in
+    [0, 2^31-1), compared with the Poisson CDF thresholds."""
+    if base is None:
+        base = hash60(key, seed, "boot") % F.lit(MIX_P)
+    u = _mix((base + replicate.cast("bigint") * F.lit(MIX_G)) % F.lit(MIX_P))
     w = F.lit(0)
-    for c in POISSON_CUTS:
+    for c in POISSON_CUTS_P:
         w = w + (u >= F.lit(c)).cast("int")
     return w
 
 
+def _poisson_cuts_p(kmax: int = 12) -> list[int]:
+    cdf, p, cuts = 0.0, math.exp(-1.0), []
+    for k in range(kmax):
+        cdf += p
+        cuts.append(int(cdf * MIX_P))
+        p = p / (k + 1)
+    return cuts
+
+
+POISSON_CUTS_P = _poisson_cuts_p()
+
+
 def bootstrap_accuracy(df: DataFrame, key: list[str], label: str, pred: str, replicates: int = 100,
                        seed: int = 42) -> DataFrame:
-    """SP6: per-replicate weighted accuracy. Replicates are generated inside
-    the scan pipeline (``explode(sequence)``) and consumed by a partial
-    aggregate, so only replicates x partitions partial rows are shuffled."""
-    rep = df.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"),
-                    *[F.col(k) for k in key], F.col(label), F.col(pred))
-    w = bootstrap_weight(key, F.col("replicate"), seed)
-    return rep.groupBy("replicate").agg(
-        (F.sum(w * (F.col(label) == F.col(pred)).cast("int")) / F.sum(w)).alias("accuracy"),
-        F.sum(w).alias("n_drawn"))
+    """SP6: per-replicate weighted accuracy. The md5 base is computed once per
+    row BEFORE the replicates are generated (``explode(sequence)``); each
+    mixing step is its own projection so the weight expression is not
+    re-inlined; a partial aggregate consumes the replicates inside the scan
+    pipeline, so only replicates x partitions rows are shuffled."""
+    p = F.lit(MIX_P)
+    base = df.select((hash60(key, seed, "boot") % p).alias("__b"),
+                     (F.col(label) == F.col(pred)).cast("int").alias("__ok"))
+    rep = base.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "__b", "__ok")
+    x = rep.select("replicate", "__ok", ((F.col("__b") + F.col("replicate").cast("bigint") * F.lit(MIX_G)) % p).alias("__x"))
+    x = x.select("replicate", "__ok", ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__x"))
+    x = x.select("replicate", "__ok", ((F.col("__x") * F.lit(MIX_A) + F.lit(MIX_C2)) % p).alias("__x"))
+    x = x.select("replicate", "__ok", ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__u"))
+    w = F.lit(0)
+    for c in POISSON_CUTS_P:
+        w = w + (F.col("__u") >= F.lit(c)).cast("int")
+    x = x.select("replicate", "__ok", w.alias("__w"))
+    return x.groupBy("replicate").agg((F.sum(F.col("__w") * F.col("__ok")) / F.sum("__w")).alias("accuracy"),
+                                      F.sum("__w").alias("n_drawn"))
 
 
 def bootstrap_summary(reps: DataFrame, col: str = "accuracy") -> DataFrame:

@@ -80,13 +80,16 @@ def _rule_pred():
 
 
 def _boot_sql(reps=100):
-    key = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in LI_KEY)
-    u = f"('0x' || substr(md5('42:' || CAST(r AS VARCHAR) || ':' || {key}), 1, 8))::BIGINT"
-    w = " + ".join(f"({u} >= {c})::INTEGER" for c in sp.POISSON_CUTS)
+    base = f"({sp.hash60_sql(LI_KEY, salt='boot')} % {sp.MIX_P})"
+    x0 = f"(({base} + r * {sp.MIX_G}) % {sp.MIX_P})"
+    m1 = f"(({x0} * {x0} + {sp.MIX_C1}) % {sp.MIX_P})"
+    m2 = f"(({m1} * {sp.MIX_A} + {sp.MIX_C2}) % {sp.MIX_P})"
+    u = f"(({m2} * {m2} + {sp.MIX_C1}) % {sp.MIX_P})"
+    w = " + ".join(f"(u >= {c})::INTEGER" for c in sp.POISSON_CUTS_P)
     return f"""
 WITH test AS (SELECT *, {_RULE_PRED} AS pred FROM lineitem WHERE {_split_sql(H_LI, [C70], ['train', 'test'])} = 'test'),
-x AS (SELECT r, l_returnflag = pred AS ok, {w} AS w FROM test, range(1, {reps + 1}) g(r)),
-reps AS (SELECT r, sum(w * ok::INTEGER) / sum(w) AS acc FROM x GROUP BY r)
+x AS (SELECT r, l_returnflag = pred AS ok, {u} AS u FROM test, range(1, {reps + 1}) g(r)),
+reps AS (SELECT r, sum(({w}) * ok::INTEGER) / sum({w}) AS acc FROM x GROUP BY r)
 SELECT round_even(avg(acc), 6) AS mean, round_even(stddev_pop(acc), 6) AS std,
        round_even(quantile_cont(acc, 0.025), 6) AS ci_low, round_even(quantile_cont(acc, 0.975), 6) AS ci_high,
        count(*) AS replicates FROM reps"""

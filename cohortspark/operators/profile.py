@@ -124,9 +124,18 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
 
 
 def class_quantiles(df: DataFrame, cols: list[str], by: str, classes: list, probs) -> dict:
-    """Exact quantiles of each column within each class of a small, known class set."""
-    exprs = {f"{c}\u0001{k}": F.when(F.col(by) == F.lit(k), F.col(c)) for c in cols for k in classes}
-    return exact_quantiles(df, exprs, list(probs))
+    """Exact quantiles of each column within each class: the columns are
+    unpivoted with the class kept, keyed 'column\x01class', and ranked by
+    ``grouped_quantiles``. Returns every requested (column, class) key."""
+    from cohortspark.operators.quantiles import WIDE_MAX, grouped_quantiles
+    if len(cols) * len(classes) <= WIDE_MAX:
+        return exact_quantiles(df, {f"{c}\u0001{k}": F.when(F.col(by) == F.lit(k), F.col(c))
+                                    for c in cols for k in classes}, list(probs))
+    long = df.select(F.col(by).cast("string").alias("__cls"), *[F.col(c).cast("double").alias(c) for c in cols]) \
+        .unpivot(["__cls"], cols, "__col", "__v").where(F.col("__v").isNotNull() & F.col("__cls").isNotNull())
+    long = long.select(F.concat_ws("\u0001", "__col", "__cls").alias("__g"), "__v")
+    res = grouped_quantiles(long, list(probs))
+    return {f"{c}\u0001{k}": res.get(f"{c}\u0001{k}", [None] * len(probs)) for c in cols for k in classes}
 
 
 def box_stats(df: DataFrame, cols: list[str], by: str, classes: list) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Spark's ``percentile`` aggregate keeps a value -> count map per group and
 merges it in one task, so a global exact quantile of a high-cardinality
-column would pull the whole column into one task. ``exact_quantiles`` instead
-narrows a value bracket around each needed rank with bounded
-``percentile_approx`` sketches and counting passes, and only sorts the last
-small bracket (at most ``limit`` rows per bracket; ties are counted, not
-sorted) with a window over its distinct values. Every pass is
-one distributed aggregation over the pruned columns; only a few numbers per
-column reach the driver.
+column would pull the whole column into one task. ``grouped_quantiles``
+instead narrows a value bracket around each needed rank with bounded
+``percentile_approx`` sketches and counting passes over a long
+(group, value) frame, and only ranks the last small bracket (at most
+``limit`` rows; ties are counted, not sorted) with a window over its distinct
+values. Every pass is a short grouped aggregation (code-generated) plus a
+broadcast join against the bracket table (groups x probabilities rows); only
+a few numbers per group reach the driver.
 
 Linear interpolation follows ``v[lo] + (v[hi] - v[lo]) * frac`` with
 ``h = (n - 1) * p`` (pandas / DuckDB ``quantile_cont`` / Spark ``percentile``).
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class _Bracket:
-    col: str
+    key: str
     lo: float
     hi: float
-    below: int  # rows with value < lo
-    inside: int  # rows with lo <= value <= hi
+    below: int  # rows of the group with value < lo
+    inside: int  # rows of the group with lo <= value <= hi
     ranks: set[int] = field(default_factory=set)
 
 
@@ -44,10 +45,100 @@ def _needed_ranks(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
     return out
 
 
-def _count_pass(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> None:
+def _merge(brackets: list[_Bracket], keep_counts: bool = False) -> list[_Bracket]:
+    """Union overlapping brackets of the same group (a row then belongs to at
+    most one bracket of its group)."""
+    out: list[_Bracket] = []
+    for b in sorted(brackets, key=lambda x: (x.key, x.lo, x.hi)):
+        if out and out[-1].key == b.key and b.lo <= out[-1].hi:
+            out[-1].hi = max(out[-1].hi, b.hi)
+            out[-1].ranks |= b.ranks
+            out[-1].below = out[-1].inside = 0
+        else:
+            out.append(_Bracket(b.key, b.lo, b.hi, b.below if keep_counts else 0,
+                                b.inside if keep_counts else 0, set(b.ranks)))
+    return out
+
+
+def _bracket_frame(long: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """Rows of ``long`` joined to their group's brackets. The bracket table has
+    one row per (group, bracket) — groups x probabilities, independent of the
+    data size — and is broadcast."""
+    spark = long.sparkSession
+    b = spark.createDataFrame([(i, x.key, float(x.lo), float(x.hi)) for i, x in enumerate(brackets)],
+                              "__bid int, __g string, __lo double, __hi double")
+    return long.join(F.broadcast(b), "__g")
+
+
+def _count_pass(long: DataFrame, brackets: list[_Bracket]) -> None:
+    j = _bracket_frame(long, brackets)
+    rows = j.groupBy("__bid").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("below"),
+                                  F.count_if(F.col("__v").between(F.col("__lo"), F.col("__hi"))).alias("inside")).collect()
+    got = {r["__bid"]: (int(r["below"]), int(r["inside"])) for r in rows}
+    for i, b in enumerate(brackets):
+        b.below, b.inside = got.get(i, (0, 0))
+
+
+def _select_ranks(long: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+    """Values at the requested ranks.
+
+    A bracket holding a single value answers directly. Otherwise the bracket
+    rows are counted per distinct value (partial aggregation, so ties cost
+    nothing) and a running count over the distinct values of each bracket
+    (at most ``limit`` of them) locates every rank."""
+    out: dict[tuple[str, int], float] = {}
+    todo = []
+    for b in brackets:
+        if b.lo == b.hi:
+            for r in b.ranks:
+                out[(b.key, r)] = b.lo
+        else:
+            todo.append(b)
+    if not todo:
+        return out
+    j = _bracket_frame(long, todo).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    counts = j.groupBy("__bid", "__v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("__bid").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("cum", F.sum("n").over(w))
+    spark = long.sparkSession
+    wanted = spark.createDataFrame([(i, r - b.below + 1) for i, b in enumerate(todo) for r in b.ranks],
+                                   "__bid int, pos long")
+    hits = (counts.join(F.broadcast(wanted), "__bid")
+            .where((F.col("cum") >= F.col("pos")) & (F.col("cum") - F.col("n") < F.col("pos")))
+            .select("__bid", "pos", "__v").collect())
+    got = {(int(r["__bid"]), int(r["pos"])): float(r["__v"]) for r in hits}
+    for i, b in enumerate(todo):
+        for r in b.ranks:
+            out[(b.key, r)] = got[(i, r - b.below + 1)]
+    return out
+
+
+# Up to this many inputs the wide form (one expression per input in one
+# global aggregation) is used; beyond it the generated code grows past the
+# JVM method limit and the long (group, value) form is faster.
+WIDE_MAX = 12
+
+
+def _exprs(cols) -> dict[str, Column]:
+    if isinstance(cols, dict):
+        return {k: v.cast("double") for k, v in cols.items()}
+    return {c: F.col(c).cast("double") for c in cols}
+
+
+def to_long(df: DataFrame, cols) -> DataFrame:
+    """(__g, __v) rows: one per non-NULL value of each named column/expression."""
+    ex = _exprs(cols)
+    names = list(ex)
+    wide = df.select(*[e.alias(f"__c{i}") for i, e in enumerate(ex.values())])
+    long = wide.unpivot([], [f"__c{i}" for i in range(len(names))], "__k", "__v")
+    keymap = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"__c{i}"), F.lit(n))])
+    return long.where(F.col("__v").isNotNull()).select(keymap[F.col("__k")].alias("__g"), "__v")
+
+
+def _wide_count_pass(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> None:
     exprs = []
     for i, b in enumerate(brackets):
-        c = ex[b.col]
+        c = ex[b.key]
         exprs.append(F.count_if(c < F.lit(b.lo)).alias(f"b{i}"))
         exprs.append(F.count_if(c.between(F.lit(b.lo), F.lit(b.hi))).alias(f"i{i}"))
     row = df.agg(*exprs).first()
@@ -55,19 +146,7 @@ def _count_pass(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column])
         b.below, b.inside = int(row[f"b{i}"]), int(row[f"i{i}"])
 
 
-def _merge(brackets: list[_Bracket]) -> list[_Bracket]:
-    """Union overlapping brackets of the same column (keeps CASE assignment unique)."""
-    out: list[_Bracket] = []
-    for b in sorted(brackets, key=lambda x: (x.col, x.lo, x.hi)):
-        if out and out[-1].col == b.col and b.lo <= out[-1].hi:
-            out[-1].hi = max(out[-1].hi, b.hi)
-            out[-1].ranks |= b.ranks
-        else:
-            out.append(_Bracket(b.col, b.lo, b.hi, 0, 0, set(b.ranks)))
-    return out
-
-
-def _select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> dict[tuple[str, int], float]:
+def _wide_select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> dict[tuple[str, int], float]:
     """Values at the requested ranks.
 
     A bracket holding a single value answers directly. Otherwise the bracket
@@ -79,14 +158,14 @@ def _select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]
     for b in brackets:
         if b.lo == b.hi:
             for r in b.ranks:
-                out[(b.col, r)] = b.lo
+                out[(b.key, r)] = b.lo
         else:
             todo.append(b)
     if not todo:
         return out
     structs = [
-        F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)),
-               F.struct(F.lit(i).alias("bid"), ex[b.col].alias("v")))
+        F.when(ex[b.key].between(F.lit(b.lo), F.lit(b.hi)),
+               F.struct(F.lit(i).alias("bid"), ex[b.key].alias("v")))
         for i, b in enumerate(todo)
     ]
     cand = df.select(F.explode(F.array_compact(F.array(*structs))).alias("s")).select("s.bid", "s.v")
@@ -101,19 +180,15 @@ def _select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]
     for i, b in enumerate(todo):
         for r in b.ranks:
             pos = r - b.below + 1
-            out[(b.col, r)] = next(v for bid, cum, n, v in hits if bid == i and cum >= pos and cum - n < pos)
+            out[(b.key, r)] = next(v for bid, cum, n, v in hits if bid == i and cum >= pos and cum - n < pos)
     return out
 
 
-def _exprs(cols) -> dict[str, Column]:
-    if isinstance(cols, dict):
-        return {k: v.cast("double") for k, v in cols.items()}
-    return {c: F.col(c).cast("double") for c in cols}
-
-
-def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_000,
+def _exact_wide(df: DataFrame, cols, probs: list[float], limit: int = 1_000_000,
                     accuracy: int = 10_000, small: int = 50_000, max_iter: int = 8) -> dict[str, list]:
-    """Exact linear-interpolated quantiles of each column in ``cols``.
+    """Wide form of ``exact_quantiles`` for a few inputs: every pass is one
+    global aggregation with one expression per input (fastest while the
+    generated code stays small).
 
     ``cols`` is a list of column names or a ``{name: Column}`` dict (e.g.
     ``when(class == k, x)`` for per-class quantiles over a known class set).
@@ -161,17 +236,17 @@ def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_
             subs.append(_Bracket(c, lo, hi, 0, 0, {r0, r1}))
         brackets.extend(_merge(subs))
         need_count = True
-    brackets = _merge_keep(brackets)
+    brackets = _merge(brackets, keep_counts=not need_count)
 
     def count_and_widen():
-        _count_pass(df, brackets, ex)
+        _wide_count_pass(df, brackets, ex)
         bad = False
         for b in brackets:
             for r in b.ranks:
                 if r < b.below:
-                    b.lo, bad = float(stats[f"lo_{b.col}"]), True
+                    b.lo, bad = float(stats[f"lo_{b.key}"]), True
                 if r >= b.below + b.inside:
-                    b.hi, bad = float(stats[f"hi_{b.col}"]), True
+                    b.hi, bad = float(stats[f"hi_{b.key}"]), True
         return bad
 
     if need_count and count_and_widen():
@@ -187,7 +262,7 @@ def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_
                           for r in b.ranks for s in (-1, 1)})
             targets.append(pos)
         sketches = df.agg(*[
-            F.percentile_approx(F.when(ex[b.col].between(F.lit(b.lo), F.lit(b.hi)), ex[b.col]), pos, accuracy)
+            F.percentile_approx(F.when(ex[b.key].between(F.lit(b.lo), F.lit(b.hi)), ex[b.key]), pos, accuracy)
             .alias(f"g{i}") for i, (b, pos) in enumerate(zip(big, targets))]).first()
         refined: list[_Bracket] = [b for b in brackets if not (b.inside > limit and b.lo < b.hi)]
         for i, (b, pos) in enumerate(zip(big, targets)):
@@ -198,14 +273,14 @@ def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_
                 a, z = min(1.0, max(0.0, f - margin)), min(1.0, max(0.0, f + margin))
                 lo = b.lo if a <= 0.0 else float(g[pos.index(a)])
                 hi = b.hi if z >= 1.0 else float(g[pos.index(z)])
-                subs.append(_Bracket(b.col, lo, hi, 0, 0, {r}))
+                subs.append(_Bracket(b.key, lo, hi, 0, 0, {r}))
             refined.extend(_merge(subs))
         brackets = _merge(refined)
         if count_and_widen():
             brackets = _merge(brackets)
             count_and_widen()
 
-    values = _select_ranks(df, brackets, ex) if brackets else {}
+    values = _wide_select_ranks(df, brackets, ex) if brackets else {}
     out: dict[str, list] = {}
     for c in cols:
         if c not in plans:
@@ -219,15 +294,107 @@ def exact_quantiles(df: DataFrame, cols, probs: list[float], limit: int = 1_000_
     return out
 
 
-def _merge_keep(brackets: list[_Bracket]) -> list[_Bracket]:
-    """Like ``_merge`` but keeps counts of brackets that need no recount."""
-    out: list[_Bracket] = []
-    for b in sorted(brackets, key=lambda x: (x.col, x.lo, x.hi)):
-        if out and out[-1].col == b.col and b.lo <= out[-1].hi:
-            out[-1].hi = max(out[-1].hi, b.hi)
-            out[-1].ranks |= b.ranks
-        else:
-            out.append(_Bracket(b.col, b.lo, b.hi, b.below, b.inside, set(b.ranks)))
+def exact_quantiles(df: DataFrame, cols, probs: list[float], **kw) -> dict[str, list]:
+    """Exact linear-interpolated quantiles of each column in ``cols``.
+
+    ``cols`` is a list of column names or a ``{name: Column}`` dict.
+    Returns ``{name: [q(p) for p in probs]}`` (``None`` for an all-NULL input).
+    NULLs are ignored, like every engine's quantile aggregate."""
+    if not cols:
+        return {}
+    names = list(_exprs(cols))
+    if len(names) <= WIDE_MAX:
+        return _exact_wide(df, cols, probs, **kw)
+    res = grouped_quantiles(to_long(df, cols), probs, **kw)
+    return {n: res.get(n, [None] * len(probs)) for n in names}
+
+
+def grouped_quantiles(long: DataFrame, probs: list[float], limit: int = 1_000_000, accuracy: int = 10_000,
+                      small: int = 50_000, max_iter: int = 8, grid: int = 1000) -> dict[str, list]:
+    """Exact quantiles of ``__v`` within each group ``__g`` of a long frame.
+
+    Pass 1 (one grouped aggregation): count / min / max and a bounded sketch
+    at p +- margin per group. Pass 2: rows below / inside each bracket (a
+    broadcast join against the small bracket table, widening a bracket whose
+    sketch missed). Further sketch passes run only while a bracket holds more
+    than ``limit`` rows. The last pass ranks the bracket's distinct values.
+    Groups with at most ``small`` values skip straight to ranking.
+    """
+    margin = 2.0 / accuracy
+    fr = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
+    long = long.select(F.col("__g").cast("string").alias("__g"), F.col("__v").cast("double").alias("__v"))
+    stats = {r["__g"]: r for r in long.groupBy("__g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"),
+        F.percentile_approx("__v", fr, accuracy).alias("g")).collect()}
+    plans: dict[str, list[tuple[int, int, float]]] = {}
+    brackets: list[_Bracket] = []
+    need_count = False
+    for key, st in stats.items():
+        n = int(st["n"])
+        plans[key] = _needed_ranks(n, probs)
+        lo_c, hi_c = float(st["lo"]), float(st["hi"])
+        if n <= small:
+            brackets.append(_Bracket(key, lo_c, hi_c, 0, n, {r for r0, r1, _ in plans[key] for r in (r0, r1)}))
+            continue
+        g = st["g"]
+        subs = []
+        for p, (r0, r1, _) in zip(probs, plans[key]):
+            a, b = max(0.0, p - margin), min(1.0, p + margin)
+            lo = lo_c if a <= 0.0 else float(g[fr.index(a)])
+            hi = hi_c if b >= 1.0 else float(g[fr.index(b)])
+            subs.append(_Bracket(key, lo, hi, 0, 0, {r0, r1}))
+        brackets.extend(_merge(subs))
+        need_count = True
+    brackets = _merge(brackets, keep_counts=not need_count)
+
+    def count_and_widen() -> bool:
+        _count_pass(long, brackets)
+        bad = False
+        for b in brackets:
+            for r in b.ranks:
+                if r < b.below:
+                    b.lo, bad = float(stats[b.key]["lo"]), True
+                if r >= b.below + b.inside:
+                    b.hi, bad = float(stats[b.key]["hi"]), True
+        return bad
+
+    if need_count and count_and_widen():
+        brackets = _merge(brackets)
+        count_and_widen()
+    fracs = [j / grid for j in range(grid + 1)]
+    for _ in range(max_iter):
+        big = [b for b in brackets if b.inside > limit and b.lo < b.hi]
+        if not big:
+            break
+        sk = {r["__bid"]: r["g"] for r in _bracket_frame(long, big)
+              .where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+              .groupBy("__bid").agg(F.percentile_approx("__v", fracs, accuracy).alias("g")).collect()}
+        keep = [b for b in brackets if not (b.inside > limit and b.lo < b.hi)]
+        refined: list[_Bracket] = []
+        for i, b in enumerate(big):
+            g = sk[i]
+            subs = []
+            for r in b.ranks:
+                f = (r - b.below) / max(b.inside - 1, 1)
+                lo_i = int(math.floor((f - margin) * grid)) - 1
+                hi_i = int(math.ceil((f + margin) * grid)) + 1
+                lo = b.lo if lo_i <= 0 else float(g[lo_i])
+                hi = b.hi if hi_i >= grid else float(g[hi_i])
+                subs.append(_Bracket(b.key, lo, hi, 0, 0, {r}))
+            refined.extend(_merge(subs))
+        brackets = _merge(keep + refined)
+        if count_and_widen():
+            brackets = _merge(brackets)
+            count_and_widen()
+
+    values = _select_ranks(long, brackets) if brackets else {}
+    out: dict[str, list] = {}
+    for key, plan in plans.items():
+        qs = []
+        for r0, r1, frac in plan:
+            a, b = values[(key, r0)], values[(key, r1)]
+            qs.append(a if r0 == r1 or a == b else a + (b - a) * frac)
+        out[key] = qs
     return out
 
 

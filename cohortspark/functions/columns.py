@@ -106,3 +106,10 @@ def all_present(cols: list[str]) -> Column:
     for c in cols:
         out = out & F.col(c).isNotNull()
     return out
+
+
+def display_names(col, names: dict) -> Column:
+    """FN8: column-name -> display-name lookup (a literal map); unknown names
+    pass through unchanged."""
+    m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, _c(col)), _c(col))

@@ -146,7 +146,7 @@ def range_violations(spark, d):
     return ou.range_violations(t(spark, d, "lineitem"), RANGES)
 
 
-@register("range_clip", "OU2 FN6 S8 S22", sql=(
+@register("range_clip", "OU2 FN6 S8 S22 JN5", sql=(
     "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, "
     + ", ".join(f"round_even(CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END, 6) AS {c}"
                 for c, (lo, hi) in RANGES.items()) + " FROM lineitem"))
@@ -159,7 +159,7 @@ def range_clip(spark, d):
 _WIN = ["l_quantity", "l_extendedprice", "l_tax"]
 
 
-@register("winsorise_flagged", "OU3 PR10 S18", sql=f"""
+@register("winsorise_flagged", "OU3 PR10 S18 JN5", sql=f"""
 WITH q AS (SELECT {', '.join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in _WIN)} FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity > 45 AS has_outlier,
        {', '.join(f"round_even(CASE WHEN l_quantity > 45 THEN (CASE WHEN {c} < lo_{c} THEN lo_{c} WHEN {c} > hi_{c} THEN hi_{c} ELSE {c} END) ELSE {c} END, 6) AS {c}" for c in _WIN)}

@@ -19,7 +19,7 @@ def _ig_out(ig):
                      r6("pct_base_entropy").alias("pct_base_entropy"), "rank")
 
 
-@register("ig_ranking", "EN1 EN8 EN11 EN13 EN14", sql=ig_sql(
+@register("ig_ranking", "EN1 EN8 EN11 EN13 EN14 WN1", sql=ig_sql(
     unpivot_sql(qcut_bins_sql(_LI_SRC, LI_NUMERIC, 5, [LI_TARGET] + LI_CATEGORICAL), _FEATS, [LI_TARGET]),
     LI_TARGET, _TYPES))
 def ig_ranking(spark, sf_dir):

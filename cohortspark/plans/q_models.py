@@ -41,7 +41,7 @@ def _weighted(train, label):
     return mo.with_balanced_weights(train, label, "weight")
 
 
-@register("lr_binary", "ML1 ML13 S10 S25 PR1")
+@register("lr_binary", "ML1 ML13 S10 S25 PR1 ML3 FE16")
 def lr_binary(spark, d):
     x = _frame(spark, d)
     train = _weighted(x.where(F.col("split") == "train"), "label")
@@ -98,7 +98,7 @@ def _multi_eval(p, name):
     return rep.select(F.lit(name).alias("model"), "class_name", *[r6(c).alias(c) for c in ["precision", "recall", "f1"]])
 
 
-@register("model_zoo", "ML2 ML7 ML8 ML10 ML11 ML12 ME4 ME5 ME6")
+@register("model_zoo", "ML2 ML7 ML8 ML10 ML11 ML12 ME4 ME5 ME6 FE16")
 def model_zoo(spark, d):
     """Rows-only: weighted / macro report of six 3-class MLlib models on the test split."""
     x = _frame(spark, d).cache()
@@ -166,7 +166,7 @@ def random_search(spark, d):
     return trials.select("trial", "params", r6("metric_mean").alias("metric_mean"), "rank", "is_best")
 
 
-@register("grid_logo", "TU3 TU5 TU9 SP5 ME15")
+@register("grid_logo", "TU3 TU5 TU9 SP5 ME15 ML3")
 def grid_logo(spark, d):
     """Leave-one-year-out grid over C (as regParam) and l1_ratio, then a
     refit of the best parameters on all rows (coefficients returned)."""

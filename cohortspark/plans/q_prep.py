@@ -161,7 +161,7 @@ def _eng_sql():
     return f"SELECT {_KEYS}, {sel} FROM ({COHORT_SQL})"
 
 
-@register("engineered_features", "FE2 FE3 FE4 FE5 FE6 FE7 FE8 FE9 PR14 UD5", sql=_eng_sql())
+@register("engineered_features", "FE2 FE3 FE4 FE5 FE6 FE7 FE8 FE9 PR14 UD5 JN2", sql=_eng_sql())
 def engineered_features(spark, d):
     x = cohort(spark, d).transform(fe.engineer_features)
     ints = {"bmi_obese", "wc_risk", "tg_risk", "hdl_risk", "met_syndrome_count"}
@@ -171,7 +171,7 @@ def engineered_features(spark, d):
 _INTER = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@register("interactions", "FE10", sql="SELECT " + _KEYS + ", " + ", ".join(
+@register("interactions", "FE10 JN2", sql="SELECT " + _KEYS + ", " + ", ".join(
     f"round_even({' * '.join(k)}, 6) AS \"{'*'.join(k)}\"" for k in fe.interaction_names(_INTER, 3)) + " FROM lineitem")
 def interactions(spark, d):
     terms = fe.interaction_terms(_INTER, 3)
@@ -295,7 +295,7 @@ def binary_targets(spark, d):
                     fx.threshold_flag(fx.ordinal_encode("o_orderpriority", PRIORITY_MAP), 1).alias("not_urgent"))
 
 
-@register("clamp_train_bounds", "OU4 S23", sql=f"""
+@register("clamp_train_bounds", "OU4 S23 JN5", sql=f"""
 WITH s AS (SELECT *, {_split_sql(H_LI, [C60, C80], ['train', 'val', 'test'])} AS split, l_quantity > 45 AS has_outlier FROM lineitem),
 b AS (SELECT {', '.join(f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}" for c in ['l_extendedprice', 'l_quantity'])}
       FROM s WHERE split = 'train' AND NOT has_outlier)

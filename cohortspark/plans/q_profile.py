@@ -107,9 +107,9 @@ def duplicate_rows(spark, d):
     "o_orderpriority FROM orders)) AS n_distinct_rows FROM orders"))
 def duplicate_summary(spark, d):
     o = t(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
-    n = o.agg(F.count(F.lit(1)).alias("n_rows"))
-    nd = o.dropDuplicates().agg(F.count(F.lit(1)).alias("n_distinct_rows"))
-    return n.crossJoin(nd)
+    # distinct over the row struct counts the rows dropDuplicates() would keep (NULL fields included)
+    return o.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.count_distinct(F.struct(*o.columns)).alias("n_distinct_rows"))
 
 
 # ---------------------------------------------------------------- SC6
@@ -190,7 +190,7 @@ def _miqr_sql(cols, by, classes):
     return _union(parts)
 
 
-@register("group_median_iqr", "AG13 AG12 FN7", sql=_miqr_sql(["l_quantity", "l_extendedprice", "l_discount"],
+@register("group_median_iqr", "AG13 AG12 FN7 UD3", sql=_miqr_sql(["l_quantity", "l_extendedprice", "l_discount"],
                                                              LI_TARGET, CLASSES))
 def group_median_iqr(spark, d):
     return pf.group_median_iqr(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
@@ -291,3 +291,34 @@ WHERE pos_rank <= 3 OR neg_rank <= 3""")
 def corr_top_pairs(spark, d):
     p = co.top_pairs(co.corr_pairs(_corr_frame(spark, d), _CORR_COLS), n=3)
     return p.select("col_a", "col_b", r6("r").alias("r"), "pos_rank", "neg_rank")
+
+
+# ---------------------------------------------------------------- SC2 SC5 PR2 PR3
+@register("cohort_load", "SC2 SC5 PR1 PR2 PR3 PR4", sql=(
+    "SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount, "
+    "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem"))
+def cohort_load(spark, d):
+    from cohortspark.sources import load_cohort, resolve_target
+    li = t(spark, d, "lineitem").drop("l_comment", "l_shipdate", "l_linestatus")
+    target = resolve_target(li, ["diabetes_status", "l_returnflag"])
+    c = load_cohort(li, ["l_quantity", "l_extendedprice", "l_discount"], target, positive_value="R")
+    return c.withColumnsRenamed({"l_quantity": "quantity", "l_extendedprice": "price"})
+
+
+# Display names for the report columns.
+DISPLAY = {"l_quantity": "Quantity", "l_extendedprice": "Extended price", "l_discount": "Discount", "l_tax": "Tax"}
+
+
+@register("describe_display", "FN8 AG1", sql=" UNION ALL ".join(
+    f"SELECT '{DISPLAY[c]}' AS display_name, round_even(avg({c}), 6) AS mean, round_even(min({c}), 6) AS min, "
+    f"round_even(max({c}), 6) AS max FROM lineitem" for c in LI_NUMERIC))
+def describe_display(spark, d):
+    from cohortspark.functions.columns import display_names
+    li = t(spark, d, "lineitem")
+    wide = li.agg(*[e for c in LI_NUMERIC for e in (F.avg(c).alias(f"{c}__mean"), F.min(c).alias(f"{c}__min"),
+                                                     F.max(c).alias(f"{c}__max"))])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__mean").alias("mean"),
+                                                    F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
+                                           for c in LI_NUMERIC])).alias("s")).select("s.*")
+    return long.select(display_names("column_name", DISPLAY).alias("display_name"),
+                       *[r6(c).alias(c) for c in ["mean", "min", "max"]])

@@ -44,3 +44,13 @@ def test_t_pvalue_against_integration():
         pdf = c * (1 + x * x / dof) ** (-(dof + 1) / 2)
         p_num = 2 * np.trapezoid(pdf, x)
         assert abs(t_two_sided_p(t, dof) - p_num) < 1e-6
+
+
+def test_csv_scan_and_sink_roundtrip(spark):
+    import tempfile
+    from cohortspark.sources import read_any, write_table
+    d = tempfile.mkdtemp(prefix="cohortspark-csv-")
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b")], "SEQN bigint, bmi double, s string")
+    write_table(df.coalesce(1), d + "/out.csv", fmt="csv")
+    back = read_any(spark, d + "/out.csv", schema="SEQN bigint, bmi double, s string")
+    assert sorted(back.collect()) == sorted(df.collect())

@@ -152,16 +152,21 @@ def information_gain(df: DataFrame, target: str, numeric: list[str], categorical
     counts = long.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("c"))
     nonnull = F.col("bin").isNotNull()
 
-    per_bin = (counts.where(nonnull).groupBy("feature", "bin")
-               .agg(F.sum("c").alias("n_b"), F.sum(_xlog2x(F.col("c"))).alias("s_b")))
-    cond = per_bin.groupBy("feature").agg(
-        F.sum(_xlog2x(F.col("n_b")) - F.col("s_b")).alias("cond_num"))
-    per_class = counts.groupBy("feature", target).agg(
-        F.sum("c").alias("n_t_all"), F.sum(F.when(nonnull, F.col("c")).otherwise(0)).alias("n_t_nn"))
-    base = per_class.groupBy("feature").agg(
-        F.sum("n_t_all").alias("n_all"), F.sum("n_t_nn").alias("n_nn"),
-        F.sum(_xlog2x(F.col("n_t_all"))).alias("s_all"),
-        F.sum(_xlog2x(F.col("n_t_nn"))).alias("s_nn"))
+    # One counts table, no self-join: with c = count(feature, bin, class),
+    # sum_b n_b log n_b = sum c log n_b, so every entropy term is a window sum
+    # over the (small) counts table followed by one group-by feature.
+    c = F.col("c")
+    n_b = F.sum(F.when(nonnull, c)).over(Window.partitionBy("feature", "bin"))
+    n_t_all = F.sum(c).over(Window.partitionBy("feature", target))
+    n_t_nn = F.sum(F.when(nonnull, c)).over(Window.partitionBy("feature", target))
+    terms = counts.select("feature", nonnull.alias("nn"), "c", n_b.alias("n_b"), n_t_all.alias("n_t_all"),
+                          n_t_nn.alias("n_t_nn"))
+    nn = F.col("nn")
+    base = terms.groupBy("feature").agg(
+        F.sum("c").alias("n_all"), F.sum(F.when(nn, c).otherwise(0)).alias("n_nn"),
+        F.sum(c * F.log2("n_t_all")).alias("s_all"),
+        F.sum(F.when(nn, c * F.log2("n_t_nn")).otherwise(0.0)).alias("s_nn"),
+        F.sum(F.when(nn, c * (F.log2("n_b") - F.log2(c))).otherwise(0.0)).alias("cond_num"))
     h_all = F.log2(F.col("n_all")) - F.col("s_all") / F.col("n_all")
     h_nn = F.when(F.col("n_nn") > 0, F.log2(F.col("n_nn")) - F.col("s_nn") / F.col("n_nn"))
     cond_num = F.coalesce(F.col("cond_num"), F.lit(0.0))
@@ -175,7 +180,7 @@ def information_gain(df: DataFrame, target: str, numeric: list[str], categorical
         raise ValueError(f"unknown null_policy {null_policy!r}")
     types = F.create_map(*[x for f in feats for x in (
         F.lit(f), F.lit("numeric" if f in numeric else "categorical"))])
-    res = (base.join(cond, "feature", "left")
+    res = (base
            .select("feature", types[F.col("feature")].alias("feature_type"),
                    F.coalesce(gain, F.lit(0.0)).alias("information_gain"),
                    h_all.alias("base_entropy")))

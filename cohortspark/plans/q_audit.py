@@ -78,8 +78,8 @@ def t_test_pvalue(spark, d):
 
 
 @register("decimal_places", "FN3", sql=_union(
-    f"SELECT '{c}' AS column_name, max(CASE WHEN instr(CAST({c} AS VARCHAR), '.') > 0 "
-    f"THEN length(split_part(CAST({c} AS VARCHAR), '.', -1)) ELSE 0 END) AS max_places, "
+    f"SELECT '{c}' AS column_name, CAST(max(CASE WHEN instr(CAST({c} AS VARCHAR), '.') > 0 "
+    f"THEN length(split_part(CAST({c} AS VARCHAR), '.', -1)) ELSE 0 END) AS INTEGER) AS max_places, "
     f"round_even(avg(CASE WHEN instr(CAST({c} AS VARCHAR), '.') > 0 "
     f"THEN length(split_part(CAST({c} AS VARCHAR), '.', -1)) ELSE 0 END), 6) AS mean_places FROM lineitem"
     for c in LI_NUMERIC))

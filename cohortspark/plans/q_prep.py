@@ -62,7 +62,7 @@ def kfold(spark, d):
 
 
 @register("logo_folds", "SP5 S24", sql="""
-SELECT year(o_orderdate) AS grp, CAST(dense_rank() OVER (ORDER BY year(o_orderdate)) - 1 AS INTEGER) AS fold,
+SELECT CAST(year(o_orderdate) AS INTEGER) AS grp, CAST(dense_rank() OVER (ORDER BY year(o_orderdate)) - 1 AS INTEGER) AS fold,
        count(*) OVER (PARTITION BY year(o_orderdate)) AS n_rows, o_orderkey FROM orders""")
 def logo_folds(spark, d):
     o = t(spark, d, "orders").withColumn("grp", F.year("o_orderdate"))
@@ -248,7 +248,7 @@ def ordinal_encode(spark, d):
 
 @register("period_split", "FN1 FN2 PR8", sql="""
 SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) + 1 AS VARCHAR) AS period,
-       year(o_orderdate) AS period_start, year(o_orderdate) + 1 AS period_end FROM orders""")
+       CAST(year(o_orderdate) AS INTEGER) AS period_start, CAST(year(o_orderdate) + 1 AS INTEGER) AS period_end FROM orders""")
 def period_split(spark, d):
     o = t(spark, d, "orders")
     p = F.concat_ws("-", F.year("o_orderdate").cast("string"), (F.year("o_orderdate") + 1).cast("string"))

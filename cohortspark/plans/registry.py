@@ -19,12 +19,30 @@ class Registered:
 REGISTRY: dict[str, Registered] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's count_if returns BIGINT.
+    Wrap every count_if(...) call in CAST(... AS BIGINT)."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tok)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _bigint_count_if(sql[j + len(tok):k - 1])
+        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        i = k
+
+
 def register(name: str, ids: str, sql: str | None = None):
     """Decorator: register a (spark, sf_dir) -> DataFrame builder."""
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Registered(name, fn, sql, ids)
+        REGISTRY[name] = Registered(name, fn, _bigint_count_if(sql) if sql else None, ids)
         return fn
     return deco
 

@@ -119,8 +119,10 @@ def silhouette_rows(df: DataFrame, key: list[str], feats: list[str], cluster: st
     b = F.least(*others) if len(others) > 1 else others[0]
     s = F.when(n_own <= 1, F.lit(0.0)).otherwise((b - own) / F.greatest(own, b))
     out = me.select(*key, F.col(cluster), own.alias("a"), b.alias("b"), s.alias("silhouette"))
-    return out.withColumn("rank_in_cluster", F.row_number().over(
-        Window.partitionBy(cluster).orderBy(F.col("silhouette").desc(), *[F.col(k) for k in key])))
+    # rank inside the cluster without sorting a whole cluster in one task
+    from cohortspark.operators.profile import rank_within_group
+    return rank_within_group(out, [cluster], [F.col("silhouette").desc(), *[F.col(k) for k in key]],
+                             out="rank_in_cluster")
 
 
 def trait_labels(medians: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -75,18 +75,19 @@ def categorical_describe(df: DataFrame, cols: list[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "value").where(F.col("value").isNotNull())
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("column_name").orderBy(F.col("c").desc(), F.col("value"))
-    return (counts.withColumn("rn", F.row_number().over(w))
-            .groupBy("column_name")
-            .agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"),
-                 F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("top"),
-                 F.max(F.when(F.col("rn") == 1, F.col("c"))).alias("freq")))
+    # top = smallest (-count, value): an aggregate (partial per task), not a
+    # window over a column's distinct values
+    return counts.groupBy("column_name").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"),
+        F.min_by("value", F.struct(-F.col("c"), F.col("value"))).alias("top"), F.max("c").alias("freq"))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """AG5 / AG29 / CL7: count and % of total per value (NULL kept as a value)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy()) * 100)
+    # the total is one scalar: no window over all distinct values in one task
+    total = df.count()
+    return counts.withColumn("pct", F.col("n") / F.lit(total) * 100)
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -252,3 +253,19 @@ def portable_hash(key: list[str], seed: int = 42) -> Column:
     value is computed by DuckDB with ('0x' || substr(md5(..),1,8))::BIGINT."""
     txt = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
     return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("bigint")
+
+
+def rank_within_group(df: DataFrame, group: list[str], order: list[Column], out: str = "rank",
+                      partitions: int | None = None) -> DataFrame:
+    """Row number within each group in the given order, without putting a
+    whole group in one task: range-partition on (group, order), number the
+    rows inside each (group, slice) with a window, then add the count of the
+    group's rows in earlier slices (a groups x slices table, broadcast)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("__pid", F.spark_partition_id())
+    local = ranged.withColumn("__lr", F.row_number().over(Window.partitionBy(*group, "__pid").orderBy(*order)))
+    counts = ranged.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (local.join(F.broadcast(offsets), [*group, "__pid"])
+            .withColumn(out, (F.col("__lr") + F.col("__off")).cast("int")).drop("__pid", "__lr", "__off"))

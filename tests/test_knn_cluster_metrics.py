@@ -106,3 +106,13 @@ def test_silhouette_rows_vs_brute_force(spark):
         b = min(d[c == k].mean() for k in set(c) if k != c[i])
         s = 0.0 if own.sum() == 1 else (b - a) / max(a, b)
         assert got[i] == pytest.approx(s, abs=1e-9)
+
+
+def test_rank_within_group_matches_window(spark):
+    from pyspark.sql import Window
+    from cohortspark.operators.profile import rank_within_group
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("g"),
+                                  ((F.col("id") * 7919) % 101).alias("v"))
+    got = rank_within_group(df, ["g"], [F.col("v").desc(), F.col("id")], out="r", partitions=7)
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")))
+    assert sorted(got.select("id", "r").collect()) == sorted(ref.select("id", "r").collect())

@@ -172,3 +172,74 @@ def bootstrap_summary(reps: DataFrame, col: str = "accuracy") -> DataFrame:
     return reps.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
                     F.percentile(col, 0.025).alias("ci_low"), F.percentile(col, 0.975).alias("ci_high"),
                     F.count(F.lit(1)).alias("replicates"))
+
+
+BUCKET_SHIFT = 40  # 2^20 hash buckets per class
+
+
+def exact_stratified_split(df: DataFrame, key: list[str], label: str, names=("train", "test"),
+                           fractions=(0.7, 0.3), seed: int = 42, out: str = "split") -> DataFrame:
+    """SP1 / SP2 with exact per-class counts: within each class, rows ranked by
+    (hash60(seed, key), key) take split j while rank <= ceil(F_j * n_class)
+    (F_j = cumulative fraction) — the textbook row_number() definition —
+    computed without sorting a class in one task:
+
+    1. counts per (class, hash bucket) — at most 2^20 buckets per class — and
+       a running sum locate, for every cut, the bucket holding the cut rank;
+    2. only the rows of those few buckets are ranked (a window over one
+       bucket), giving the exact (hash, key) threshold of every cut;
+    3. the split is a per-row expression comparing (hash, key) with the
+       class's thresholds (literals).
+    """
+    from pyspark.sql import Window
+    h = hash60(key, seed)
+    x = df.select(F.col(label).alias("__y"), h.alias("__h"), *[F.col(k) for k in key])
+    x = x.withColumn("__b", F.shiftright("__h", BUCKET_SHIFT))
+    counts = x.groupBy("__y", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__y").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.withColumn("__cum", F.sum("__n").over(w)).withColumn(
+        "__tot", F.sum("__n").over(Window.partitionBy("__y")))
+    cuts = []  # (class, cut index, rank R)
+    totals = {r["__y"]: r["__tot"] for r in cum.select("__y", "__tot").distinct().collect()}
+    acc = 0.0
+    cum_fracs = []
+    for f in fractions[:-1]:
+        acc += f
+        cum_fracs.append(acc)
+    for y, n in totals.items():
+        for j, fj in enumerate(cum_fracs):
+            cuts.append((y, j, int(math.ceil(fj * n - 1e-9))))
+    if not cuts:
+        return df.withColumn(out, F.lit(names[-1]))
+    spark = df.sparkSession
+    cut_df = spark.createDataFrame(cuts, f"__y {x.schema['__y'].dataType.simpleString()}, __j int, __r long")
+    # the bucket holding rank R: cum - n < R <= cum
+    where = (cum.join(F.broadcast(cut_df), "__y")
+             .where((F.col("__cum") - F.col("__n") < F.col("__r")) & (F.col("__r") <= F.col("__cum")))
+             .select("__y", "__j", "__b", (F.col("__r") - (F.col("__cum") - F.col("__n"))).alias("__pos")))
+    wanted = where.collect()  # classes x cuts rows
+    wanted_df = spark.createDataFrame([(r["__y"], r["__j"], r["__b"], r["__pos"]) for r in wanted],
+                                      f"__y {x.schema['__y'].dataType.simpleString()}, __j int, __b long, __pos long")
+    in_cut = x.join(F.broadcast(wanted_df.select("__y", "__b").distinct()), ["__y", "__b"])
+    ranked = in_cut.withColumn("__rk", F.row_number().over(
+        Window.partitionBy("__y", "__b").orderBy("__h", *[F.col(k) for k in key])))
+    th = ranked.join(F.broadcast(wanted_df), ["__y", "__b"]).where(F.col("__rk") == F.col("__pos")) \
+        .select("__y", "__j", "__h", *[F.col(k) for k in key]).collect()
+    thresholds = {(r["__y"], r["__j"]): (r["__h"], [r[k] for k in key]) for r in th}
+
+    def le(y, j):
+        hv, kv = thresholds[(y, j)]
+        # (h, key) <= (hv, kv) in lexicographic order
+        cond = F.lit(True)
+        for k, v in reversed(list(zip(key, kv))):
+            cond = (F.col(k) < F.lit(v)) | ((F.col(k) == F.lit(v)) & cond)
+        return (h < F.lit(hv)) | ((h == F.lit(hv)) & cond)
+
+    expr = F.lit(names[-1])
+    for y in totals:
+        per = F.lit(names[-1])
+        for j in reversed(range(len(cum_fracs))):
+            if (y, j) in thresholds:
+                per = F.when(le(y, j), F.lit(names[j])).otherwise(per)
+        expr = F.when(F.col(label) == F.lit(y), per).otherwise(expr)
+    return df.withColumn(out, expr)

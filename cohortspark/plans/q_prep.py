@@ -308,3 +308,16 @@ def clamp_train_bounds(spark, d):
     x, _ = clamp_with_train_bounds(li, ["l_extendedprice", "l_quantity"], "has_outlier")
     return x.select(*LI_KEY, "split", "has_outlier", r6("l_extendedprice").alias("l_extendedprice"),
                     r6("l_quantity").alias("l_quantity"))
+
+
+@register("stratified_split_exact", "SP1 SP2 S13", sql=f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {H_ORD}, o_orderkey) AS rk,
+                  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, CASE WHEN rk <= ceil(0.6 * n - 1e-9) THEN 'train'
+       WHEN rk <= ceil((0.6 + 0.2) * n - 1e-9) THEN 'val' ELSE 'test' END AS split FROM r""")
+def stratified_split_exact(spark, d):
+    """Exact per-class counts (rank <= ceil(F * n_class)) without a window
+    over a whole class; the oracle is the textbook row_number() form."""
+    o = sp.exact_stratified_split(t(spark, d, "orders"), ["o_orderkey"], "o_orderstatus",
+                                  ("train", "val", "test"), (0.6, 0.2, 0.2))
+    return o.select("o_orderkey", "o_orderstatus", "split")

@@ -243,3 +243,13 @@ def exact_stratified_split(df: DataFrame, key: list[str], label: str, names=("tr
                 per = F.when(le(y, j), F.lit(names[j])).otherwise(per)
         expr = F.when(F.col(label) == F.lit(y), per).otherwise(expr)
     return df.withColumn(out, expr)
+
+
+def exact_stratified_folds(df: DataFrame, key: list[str], label: str, k: int = 5, seed: int = 42,
+                           out: str = "fold") -> DataFrame:
+    """SP4 with exact per-class fold sizes: fold j holds the class rows ranked
+    (by hash, key) in (ceil(j/k n), ceil((j+1)/k n)]; same bucketed cut search
+    as ``exact_stratified_split``."""
+    x = exact_stratified_split(df, key, label, names=tuple(str(j) for j in range(k)),
+                               fractions=tuple([1.0 / k] * k), seed=seed, out="__fold")
+    return x.withColumn(out, F.col("__fold").cast("int")).drop("__fold")

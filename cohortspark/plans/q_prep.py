@@ -321,3 +321,21 @@ def stratified_split_exact(spark, d):
     o = sp.exact_stratified_split(t(spark, d, "orders"), ["o_orderkey"], "o_orderstatus",
                                   ("train", "val", "test"), (0.6, 0.2, 0.2))
     return o.select("o_orderkey", "o_orderstatus", "split")
+
+
+def _kfold_exact_sql(k=5):
+    acc, cuts = 0.0, []
+    for _ in range(k - 1):
+        acc += 1.0 / k
+        cuts.append(repr(acc))
+    case = " ".join(f"WHEN rk <= ceil({c} * n - 1e-9) THEN {j}" for j, c in enumerate(cuts))
+    return f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {H_ORD}, o_orderkey) AS rk,
+                  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, CAST(CASE {case} ELSE {k - 1} END AS INTEGER) AS fold FROM r"""
+
+
+@register("kfold_exact", "SP4 S13", sql=_kfold_exact_sql())
+def kfold_exact(spark, d):
+    o = sp.exact_stratified_folds(t(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", k=5)
+    return o.select("o_orderkey", "o_orderstatus", "fold")

@@ -38,7 +38,8 @@ def _frame(spark, d, three_way=False):
 
 
 def _weighted(train, label):
-    return mo.with_balanced_weights(train, label, "weight")
+    # MLlib makes several passes over the training rows: keep them (memory and disk)
+    return mo.with_balanced_weights(train, label, "weight").cache()
 
 
 @register("lr_binary", "ML1 ML13 S10 S25 PR1 ML3 FE16")

@@ -41,7 +41,7 @@ FAST_ORACLE = ["ig_ranking", "missing_report", "value_counts", "histogram_by_cla
                "corr_matrix", "entropy_summary", "row_entropy", "rule_accuracy", "range_clip", "kfold",
                "engineered_features", "confusion_matrix", "class_report", "cohen_kappa", "auc_binary",
                "median_fill", "mode_fill", "silhouette_rows", "gnb_sql", "bootstrap_ci", "trait_labels",
-               "stratified_split_exact", "knn_fill"]
+               "stratified_split_exact", "kfold_exact", "knn_fill"]
 
 
 @pytest.mark.parametrize("name", FAST_ORACLE)

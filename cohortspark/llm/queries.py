@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import rule_ledger, secret_scan
+from cohortspark.llm import bitplane, packing, rule_ledger, secret_scan
 from cohortspark.llm.common import table
 
 
+def op2_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rule_ledger.ledger(rule_ledger.measure(table(spark, sf_dir, "documents")))
     return rule_ledger.verdict(led).select(
@@ -22,6 +30,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bitplane": op2_bitplane,
+    "op6_packing": op6_packing,
     "op8_rule_ledger": op8_rule_ledger,
     "op10_secret_scan": op10_secret_scan,
 }

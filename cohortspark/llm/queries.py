@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bitplane, mixing, packing, rule_ledger, secret_scan, toxicity
+from cohortspark.llm import bitplane, dart_minhash, mixing, packing, rule_ledger, secret_scan, toxicity
 from cohortspark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bitplane": op2_bitplane,
+    "op3_dart_minhash": op3_dart_minhash,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_rule_ledger": op8_rule_ledger,

@@ -160,7 +160,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
             for lo, hi in groups_of(texts, 4 << 20):
                 if writer is None:
                     where.create_dir(top, recursive=True)
-                    writer = PlaneWriter(where.open_output_stream(tmp), plane, block_ids, level)
+                    writer = PlaneWriter(where.open_output_stream(tmp, compression=None), plane, block_ids, level)
                 for doc, enc in zip(ids[lo:hi], ByteBpe.of(path).encode(texts[lo:hi])):
                     writer.add(doc, enc + end)
         if writer is not None:

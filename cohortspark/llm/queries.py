@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bitplane, dart_minhash, mixing, packing, rule_ledger, secret_scan, toxicity
+from cohortspark.llm import bitplane, dart_minhash, mixing, packing, rule_ledger, secret_scan, toxicity, warc
 from cohortspark.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.filter("status = 'ok'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,11 +55,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bitplane": op2_bitplane,
     "op3_dart_minhash": op3_dart_minhash,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_rule_ledger": op8_rule_ledger,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bitplane, dart_minhash, mixing, packing, rule_ledger, secret_scan, toxicity, warc
+from cohortspark.llm import bitplane, dart_minhash, mixing, packing, quote_links, rule_ledger, secret_scan, toxicity, warc
 from cohortspark.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fail_bits")
 
 
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_quote_links": op9_quote_links,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {

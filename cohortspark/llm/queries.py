@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bitplane, dart_minhash, mixing, packing, quote_links, rule_ledger, secret_scan, toxicity, warc
+from cohortspark.llm import bitplane, dart_minhash, mixing, packing, quote_links, rule_ledger, secret_scan, syncmers, toxicity, warc
 from cohortspark.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.filter("status = 'ok'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bitplane": op2_bitplane,
     "op3_dart_minhash": op3_dart_minhash,
+    "op4_syncmers": op4_syncmers,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,

@@ -118,9 +118,13 @@ def silhouette_rows(df: DataFrame, key: list[str], feats: list[str], cluster: st
     others = [F.when(F.col(cluster) != F.lit(r["__c"]), dot[r["__c"]]) for r in rows]
     b = F.least(*others) if len(others) > 1 else others[0]
     s = F.when(n_own <= 1, F.lit(0.0)).otherwise((b - own) / F.greatest(own, b))
-    out = me.select(*key, F.col(cluster), own.alias("a"), b.alias("b"), s.alias("silhouette"))
-    # rank inside the cluster without sorting a whole cluster in one task
+    return me.select(*key, F.col(cluster), own.alias("a"), b.alias("b"), s.alias("silhouette"))
+
+
+def ranked_silhouettes(df: DataFrame, key: list[str], feats: list[str], cluster: str = "cluster") -> DataFrame:
+    """CL6: ``silhouette_rows`` with the rank of each row inside its cluster."""
     from cohortspark.operators.profile import rank_within_group
+    out = silhouette_rows(df, key, feats, cluster)
     return rank_within_group(out, [cluster], [F.col("silhouette").desc(), *[F.col(k) for k in key]],
                              out="rank_in_cluster")
 
@@ -143,27 +147,22 @@ def avg_rank(col: str) -> Column:
 
 
 def rank_sum_labels(medians: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """CL9 on the k-row median table (k = 4): SIRD = max(rank LAP + rank
-    log TG/HDL + rank waist); MARD = max age of the rest; MOD / SIDD = max /
-    min BMI of the remaining two. Ties go to the lowest cluster id."""
-    rows = {r[cluster]: r.asDict() for r in medians.collect()}  # k rows
-    sc = medians.select(cluster, (avg_rank("lap") + avg_rank("log_tg_hdl") + avg_rank("waist_circumference")).alias("s"))
-    score = {r[cluster]: r["s"] for r in sc.collect()}
-    remaining = sorted(rows)
-    labels = {}
-    sird = max(remaining, key=lambda c: (score[c], -remaining.index(c)))
-    labels[sird] = "SIRD"
-    remaining.remove(sird)
-    mard = max(remaining, key=lambda c: (rows[c]["age"], -remaining.index(c)))
-    labels[mard] = "MARD"
-    remaining.remove(mard)
-    mod = max(remaining, key=lambda c: (rows[c]["bmi"], -remaining.index(c)))
-    labels[mod] = "MOD"
-    remaining.remove(mod)
-    for c in remaining:
-        labels[c] = "SIDD"
-    m = F.create_map(*[x for c, lab in labels.items() for x in (F.lit(c), F.lit(lab))])
-    order = F.create_map(*[x for i, lab in enumerate(RANK_SUM_ORDER) for x in (F.lit(lab), F.lit(i))])
-    desc = F.create_map(*[x for lab, dsc in PHENOTYPE_DESCRIPTIONS.items() for x in (F.lit(lab), F.lit(dsc))])
-    return medians.select(cluster, m[F.col(cluster)].alias("phenotype")).withColumn(
-        "display_order", order[F.col("phenotype")]).withColumn("description", desc[F.col("phenotype")])
+    """CL9 on the k-row median table: SIRD has the largest sum of ranks of LAP, log TG/HDL and waist; of
+    the others MARD is the oldest; of those left MOD has the highest BMI; the rest are SIDD. Ties go to
+    the lowest cluster id. Three windows over the k rows, each over the rows not yet named."""
+    every = Window.partitionBy()
+    c = F.col(cluster)
+
+    def chosen(value: Column, free: Column) -> Column:
+        return F.max_by(F.when(free, c), F.when(free, F.struct(value, -c))).over(every)
+
+    x = medians.withColumn("__s", avg_rank("lap") + avg_rank("log_tg_hdl") + avg_rank("waist_circumference"))
+    x = x.withColumn("__sird", chosen(F.col("__s"), F.lit(True)))
+    x = x.withColumn("__mard", chosen(F.col("age"), c != F.col("__sird")))
+    x = x.withColumn("__mod", chosen(F.col("bmi"), (c != F.col("__sird")) & (c != F.col("__mard"))))
+    name = (F.when(c == F.col("__sird"), "SIRD").when(c == F.col("__mard"), "MARD").when(c == F.col("__mod"), "MOD")
+            .otherwise("SIDD"))
+    order = F.array_position(F.array(*[F.lit(lab) for lab in RANK_SUM_ORDER]), F.col("phenotype")).cast("int") - 1
+    desc = F.create_map(*[v for pair in PHENOTYPE_DESCRIPTIONS.items() for v in map(F.lit, pair)])
+    return (x.select(cluster, name.alias("phenotype")).withColumn("display_order", order)
+            .withColumn("description", desc[F.col("phenotype")]))

@@ -32,12 +32,16 @@ def _xlog2x(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
+# The purity words of the entropy report.
+PURITY_WORDS = ("Pure", "Relatively Pure", "Moderately Impure", "Highly Impure")
+
+
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """EN2: per class count, probability and entropy term -p*log2(p)."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    total = F.sum("n").over(Window.partitionBy())   # one row per class
     return (counts
-            .withColumn("p", F.col("n") / F.lit(float(total)))
+            .withColumn("p", F.col("n") / total.cast("double"))
             .withColumn("term", -F.col("p") * F.log2("p")))
 
 
@@ -55,11 +59,11 @@ def entropy_summary(df: DataFrame, target: str) -> DataFrame:
     return (s
             .withColumn("max_entropy", F.when(F.col("n_classes") > 1, F.log2(F.col("n_classes")))
                         .otherwise(F.lit(0.0)))
-            .withColumn("normalised_entropy", F.try_divide(F.col("entropy"), F.col("max_entropy")))
-            .withColumn("purity", F.when(F.col("entropy") == 0, "pure")
-                        .when(F.col("normalised_entropy") < lo, "mostly pure")
-                        .when(F.col("normalised_entropy") < hi, "moderately impure")
-                        .otherwise("highly impure"))
+            .withColumn("normalised_entropy", F.coalesce(F.try_divide(F.col("entropy"), F.col("max_entropy")), F.lit(0.0)))
+            .withColumn("purity", F.when(F.col("entropy") == 0, PURITY_WORDS[0])
+                        .when(F.col("normalised_entropy") < lo, PURITY_WORDS[1])
+                        .when(F.col("normalised_entropy") < hi, PURITY_WORDS[2])
+                        .otherwise(PURITY_WORDS[3]))
             .withColumn("purity_absolute", F.when(F.col("entropy") == 0, "pure")
                         .when(F.col("entropy") < alo, "relatively pure")
                         .when(F.col("entropy") < ahi, "moderate impurity")

@@ -139,16 +139,11 @@ def apply_minmax(df: DataFrame, params: dict[str, tuple[float, float]], suffix:
     return df.withColumns(out)
 
 
-def fit_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list]:
-    """FE15 fit: sorted distinct levels per column from the fitting rows.
-    Refuses more than ``max_levels`` levels: one-hot is for bounded categories."""
-    out = {}
-    for c in cols:
-        lv = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
-        if len(lv) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; not a one-hot column")
-        out[c] = sorted(lv)
-    return out
+def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """FE15 fit: sorted distinct levels per column from the fitting rows, in one pass (one level is one
+    output column)."""
+    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(cols)]).first()
+    return {c: list(row[f"l{i}"]) for i, c in enumerate(cols)}
 
 
 def apply_one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.knn import knn_join
 from cohortspark.operators.quantiles import exact_quantiles
+from cohortspark.session import cut_lineage
 
 
 def median_fill(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
@@ -23,14 +24,15 @@ def median_fill(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict:
-    """AG18 / S27: most frequent value per column, ties to the lowest value.
-    One grouped count per column; only the single top row reaches the driver."""
-    out = {}
-    for c in cols:
-        top = (df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col(c).isNotNull())
-               .orderBy(F.col("n").desc(), F.col(c).asc()).limit(1).collect())
-        out[c] = top[0][0] if top else None
-    return out
+    """AG18 / S27: most frequent value per column, ties to the lowest value. All columns are counted in
+    one job (one grouping set per column); a single row reaches the driver."""
+    names = {c: f"__m{i}" for i, c in enumerate(cols)}
+    counts = (df.select(*[F.col(c).alias(n) for c, n in names.items()])
+              .groupingSets([[F.col(n)] for n in names.values()], *[F.col(n) for n in names.values()])
+              .agg(F.count(F.lit(1)).alias("__n")))
+    row = counts.agg(*[F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct(-F.col("__n"), F.col(n)))).alias(n)
+                       for n in names.values()]).first()
+    return {c: row[n] for c, n in names.items()}
 
 
 def mode_fill(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
@@ -45,9 +47,9 @@ def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str], k
     """IM4 / S16: KNN imputation, k neighbours, 1/d weights, nan-Euclidean
     distance over ``feats``. For each target column, queries are rows missing
     it and donors are rows having it. Zero-distance donors take all the
-    weight; a row with no usable donor gets the column mean. ``grid`` columns
-    must be complete (they bound the search)."""
-    targets = targets or [c for c in feats if c not in grid]
+    weight; a row with no usable donor gets the column mean. Any column may
+    have gaps and be filled, those in ``grid`` (which bound the search) too."""
+    targets = targets or feats
     df = df.cache()  # read once per target column and per search round
     out = df
     means = df.agg(*[F.avg(F.col(c)).alias(c) for c in targets]).first()
@@ -62,6 +64,8 @@ def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str], k
         out = (out.join(filled, key, "left")
                .withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{c}"), F.lit(means[c])))
                .drop(f"__fill_{c}"))
+    out = cut_lineage(out)
+    df.unpersist()
     return out
 
 
@@ -92,6 +96,6 @@ def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str],
     pred_cols = [c for c in df.columns if c != target]
     predicted = labels.select(*pred_cols, F.col("__pred").cast(df.schema[target].dataType).alias(target))
     rest = df.where(~ok)
-    filled = rest.unionByName(predicted.select(*df.columns))
+    filled = cut_lineage(rest.unionByName(predicted.select(*df.columns)))   # the forest scores once
     filled, _ = mode_fill(filled, [target])
     return filled, pipe

@@ -34,7 +34,7 @@ def rule_accuracy(df: DataFrame, label: str, rules: dict[str, float], alert: flo
 
 def range_overlap(df: DataFrame, label: str, feats: list[str], pos=1) -> DataFrame:
     """AG25: overlap of the class ranges and the % of all rows inside it
-    (0 when the ranges do not overlap). Two passes: class min/max, then counts."""
+    (0 when the ranges do not overlap; a class without values has NULL bounds and no overlap). Two passes: class min/max, then counts."""
     aggs = []
     for i, f in enumerate(feats):
         x = F.col(f).cast("double")
@@ -44,13 +44,13 @@ def range_overlap(df: DataFrame, label: str, feats: list[str], pos=1) -> DataFra
     r = df.agg(*aggs).first()
     bounds = []
     for i, f in enumerate(feats):
-        lo = max(r[f"a{i}"], r[f"c{i}"])
-        hi = min(r[f"b{i}"], r[f"d{i}"])
+        a, b, c, d = (r[f"{e}{i}"] for e in "abcd")
+        lo, hi = (None, None) if a is None or c is None else (max(a, c), min(b, d))
         bounds.append((f, r[f"a{i}"], r[f"b{i}"], r[f"c{i}"], r[f"d{i}"], lo, hi))
     cnt = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if(F.col(f).cast("double").between(F.lit(lo), F.lit(hi))).alias(f"o{i}")
+        F.count_if(F.col(f).cast("double").between(F.lit(lo).cast("double"), F.lit(hi).cast("double"))).alias(f"o{i}")
         for i, (f, *_, lo, hi) in enumerate(bounds)]).first()
-    rows = [(f, a, b, c, d, lo, hi, (cnt[f"o{i}"] / cnt["n"] * 100.0) if hi > lo else 0.0)
+    rows = [(f, a, b, c, d, lo, hi, (cnt[f"o{i}"] / cnt["n"] * 100.0) if lo is not None and hi > lo else 0.0)
             for i, (f, a, b, c, d, lo, hi) in enumerate(bounds)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, pos_min double, pos_max double, neg_min double, neg_max double, "

@@ -15,14 +15,24 @@ from pyspark.sql import functions as F
 from cohortspark.functions.presets import CV_AGREEMENT_STDS, OVERFIT_CUTS
 
 
-def confusion(df: DataFrame, label: str, pred: str, classes: list) -> DataFrame:
-    """ME1: (label, prediction, n) for every class pair, zero cells included.
-    The k*k grid is a literal table of the known classes (no cross join of data)."""
+# The status words of the over-fit report.
+OVERFIT_WORDS = ("Good", "Moderate", "High")
+
+
+def confusion(df: DataFrame, label: str, pred: str, classes: list | None = None) -> DataFrame:
+    """ME1: (label, prediction, n) for every class pair, zero cells included. The classes are those of the
+    data, as label or prediction (NULL too), and those named; so no row is left out. The k*k grid is the
+    result itself: one row of distinct classes, exploded twice."""
     counts = df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
-    grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes],
-                                           counts.select("label", "prediction").schema)
-    return grid.join(F.broadcast(counts), ["label", "prediction"], "left").fillna(0, ["n"])
+    kind = counts.schema["label"].dataType
+    named = F.array(*[F.struct(F.lit(c).cast(kind).alias("c")) for c in classes or []]).cast(f"array<struct<c: {kind.simpleString()}>>")
+    seen = F.flatten(F.collect_set(F.array(F.struct(F.col("label").alias("c")), F.struct(F.col("prediction").cast(kind).alias("c")))))
+    every = counts.agg(F.array_distinct(F.concat(seen, named)).alias("all"))
+    grid = every.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).select(
+        F.col("a.c").alias("l"), F.col("b.c").alias("p"))
+    return grid.join(counts, F.col("l").eqNullSafe(F.col("label")) & F.col("p").eqNullSafe(F.col("prediction")), "left").select(
+        F.col("l").alias("label"), F.col("p").alias("prediction"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -48,9 +58,9 @@ def class_report(conf: DataFrame) -> DataFrame:
     and 'weighted avg' rows, from a confusion table."""
     per = conf.groupBy("label").agg(
         F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
+        F.sum(F.when(F.col("label").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(0)).alias("tp"))
     predicted = conf.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("pred_n"))
-    m = per.join(predicted, "label")
+    m = per.join(predicted.withColumnRenamed("label", "__p"), F.col("label").eqNullSafe(F.col("__p")))
     m = m.select(F.col("label").cast("string").alias("class_name"), "support",
                  _div(F.col("tp"), F.col("pred_n")).alias("precision"),
                  _div(F.col("tp"), F.col("support")).alias("recall"))
@@ -69,7 +79,7 @@ def cohen_kappa(conf: DataFrame) -> DataFrame:
     chance-agreement count."""
     r = F.sum("n").over(Window.partitionBy("label"))
     k = F.sum("n").over(Window.partitionBy("prediction"))
-    diag = F.col("label") == F.col("prediction")
+    diag = F.col("label").eqNullSafe(F.col("prediction"))
     m = conf.select("n", diag.alias("d"), r.alias("r"), k.alias("k"))
     s = m.agg(F.sum("n").alias("N"), F.sum(F.when(F.col("d"), F.col("n")).otherwise(0)).alias("agree"),
               F.sum(F.when(F.col("d"), F.col("r") * F.col("k")).otherwise(0)).alias("pe_num"))
@@ -122,7 +132,8 @@ def overfit_gap(train_acc: Column, test_acc: Column) -> Column:
     """ME12: gap class on train - test accuracy (< .05, < .10, else)."""
     lo, hi = OVERFIT_CUTS
     gap = train_acc - test_acc
-    return F.when(gap < lo, "minimal").when(gap < hi, "moderate").otherwise("high")
+    good, moderate, high = OVERFIT_WORDS
+    return F.when(gap < lo, good).when(gap < hi, moderate).otherwise(high)
 
 
 def per_fold_accuracy(pred: DataFrame, fold: str, label: str, prediction: str) -> DataFrame:

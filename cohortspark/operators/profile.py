@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.operators.quantiles import exact_quantiles
+from cohortspark.operators.quantiles import (
+    class_quantile_table, exact_quantiles, present, quantile_table, to_long,
+)
+from cohortspark.operators.ranking import running_total
+from cohortspark.session import cut_lineage
 
 # The percentile ladder and quartiles of the reference reports.
 PERCENTILE_LADDER = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -35,7 +39,7 @@ def _from_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def missing_report(df: DataFrame, cols: list[str] | None = None, only_missing: bool = False) -> DataFrame:
-    """AG4: missing count and % per column from one pass, sorted by count desc."""
+    """AG4: missing count and % per column from one pass, most missing first."""
     cols = cols or df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
@@ -44,23 +48,20 @@ def missing_report(df: DataFrame, cols: list[str] | None = None, only_missing: b
                       (F.col("n_missing") / F.col("__n") * 100).alias("pct_missing"))
     if only_missing:
         out = out.where(F.col("n_missing") > 0)
-    return out
+    return out.orderBy(F.col("n_missing").desc(), "column_name")
 
 
 def numeric_describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """AG1 + AG2: count, missing, mean, sample std, min, 25/50/75 %, max per column."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"m{i}"),
-                 F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    qs = exact_quantiles(df, cols, list(QUARTILES))
-    rows = [(c, row[f"n{i}"], row[f"m{i}"], row[f"a{i}"], row[f"s{i}"], row[f"lo{i}"],
-             *qs[c], row[f"hi{i}"]) for i, c in enumerate(cols)]
-    return _from_rows(df, rows, "column_name string, n bigint, n_missing bigint, mean double, "
-                                "std double, min double, p25 double, p50 double, p75 double, max double")
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), present(F.col(c)).alias("x")) for c in cols])
+    moments = df.select(F.inline(entries)).groupBy("column_name").agg(
+        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_missing"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    t = quantile_table(to_long(df, cols), list(QUARTILES))
+    q = t.groupBy(F.col("__g").alias("name")).agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"p{p}")
+                                                    for j, p in enumerate((25, 50, 75))])
+    return moments.join(q, F.col("column_name") == F.col("name"), "left").select(
+        "column_name", "n", "n_missing", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def percentile_ladder(df: DataFrame, cols: list[str], probs=PERCENTILE_LADDER) -> DataFrame:
@@ -84,9 +85,9 @@ def categorical_describe(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """AG5 / AG29 / CL7: count and % of total per value (NULL kept as a value)."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    # the total is one scalar: no window over all distinct values in one task
-    total = df.count()
+    counts = cut_lineage(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")))
+    # the total is one scalar summed from the counts: no second scan, no window over all distinct values
+    total = counts.agg(F.sum("n")).first()[0]
     return counts.withColumn("pct", F.col("n") / F.lit(total) * 100)
 
 
@@ -102,6 +103,11 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def drop_duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """AG7: the table without repeated rows (of ``cols``, where given)."""
+    return df.dropDuplicates(cols) if cols else df.distinct()
+
+
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """AG7: fully repeated rows with their multiplicity (``dropDuplicates`` removes them)."""
     cols = cols or df.columns
@@ -124,44 +130,30 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
                       (F.lit(lo) + F.col("bin") * F.lit(width)).alias("hi"))
 
 
-def class_quantiles(df: DataFrame, cols: list[str], by: str, classes: list, probs) -> dict:
-    """Exact quantiles of each column within each class: the columns are
-    unpivoted with the class kept, keyed 'column\x01class', and ranked by
-    ``grouped_quantiles``. Returns every requested (column, class) key."""
-    from cohortspark.operators.quantiles import WIDE_MAX, grouped_quantiles
-    if len(cols) * len(classes) <= WIDE_MAX:
-        return exact_quantiles(df, {f"{c}\u0001{k}": F.when(F.col(by) == F.lit(k), F.col(c))
-                                    for c in cols for k in classes}, list(probs))
-    long = df.select(F.col(by).cast("string").alias("__cls"), *[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot(["__cls"], cols, "__col", "__v").where(F.col("__v").isNotNull() & F.col("__cls").isNotNull())
-    long = long.select(F.concat_ws("\u0001", "__col", "__cls").alias("__g"), "__v")
-    res = grouped_quantiles(long, list(probs))
-    return {f"{c}\u0001{k}": res.get(f"{c}\u0001{k}", [None] * len(probs)) for c in cols for k in classes}
-
-
-def box_stats(df: DataFrame, cols: list[str], by: str, classes: list) -> DataFrame:
-    """AG30: quartiles, 1.5 IQR fences, whisker ends (most extreme values
-    inside the fences) and outlier counts per (column, class)."""
-    qs = class_quantiles(df, cols, by, classes, QUARTILES)
-    aggs = []
-    keys = []
-    for c in cols:
-        for k in classes:
-            q1, med, q3 = qs[f"{c}\u0001{k}"]
-            if q1 is None:
-                continue
-            iqr = q3 - q1
-            flo, fhi = q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr
-            x = F.when(F.col(by) == F.lit(k), F.col(c).cast("double"))
-            i = len(keys)
-            keys.append((c, k, q1, med, q3, iqr, flo, fhi))
-            aggs += [F.min(F.when(x >= flo, x)).alias(f"wl{i}"), F.max(F.when(x <= fhi, x)).alias(f"wh{i}"),
-                     F.count_if((x < flo) | (x > fhi)).alias(f"o{i}"), F.count(x).alias(f"n{i}")]
-    row = df.agg(*aggs).first() if aggs else None
-    rows = [(c, str(k), q1, med, q3, iqr, row[f"wl{i}"], row[f"wh{i}"], row[f"o{i}"], row[f"n{i}"])
-            for i, (c, k, q1, med, q3, iqr, flo, fhi) in enumerate(keys)]
-    return _from_rows(df, rows, "column_name string, class string, q1 double, median double, q3 double, "
-                                "iqr double, whisker_lo double, whisker_hi double, n_outliers bigint, n bigint")
+def class_quantiles(df: DataFrame, cols: list[str], by: str, probs) -> DataFrame:
+    """Exact quantiles of each column within each class of the data: a row per class with one array of
+    quantiles per column."""
+    t = class_quantile_table(df, cols, by, list(probs))
+    return t.groupBy(by).agg(*[F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(c) for c in cols])
+
+
+def box_stats(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+    """AG30: quartiles, 1.5 IQR fences, whisker ends (most extreme values inside the fences) and outlier
+    counts per (column, class), for every class of the data."""
+    t = class_quantile_table(df, cols, by, list(QUARTILES))
+    q1, q3 = F.col("q")[0], F.col("q")[2]
+    iqr = q3 - q1
+    fences = t.select(F.col("column_name"), F.col(by).alias("__class"), q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"),
+                      iqr.alias("iqr"), (q1 - IQR_FACTOR * iqr).alias("__lo"), (q3 + IQR_FACTOR * iqr).alias("__hi"))
+    rows = to_long(df, cols, by).join(fences.select(F.col("column_name").alias("__c"), F.col("__class").alias("__k"), "__lo", "__hi"),
+                                      (F.col("__g") == F.col("__c")) & F.col("__by").eqNullSafe(F.col("__k")))
+    v = F.col("__v")
+    ends = rows.groupBy("__c", "__k").agg(
+        F.min(F.when(v >= F.col("__lo"), v)).alias("whisker_lo"), F.max(F.when(v <= F.col("__hi"), v)).alias("whisker_hi"),
+        F.count_if((v < F.col("__lo")) | (v > F.col("__hi"))).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
+    return fences.join(ends, (F.col("column_name") == F.col("__c")) & F.col("__class").eqNullSafe(F.col("__k"))).select(
+        "column_name", F.col("__class").cast("string").alias("class"), "q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi",
+        "n_outliers", "n")
 
 
 def binary_counts_by_class(df: DataFrame, cols: list[str], by: str) -> DataFrame:
@@ -178,18 +170,13 @@ def group_means_pivot(df: DataFrame, cols: list[str], by: str, classes: list) ->
     return long.groupBy("column_name").pivot(by, classes).agg(F.avg("value"))
 
 
-def group_median_iqr(df: DataFrame, cols: list[str], by: str, classes: list, overall: str = "Overall") -> DataFrame:
-    """AG13 + FN7: 'median (q1-q3)' per (column, group) plus an overall column;
-    numbers are half-even rounded to one decimal before printing."""
-    qs = class_quantiles(df, cols, by, classes, QUARTILES)
-    allq = exact_quantiles(df, cols, list(QUARTILES))
-    rows = []
-    for c in cols:
-        for k in classes:
-            rows.append((c, str(k), *qs[f"{c}\u0001{k}"]))
-        rows.append((c, overall, *allq[c]))
-    t = _from_rows(df, rows, "column_name string, grp string, q1 double, median double, q3 double")
-    return t.select("column_name", "grp", median_iqr_text(F.col("median"), F.col("q1"), F.col("q3")).alias("summary"))
+def group_median_iqr(df: DataFrame, cols: list[str], by: str, overall: str = "Overall") -> DataFrame:
+    """AG13 + FN7: 'median (q1-q3)' per (column, group) for every group of the data, plus an overall
+    column; numbers are half-even rounded to one decimal before printing. Every row enters once for its
+    group and once for the overall column, in one pass."""
+    both = df.select(F.explode(F.array(F.col(by).cast("string"), F.lit(overall))).alias("grp"), *cols)
+    t = class_quantile_table(both, cols, "grp", list(QUARTILES))
+    return t.select("column_name", "grp", median_iqr_text(F.col("q")[1], F.col("q")[0], F.col("q")[2]).alias("summary"))
 
 
 def median_iqr_text(med: Column, q1: Column, q3: Column) -> Column:
@@ -257,15 +244,7 @@ def portable_hash(key: list[str], seed: int = 42) -> Column:
 
 def rank_within_group(df: DataFrame, group: list[str], order: list[Column], out: str = "rank",
                       partitions: int | None = None) -> DataFrame:
-    """Row number within each group in the given order, without putting a
-    whole group in one task: range-partition on (group, order), number the
-    rows inside each (group, slice) with a window, then add the count of the
-    group's rows in earlier slices (a groups x slices table, broadcast)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("__pid", F.spark_partition_id())
-    local = ranged.withColumn("__lr", F.row_number().over(Window.partitionBy(*group, "__pid").orderBy(*order)))
-    counts = ranged.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offsets), [*group, "__pid"])
-            .withColumn(out, (F.col("__lr") + F.col("__off")).cast("int")).drop("__pid", "__lr", "__off"))
+    """Row number within each group (NULL is a group) in the given order, without putting a whole group in
+    one task (``running_total`` of ones)."""
+    ranked = running_total(df, group, order, F.lit(1).cast("long"), out, partitions)
+    return ranked.withColumn(out, F.col(out).cast("int"))

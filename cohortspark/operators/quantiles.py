@@ -1,401 +1,151 @@
 """Exact, distributed quantiles and right-closed binning (S1, S2, EN8, EN9).
 
-Spark's ``percentile`` aggregate keeps a value -> count map per group and
-merges it in one task, so a global exact quantile of a high-cardinality
-column would pull the whole column into one task. ``grouped_quantiles``
-instead narrows a value bracket around each needed rank with bounded
-``percentile_approx`` sketches and counting passes over a long
-(group, value) frame, and only ranks the last small bracket (at most
-``limit`` rows; ties are counted, not sorted) with a window over its distinct
-values. Every pass is a short grouped aggregation (code-generated) plus a
-broadcast join against the bracket table (groups x probabilities rows); only
-a few numbers per group reach the driver.
-
-Linear interpolation follows ``v[lo] + (v[hi] - v[lo]) * frac`` with
-``h = (n - 1) * p`` (pandas / DuckDB ``quantile_cont`` / Spark ``percentile``).
-"""
-
-from __future__ import annotations
+Spark's ``percentile`` aggregate keeps a value -> count map per group and merges it in one task.
+``quantile_table`` reads the (group, value) rows twice instead, on one path for every size:
 
-import math
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+1. one grouped aggregation gives count, min, max and a bounded ``percentile_approx`` sketch, whose
+   values at p -+ margin bracket the wanted ranks;
+2. one grouped count keeps values inside a bracket and folds all rows of each gap between brackets
+   into one entry with its count, least and greatest value.
 
+A running total over these entries (``running_total``: no group in one task) finds every rank. A rank
+at the edge of a gap is its least or greatest value; should a sketch ever miss by more, that gap
+becomes the bracket of another pass of step 2, until every rank is found.
 
-@dataclass
-class _Bracket:
-    key: str
-    lo: float
-    hi: float
-    below: int  # rows of the group with value < lo
-    inside: int  # rows of the group with lo <= value <= hi
-    ranks: set[int] = field(default_factory=set)
-
-
-def _needed_ranks(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        r0 = int(math.floor(h))
-        r0 = min(max(r0, 0), n - 1)
-        r1 = min(r0 + 1, n - 1)
-        out.append((r0, r1, h - r0))
-    return out
+Linear interpolation follows ``v[lo] + (v[hi] - v[lo]) * frac`` with ``h = (n - 1) * p`` (pandas /
+DuckDB ``quantile_cont`` / Spark ``percentile``). NULL and NaN are missing values and ignored.
+"""
 
+from __future__ import annotations
 
-def _merge(brackets: list[_Bracket], keep_counts: bool = False) -> list[_Bracket]:
-    """Union overlapping brackets of the same group (a row then belongs to at
-    most one bracket of its group)."""
-    out: list[_Bracket] = []
-    for b in sorted(brackets, key=lambda x: (x.key, x.lo, x.hi)):
-        if out and out[-1].key == b.key and b.lo <= out[-1].hi:
-            out[-1].hi = max(out[-1].hi, b.hi)
-            out[-1].ranks |= b.ranks
-            out[-1].below = out[-1].inside = 0
-        else:
-            out.append(_Bracket(b.key, b.lo, b.hi, b.below if keep_counts else 0,
-                                b.inside if keep_counts else 0, set(b.ranks)))
-    return out
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from cohortspark.operators.ranking import running_total
+from cohortspark.session import cut_lineage
 
-def _bracket_frame(long: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """Rows of ``long`` joined to their group's brackets. The bracket table has
-    one row per (group, bracket) — groups x probabilities, independent of the
-    data size — and is broadcast."""
-    spark = long.sparkSession
-    b = spark.createDataFrame([(i, x.key, float(x.lo), float(x.hi)) for i, x in enumerate(brackets)],
-                              "__bid int, __g string, __lo double, __hi double")
-    return long.join(F.broadcast(b), "__g")
-
-
-def _count_pass(long: DataFrame, brackets: list[_Bracket]) -> None:
-    j = _bracket_frame(long, brackets)
-    rows = j.groupBy("__bid").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("below"),
-                                  F.count_if(F.col("__v").between(F.col("__lo"), F.col("__hi"))).alias("inside")).collect()
-    got = {r["__bid"]: (int(r["below"]), int(r["inside"])) for r in rows}
-    for i, b in enumerate(brackets):
-        b.below, b.inside = got.get(i, (0, 0))
-
-
-def _select_ranks(long: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """Values at the requested ranks.
-
-    A bracket holding a single value answers directly. Otherwise the bracket
-    rows are counted per distinct value (partial aggregation, so ties cost
-    nothing) and a running count over the distinct values of each bracket
-    (at most ``limit`` of them) locates every rank."""
-    out: dict[tuple[str, int], float] = {}
-    todo = []
-    for b in brackets:
-        if b.lo == b.hi:
-            for r in b.ranks:
-                out[(b.key, r)] = b.lo
-        else:
-            todo.append(b)
-    if not todo:
-        return out
-    j = _bracket_frame(long, todo).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    counts = j.groupBy("__bid", "__v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("__bid").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("cum", F.sum("n").over(w))
-    spark = long.sparkSession
-    wanted = spark.createDataFrame([(i, r - b.below + 1) for i, b in enumerate(todo) for r in b.ranks],
-                                   "__bid int, pos long")
-    hits = (counts.join(F.broadcast(wanted), "__bid")
-            .where((F.col("cum") >= F.col("pos")) & (F.col("cum") - F.col("n") < F.col("pos")))
-            .select("__bid", "pos", "__v").collect())
-    got = {(int(r["__bid"]), int(r["pos"])): float(r["__v"]) for r in hits}
-    for i, b in enumerate(todo):
-        for r in b.ranks:
-            out[(b.key, r)] = got[(i, r - b.below + 1)]
-    return out
+ACCURACY = 10_000
 
 
-# Up to this many inputs the wide form (one expression per input in one
-# global aggregation) is used; beyond it the generated code grows past the
-# JVM method limit and the long (group, value) form is faster.
-WIDE_MAX = 12
+def present(c: Column) -> Column:
+    """The value as double; NaN counts as missing."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _exprs(cols) -> dict[str, Column]:
     if isinstance(cols, dict):
-        return {k: v.cast("double") for k, v in cols.items()}
-    return {c: F.col(c).cast("double") for c in cols}
+        return {k: present(v) for k, v in cols.items()}
+    return {c: present(F.col(c)) for c in cols}
 
 
-def to_long(df: DataFrame, cols) -> DataFrame:
-    """(__g, __v) rows: one per non-NULL value of each named column/expression."""
+def to_long(df: DataFrame, cols, by: str | None = None) -> DataFrame:
+    """(__g, __v) rows, one per present value of each named column or expression; with ``by`` also that
+    column as ``__by`` (NULL is a group)."""
     ex = _exprs(cols)
-    names = list(ex)
-    wide = df.select(*[e.alias(f"__c{i}") for i, e in enumerate(ex.values())])
-    long = wide.unpivot([], [f"__c{i}" for i in range(len(names))], "__k", "__v")
-    keymap = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"__c{i}"), F.lit(n))])
-    return long.where(F.col("__v").isNotNull()).select(keymap[F.col("__k")].alias("__g"), "__v")
-
-
-def _wide_count_pass(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> None:
-    exprs = []
-    for i, b in enumerate(brackets):
-        c = ex[b.key]
-        exprs.append(F.count_if(c < F.lit(b.lo)).alias(f"b{i}"))
-        exprs.append(F.count_if(c.between(F.lit(b.lo), F.lit(b.hi))).alias(f"i{i}"))
-    row = df.agg(*exprs).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = int(row[f"b{i}"]), int(row[f"i{i}"])
-
-
-def _wide_select_ranks(df: DataFrame, brackets: list[_Bracket], ex: dict[str, Column]) -> dict[tuple[str, int], float]:
-    """Values at the requested ranks.
-
-    A bracket holding a single value answers directly. Otherwise the bracket
-    rows are counted per distinct value (partial aggregation, so ties cost
-    nothing) and a running count over the distinct values of each bracket
-    (at most ``limit`` of them) locates every rank."""
-    out: dict[tuple[str, int], float] = {}
-    todo = []
-    for b in brackets:
-        if b.lo == b.hi:
-            for r in b.ranks:
-                out[(b.key, r)] = b.lo
-        else:
-            todo.append(b)
-    if not todo:
-        return out
-    structs = [
-        F.when(ex[b.key].between(F.lit(b.lo), F.lit(b.hi)),
-               F.struct(F.lit(i).alias("bid"), ex[b.key].alias("v")))
-        for i, b in enumerate(todo)
-    ]
-    cand = df.select(F.explode(F.array_compact(F.array(*structs))).alias("s")).select("s.bid", "s.v")
-    counts = cand.groupBy("bid", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("bid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("cum", F.sum("n").over(w))
-    wanted = [(i, r - b.below + 1) for i, b in enumerate(todo) for r in b.ranks]
-    cond = F.lit(False)
-    for i, pos in wanted:
-        cond = cond | ((F.col("bid") == i) & (F.col("cum") >= pos) & (F.col("cum") - F.col("n") < pos))
-    hits = [(int(r["bid"]), int(r["cum"]), int(r["n"]), float(r["v"])) for r in counts.where(cond).collect()]
-    for i, b in enumerate(todo):
-        for r in b.ranks:
-            pos = r - b.below + 1
-            out[(b.key, r)] = next(v for bid, cum, n, v in hits if bid == i and cum >= pos and cum - n < pos)
-    return out
-
-
-def _exact_wide(df: DataFrame, cols, probs: list[float], limit: int = 1_000_000,
-                    accuracy: int = 10_000, small: int = 50_000, max_iter: int = 8) -> dict[str, list]:
-    """Wide form of ``exact_quantiles`` for a few inputs: every pass is one
-    global aggregation with one expression per input (fastest while the
-    generated code stays small).
-
-    ``cols`` is a list of column names or a ``{name: Column}`` dict (e.g.
-    ``when(class == k, x)`` for per-class quantiles over a known class set).
-    Returns ``{name: [q(p) for p in probs]}`` (``None`` for an all-NULL input).
-    NULLs are ignored, like every engine's quantile aggregate.
-
-    Pass 1 computes count / min / max and a bounded sketch at p +- margin;
-    pass 2 counts the rows below and inside each bracket (widening a bracket
-    whose sketch missed); further sketch passes run only while a bracket holds
-    more than ``limit`` rows; the last pass ranks the few bracket rows with a
-    window. Columns with at most ``small`` values skip straight to ranking.
-    """
-    if not cols:
-        return {}
-    ex = _exprs(cols)
-    cols = list(ex)
-    names = {c: f"c{i}" for i, c in enumerate(cols)}
+    entries = F.array(*[F.struct(F.lit(n).alias("__g"), e.alias("__v")) for n, e in ex.items()])
+    keep = [F.col(by).alias("__by")] if by else []
+    return df.select(*keep, F.inline(entries)).where(F.col("__v").isNotNull())
+
+
+def _entries(long: DataFrame, brackets: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """Counts of the values inside the ``m`` brackets (columns lo0, hi0, ...) of each group and of every
+    gap between them: (keys, at, gap, n, least, greatest). A gap is placed after the bracket below it."""
+    b = brackets.select(*[F.col(k).alias(f"{k}_b") for k in keys], *[f"{e}{j}" for j in range(m) for e in ("lo", "hi")])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    v, inside, below = F.col("__v"), F.lit(False), F.lit(float("-inf"))
+    for j in range(m):
+        inside = inside | v.between(F.col(f"lo{j}"), F.col(f"hi{j}"))
+        below = F.greatest(below, F.when(F.col(f"hi{j}") < v, F.col(f"hi{j}")))
+    placed = long.join(b, on).select(*keys, inside.alias("__in"), below.alias("__below"), "__v")
+    placed = placed.select(*keys, F.when(F.col("__in"), F.col("__v")).otherwise(F.col("__below")).alias("at"),
+                           F.when(F.col("__in"), 0).otherwise(1).alias("gap"), "__v")
+    return placed.groupBy(*keys, "at", "gap").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"),
+                                                  F.max("__v").alias("greatest"))
+
+
+def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, p, q, n, least, greatest): the exact quantiles of ``__v`` in every group of ``long``, a row per
+    group and probability, with the group's count, minimum and maximum."""
+    keys = keys or ["__g"]
     margin = 2.0 / accuracy
-    fr = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    row = df.agg(*[e for c in cols for e in (
-        F.count(ex[c]).alias(f"n_{names[c]}"),
-        F.min(ex[c]).alias(f"lo_{names[c]}"),
-        F.max(ex[c]).alias(f"hi_{names[c]}"),
-        F.percentile_approx(ex[c], fr, accuracy).alias(f"g_{names[c]}"))]).first()
-    stats = {f"{k}_{c}": row[f"{k}_{names[c]}"] for c in cols for k in ("n", "lo", "hi", "g")}
-    plans: dict[str, list[tuple[int, int, float]]] = {}
-    brackets: list[_Bracket] = []
-    need_count = False
-    for c in cols:
-        n = int(stats[f"n_{c}"])
-        if n == 0:
-            continue
-        plans[c] = _needed_ranks(n, probs)
-        lo_c, hi_c = float(stats[f"lo_{c}"]), float(stats[f"hi_{c}"])
-        if n <= small:
-            ranks = {r for r0, r1, _ in plans[c] for r in (r0, r1)}
-            brackets.append(_Bracket(c, lo_c, hi_c, 0, n, ranks))
-            continue
-        g = stats[f"g_{c}"]
-        subs = []
-        for p, (r0, r1, _) in zip(probs, plans[c]):
-            a, b = max(0.0, p - margin), min(1.0, p + margin)
-            lo = lo_c if a <= 0.0 else float(g[fr.index(a)])
-            hi = hi_c if b >= 1.0 else float(g[fr.index(b)])
-            subs.append(_Bracket(c, lo, hi, 0, 0, {r0, r1}))
-        brackets.extend(_merge(subs))
-        need_count = True
-    brackets = _merge(brackets, keep_counts=not need_count)
-
-    def count_and_widen():
-        _wide_count_pass(df, brackets, ex)
-        bad = False
-        for b in brackets:
-            for r in b.ranks:
-                if r < b.below:
-                    b.lo, bad = float(stats[f"lo_{b.key}"]), True
-                if r >= b.below + b.inside:
-                    b.hi, bad = float(stats[f"hi_{b.key}"]), True
-        return bad
-
-    if need_count and count_and_widen():
-        brackets = _merge(brackets)
-        count_and_widen()
-    for _ in range(max_iter):
-        big = [b for b in brackets if b.inside > limit and b.lo < b.hi]
-        if not big:
+    grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
+    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
+                                     F.percentile_approx("__v", grid, accuracy).alias("s"))
+    place = {g: F.col("s")[i] for i, g in enumerate(grid)} | {0.0: F.col("least"), 1.0: F.col("greatest")}
+    edges = [(place[max(0.0, p - margin)], place[min(1.0, p + margin)]) for p in probs]
+    brackets = cut_lineage(sketch.select(*keys, "n", "least", "greatest", *[
+        e.alias(f"{name}{j}") for j, pair in enumerate(edges) for name, e in zip(("lo", "hi"), pair)]))
+
+    # the ranks of every group: p -> floor((n - 1) p) and the one above it
+    h = (F.col("n") - 1) * F.col("w.p")
+    low = F.least(F.floor(h), F.col("n") - 1)
+    wanted = (brackets.select(*keys, "n", "least", "greatest", F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs)])).alias("w"))
+        .withColumn("frac", h - low).withColumn("r", F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), low.alias("rank")),
+            F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("n") - 1).alias("rank")))))
+        .select(*keys, F.col("n").alias("size"), F.col("least").alias("min"), F.col("greatest").alias("max"), "w.j", "w.p", "frac",
+                "r.side", "r.rank"))
+    found, m = None, len(probs)
+    while True:
+        upto = running_total(_entries(long, brackets, keys, m), keys, [F.col("at"), F.col("gap")], F.col("n"), "upto")
+        e = upto.select(*[F.col(k).alias(f"{k}_e") for k in keys], "at", "gap", "n", "least", "greatest", "upto")
+        on = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}_e"))
+        value = (F.when(F.col("gap") == 0, F.col("at")).when(F.col("rank") == F.col("upto") - F.col("n"), F.col("least"))
+                 .when(F.col("rank") == F.col("upto") - 1, F.col("greatest")))
+        hits = cut_lineage(wanted.join(e, on).select(*wanted.columns, value.alias("value"), "least", "greatest"))
+        done = hits.where(F.col("value").isNotNull()).select(*wanted.columns, "value")
+        found = done if found is None else found.unionByName(done)
+        missed = hits.where(F.col("value").isNull())
+        if missed.isEmpty():
             break
-        targets = []
-        for b in big:
-            pos = sorted({min(1.0, max(0.0, (r - b.below) / max(b.inside - 1, 1) + s * margin))
-                          for r in b.ranks for s in (-1, 1)})
-            targets.append(pos)
-        sketches = df.agg(*[
-            F.percentile_approx(F.when(ex[b.key].between(F.lit(b.lo), F.lit(b.hi)), ex[b.key]), pos, accuracy)
-            .alias(f"g{i}") for i, (b, pos) in enumerate(zip(big, targets))]).first()
-        refined: list[_Bracket] = [b for b in brackets if not (b.inside > limit and b.lo < b.hi)]
-        for i, (b, pos) in enumerate(zip(big, targets)):
-            g = sketches[f"g{i}"]
-            subs = []
-            for r in b.ranks:
-                f = (r - b.below) / max(b.inside - 1, 1)
-                a, z = min(1.0, max(0.0, f - margin)), min(1.0, max(0.0, f + margin))
-                lo = b.lo if a <= 0.0 else float(g[pos.index(a)])
-                hi = b.hi if z >= 1.0 else float(g[pos.index(z)])
-                subs.append(_Bracket(b.key, lo, hi, 0, 0, {r}))
-            refined.extend(_merge(subs))
-        brackets = _merge(refined)
-        if count_and_widen():
-            brackets = _merge(brackets)
-            count_and_widen()
-
-    values = _wide_select_ranks(df, brackets, ex) if brackets else {}
+        # search the missed gaps whole
+        wanted, m = missed.select(*wanted.columns), 1
+        long = long.join(missed.select(*keys).distinct(), keys, "left_semi") if keys == ["__g"] else long
+        brackets = missed.groupBy(*keys).agg(F.min("least").alias("lo0"), F.max("greatest").alias("hi0"))
+    both = found.groupBy(*keys, "j").agg(
+        F.first("p").alias("p"), F.first("frac").alias("frac"), F.first("size").alias("n"), F.first("min").alias("least"),
+        F.first("max").alias("greatest"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
+        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b"))
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("frac"))
+    return both.select(*keys, "j", "p", q.alias("q"), "n", "least", "greatest")
+
+
+def _by_group(table: DataFrame, n_probs: int) -> dict[str, list]:
     out: dict[str, list] = {}
-    for c in cols:
-        if c not in plans:
-            out[c] = [None] * len(probs)
-            continue
-        qs = []
-        for r0, r1, frac in plans[c]:
-            a, b = values[(c, r0)], values[(c, r1)]
-            qs.append(a if r0 == r1 or a == b else a + (b - a) * frac)
-        out[c] = qs
+    for r in table.select("__g", "j", "q").collect():
+        out.setdefault(r["__g"], [None] * n_probs)[r["j"]] = r["q"]
     return out
 
 
-def exact_quantiles(df: DataFrame, cols, probs: list[float], **kw) -> dict[str, list]:
-    """Exact linear-interpolated quantiles of each column in ``cols``.
-
-    ``cols`` is a list of column names or a ``{name: Column}`` dict.
-    Returns ``{name: [q(p) for p in probs]}`` (``None`` for an all-NULL input).
-    NULLs are ignored, like every engine's quantile aggregate."""
+def exact_quantiles(df: DataFrame, cols, probs: list[float], accuracy: int = ACCURACY) -> dict[str, list]:
+    """Exact linear-interpolated quantiles of each column in ``cols`` (names, or a ``{name: Column}`` dict):
+    ``{name: [q(p) for p in probs]}``, ``None`` for an input without values. A few numbers per column."""
     if not cols:
         return {}
-    names = list(_exprs(cols))
-    if len(names) <= WIDE_MAX:
-        return _exact_wide(df, cols, probs, **kw)
-    res = grouped_quantiles(to_long(df, cols), probs, **kw)
-    return {n: res.get(n, [None] * len(probs)) for n in names}
-
-
-def grouped_quantiles(long: DataFrame, probs: list[float], limit: int = 1_000_000, accuracy: int = 10_000,
-                      small: int = 50_000, max_iter: int = 8, grid: int = 1000) -> dict[str, list]:
-    """Exact quantiles of ``__v`` within each group ``__g`` of a long frame.
-
-    Pass 1 (one grouped aggregation): count / min / max and a bounded sketch
-    at p +- margin per group. Pass 2: rows below / inside each bracket (a
-    broadcast join against the small bracket table, widening a bracket whose
-    sketch missed). Further sketch passes run only while a bracket holds more
-    than ``limit`` rows. The last pass ranks the bracket's distinct values.
-    Groups with at most ``small`` values skip straight to ranking.
-    """
-    margin = 2.0 / accuracy
-    fr = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    long = long.select(F.col("__g").cast("string").alias("__g"), F.col("__v").cast("double").alias("__v"))
-    stats = {r["__g"]: r for r in long.groupBy("__g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"),
-        F.percentile_approx("__v", fr, accuracy).alias("g")).collect()}
-    plans: dict[str, list[tuple[int, int, float]]] = {}
-    brackets: list[_Bracket] = []
-    need_count = False
-    for key, st in stats.items():
-        n = int(st["n"])
-        plans[key] = _needed_ranks(n, probs)
-        lo_c, hi_c = float(st["lo"]), float(st["hi"])
-        if n <= small:
-            brackets.append(_Bracket(key, lo_c, hi_c, 0, n, {r for r0, r1, _ in plans[key] for r in (r0, r1)}))
-            continue
-        g = st["g"]
-        subs = []
-        for p, (r0, r1, _) in zip(probs, plans[key]):
-            a, b = max(0.0, p - margin), min(1.0, p + margin)
-            lo = lo_c if a <= 0.0 else float(g[fr.index(a)])
-            hi = hi_c if b >= 1.0 else float(g[fr.index(b)])
-            subs.append(_Bracket(key, lo, hi, 0, 0, {r0, r1}))
-        brackets.extend(_merge(subs))
-        need_count = True
-    brackets = _merge(brackets, keep_counts=not need_count)
-
-    def count_and_widen() -> bool:
-        _count_pass(long, brackets)
-        bad = False
-        for b in brackets:
-            for r in b.ranks:
-                if r < b.below:
-                    b.lo, bad = float(stats[b.key]["lo"]), True
-                if r >= b.below + b.inside:
-                    b.hi, bad = float(stats[b.key]["hi"]), True
-        return bad
-
-    if need_count and count_and_widen():
-        brackets = _merge(brackets)
-        count_and_widen()
-    fracs = [j / grid for j in range(grid + 1)]
-    for _ in range(max_iter):
-        big = [b for b in brackets if b.inside > limit and b.lo < b.hi]
-        if not big:
-            break
-        sk = {r["__bid"]: r["g"] for r in _bracket_frame(long, big)
-              .where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-              .groupBy("__bid").agg(F.percentile_approx("__v", fracs, accuracy).alias("g")).collect()}
-        keep = [b for b in brackets if not (b.inside > limit and b.lo < b.hi)]
-        refined: list[_Bracket] = []
-        for i, b in enumerate(big):
-            g = sk[i]
-            subs = []
-            for r in b.ranks:
-                f = (r - b.below) / max(b.inside - 1, 1)
-                lo_i = int(math.floor((f - margin) * grid)) - 1
-                hi_i = int(math.ceil((f + margin) * grid)) + 1
-                lo = b.lo if lo_i <= 0 else float(g[lo_i])
-                hi = b.hi if hi_i >= grid else float(g[hi_i])
-                subs.append(_Bracket(b.key, lo, hi, 0, 0, {r}))
-            refined.extend(_merge(subs))
-        brackets = _merge(keep + refined)
-        if count_and_widen():
-            brackets = _merge(brackets)
-            count_and_widen()
-
-    values = _select_ranks(long, brackets) if brackets else {}
-    out: dict[str, list] = {}
-    for key, plan in plans.items():
-        qs = []
-        for r0, r1, frac in plan:
-            a, b = values[(key, r0)], values[(key, r1)]
-            qs.append(a if r0 == r1 or a == b else a + (b - a) * frac)
-        out[key] = qs
-    return out
+    res = _by_group(quantile_table(to_long(df, cols), list(probs), accuracy=accuracy), len(probs))
+    return {n: res.get(n, [None] * len(probs)) for n in _exprs(cols)}
+
+
+def grouped_quantiles(long: DataFrame, probs: list[float], accuracy: int = ACCURACY) -> dict[str, list]:
+    """``quantile_table`` of a (__g, __v) frame as a dict, for callers with a bounded number of groups."""
+    long = long.select(F.col("__g").cast("string").alias("__g"), present(F.col("__v")).alias("__v")).where("__v IS NOT NULL")
+    return _by_group(quantile_table(long, list(probs), accuracy=accuracy), len(probs))
+
+
+def class_quantile_table(df: DataFrame, cols: list[str], by: str, probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles of each column in every class that the data has (NULL is a class): (column_name, by,
+    n, least, greatest, q), q an array in the order of ``probs``. No list of classes, nothing collected."""
+    t = quantile_table(to_long(df, cols, by), list(probs), ["__g", "__by"], accuracy)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("j", "q"))), lambda x: x["q"])
+    return t.groupBy("__g", "__by").agg(F.first("n").alias("n"), F.first("least").alias("least"),
+                                        F.first("greatest").alias("greatest"), ordered.alias("q")).select(
+        F.col("__g").alias("column_name"), F.col("__by").alias(by), "n", "least", "greatest", "q")
 
 
 def approx_quantiles(df: DataFrame, cols, probs: list[float],

@@ -68,17 +68,15 @@ def assign_folds(df: DataFrame, key: list[str], k: int = 5, seed: int = 42, out:
     return df.withColumn(out, fold_column(key, k, seed))
 
 
-def group_folds(df: DataFrame, group: str, out: str = "fold", max_groups: int = 10_000) -> tuple[DataFrame, list]:
-    """SP5: leave-one-group-out fold = position of the group in sorted order.
-    The distinct groups (bounded: they are the folds) are read once and mapped
-    with a literal map, instead of a dense_rank window over all rows. NULL
-    groups get a NULL fold (S24)."""
-    groups = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(max_groups + 1).collect()]
-    if len(groups) > max_groups:
-        raise ValueError(f"more than {max_groups} groups in {group}")
-    groups = sorted(groups)
-    m = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(g), F.lit(i))])
-    return df.withColumn(out, F.try_element_at(m, F.col(group))), groups
+def group_folds(df: DataFrame, group: str, out: str = "fold") -> tuple[DataFrame, DataFrame]:
+    """SP5: leave-one-group-out fold = position of the group in sorted order. The distinct groups are
+    numbered (``running_total``) and joined back; any number of groups will do. NULL groups get a
+    NULL fold (S24). Returns the frame and the (group, fold) table."""
+    from cohortspark.operators.ranking import running_total
+    groups = df.select(F.col(group).alias("__g")).where(F.col("__g").isNotNull()).distinct()
+    table = running_total(groups, [], [F.col("__g")], F.lit(1).cast("long"), "__at").select(
+        "__g", (F.col("__at") - 1).cast("int").alias(out))
+    return df.join(table, F.col(group) == F.col("__g"), "left").drop("__g"), table.withColumnRenamed("__g", group)
 
 
 def split_report(df: DataFrame, split: str, label: str) -> DataFrame:
@@ -193,7 +191,8 @@ def exact_stratified_split(df: DataFrame, key: list[str], label: str, names=("tr
     """
     from pyspark.sql import Window
     h = hash60(key, seed)
-    x = df.select(F.col(label).alias("__y"), h.alias("__h"), *[F.col(k) for k in key])
+    cls = F.to_json(F.struct(F.col(label).alias("y")))   # never NULL, so NULL is a class like the others
+    x = df.select(cls.alias("__y"), h.alias("__h"), *[F.col(k) for k in key])
     x = x.withColumn("__b", F.shiftright("__h", BUCKET_SHIFT))
     counts = x.groupBy("__y", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__y").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -241,7 +240,7 @@ def exact_stratified_split(df: DataFrame, key: list[str], label: str, names=("tr
         for j in reversed(range(len(cum_fracs))):
             if (y, j) in thresholds:
                 per = F.when(le(y, j), F.lit(names[j])).otherwise(per)
-        expr = F.when(F.col(label) == F.lit(y), per).otherwise(expr)
+        expr = F.when(cls == F.lit(y), per).otherwise(expr)
     return df.withColumn(out, expr)
 
 

@@ -47,8 +47,8 @@ s AS (SELECT -sum(p * log2(p)) AS h, count(*) AS k, sum(n) AS n, sum(p) AS ps FR
 SELECT round_even(h, 6) AS entropy, k AS n_classes, CAST(n AS BIGINT) AS n_rows, round_even(ps, 6) AS prob_sum,
        round_even(CASE WHEN k > 1 THEN log2(k) ELSE 0 END, 6) AS max_entropy,
        round_even(CASE WHEN k > 1 THEN h / log2(k) END, 6) AS normalised_entropy,
-       CASE WHEN h = 0 THEN 'pure' WHEN h / log2(k) < 0.3 THEN 'mostly pure'
-            WHEN h / log2(k) < 0.7 THEN 'moderately impure' ELSE 'highly impure' END AS purity,
+       CASE WHEN h = 0 THEN 'Pure' WHEN h / log2(k) < 0.3 THEN 'Relatively Pure'
+            WHEN h / log2(k) < 0.7 THEN 'Moderately Impure' ELSE 'Highly Impure' END AS purity,
        CASE WHEN h = 0 THEN 'pure' WHEN h < 0.5 THEN 'relatively pure'
             WHEN h < 0.9 THEN 'moderate impurity' ELSE 'high impurity' END AS purity_absolute FROM s""")
 def entropy_summary(spark, d):
@@ -120,13 +120,11 @@ FROM ({_ROW_SQL}) GROUP BY 1""")
 def row_entropy_by_class(spark, d):
     from cohortspark.operators.profile import class_quantiles
     x = _row_entropy_frame(spark, d)
-    classes = ["A", "N", "R"]
-    med = class_quantiles(x, ["row_entropy"], LI_TARGET, classes, [0.5])
-    mmap = F.create_map(*[v for k in classes for v in (F.lit(k), F.lit(med[f"row_entropy\u0001{k}"][0]))])
+    med = class_quantiles(x, ["row_entropy"], LI_TARGET, [0.5]).select(F.col(LI_TARGET).alias("cls"), F.col("row_entropy")[0].alias("median"))
     s = x.groupBy(LI_TARGET).agg(F.count(F.lit(1)).alias("n"), F.avg("row_entropy").alias("mean"),
                                  F.stddev_pop("row_entropy").alias("std_pop"))
-    return s.select(LI_TARGET, "n", r6("mean").alias("mean"), r6(mmap[F.col(LI_TARGET)]).alias("median"),
-                    r6("std_pop").alias("std_pop"))
+    return s.join(med, F.col(LI_TARGET).eqNullSafe(F.col("cls")), "left").select(
+        LI_TARGET, "n", r6("mean").alias("mean"), r6("median").alias("median"), r6("std_pop").alias("std_pop"))
 
 
 @register("row_entropy_extremes", "AG19", sql=f"""

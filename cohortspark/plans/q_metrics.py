@@ -179,7 +179,7 @@ def cv_vs_test(spark, d):
 WITH s AS (SELECT {_split_sql(H_LI, [C70], ['train', 'test'])} AS split, l_returnflag = pred AS ok FROM ({_PRED_SRC})),
 a AS (SELECT avg(ok::INTEGER) FILTER (WHERE split = 'train') AS tr, avg(ok::INTEGER) FILTER (WHERE split = 'test') AS te FROM s)
 SELECT round_even(tr, 6) AS train_accuracy, round_even(te, 6) AS test_accuracy, round_even(tr - te, 6) AS gap,
-       CASE WHEN tr - te < 0.05 THEN 'minimal' WHEN tr - te < 0.1 THEN 'moderate' ELSE 'high' END AS gap_class FROM a""")
+       CASE WHEN tr - te < 0.05 THEN 'Good' WHEN tr - te < 0.1 THEN 'Moderate' ELSE 'High' END AS gap_class FROM a""")
 def overfit_gap(spark, d):
     li = sp.assign_split(_pred(spark, d), LI_KEY)
     ok = (F.col(LI_TARGET) == F.col("pred")).cast("double")

@@ -68,7 +68,8 @@ def logo_folds(spark, d):
     o = t(spark, d, "orders").withColumn("grp", F.year("o_orderdate"))
     f, _ = sp.group_folds(o, "grp")
     n = f.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"))
-    return f.join(F.broadcast(n), "grp").select("grp", "fold", "n_rows", "o_orderkey")
+    n = n.withColumnRenamed("grp", "of")
+    return f.join(n, F.col("grp").eqNullSafe(F.col("of"))).select("grp", "fold", "n_rows", "o_orderkey")
 
 
 # ---------------------------------------------------------------- SP6
@@ -206,11 +207,9 @@ SELECT l_returnflag, round_even((q - lq) / (hq - lq), 6) AS l_quantity, round_ev
 def scaled_group_medians(spark, d):
     from cohortspark.operators.profile import class_quantiles
     li = t(spark, d, "lineitem")
-    cols, classes = ["l_quantity", "l_extendedprice"], ["A", "N", "R"]
+    cols = ["l_quantity", "l_extendedprice"]
     params = fe.fit_minmax(li, cols)
-    med = class_quantiles(li, cols, LI_TARGET, classes, [0.5])
-    rows = [(k, *[med[f"{c}\u0001{k}"][0] for c in cols]) for k in classes]
-    m = spark.createDataFrame(rows, f"{LI_TARGET} string, " + ", ".join(f"{c} double" for c in cols))
+    m = class_quantiles(li, cols, LI_TARGET, [0.5]).select(LI_TARGET, *[F.col(c)[0].alias(c) for c in cols])
     return fe.apply_minmax(m, params).select(LI_TARGET, *[r6(c).alias(c) for c in cols])
 
 

@@ -149,7 +149,7 @@ GROUP BY q1, med, q3""")
 
 @register("box_stats", "AG30 OU1", sql=_box_sql(["l_quantity", "l_extendedprice"], LI_TARGET, CLASSES))
 def box_stats(spark, d):
-    b = pf.box_stats(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], LI_TARGET, CLASSES)
+    b = pf.box_stats(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], LI_TARGET)
     return b.select("column_name", "class", *[r6(c).alias(c) for c in
                     ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]], "n_outliers", "n")
 
@@ -194,7 +194,7 @@ def _miqr_sql(cols, by, classes):
                                                              LI_TARGET, CLASSES))
 def group_median_iqr(spark, d):
     return pf.group_median_iqr(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                               LI_TARGET, CLASSES)
+                               LI_TARGET)
 
 
 # ---------------------------------------------------------------- AG15 / AG16

@@ -116,3 +116,80 @@ def test_rank_within_group_matches_window(spark):
     got = rank_within_group(df, ["g"], [F.col("v").desc(), F.col("id")], out="r", partitions=7)
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")))
     assert sorted(got.select("id", "r").collect()) == sorted(ref.select("id", "r").collect())
+
+
+def test_rank_within_group_beyond_the_range_sample(spark):
+    """More rows than a range sample sees, extra columns, a NULL group: equal to row_number()."""
+    from pyspark.sql import Window
+    from cohortspark.operators.profile import rank_within_group
+    df = spark.range(600_000).select(
+        F.col("id"), F.when(F.col("id") % 10 > 2, F.col("id") % 3).cast("int").alias("g"), ((F.col("id") * 7919) % 100_003).alias("v"),
+        (F.col("id") * 0.5).alias("x1"), F.col("id").cast("string").alias("x2"), F.lit("z").alias("x3"))
+    got = rank_within_group(df, ["g"], [F.col("v").desc(), F.col("id")], out="r")
+    ref = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), "id")).alias("want"))
+    assert got.columns == [*df.columns, "r"] and got.count() == 600_000
+    assert got.join(ref, "id").where(F.col("r") != F.col("want")).count() == 0
+
+
+def test_confusion_keeps_unlisted_and_null_labels(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", "zz"), ("q", "a"), (None, "b"), ("b", None)], "y string, p string")
+    conf = me.confusion(df, "y", "p", ["a", "b", "never"])
+    rows = {(r["label"], r["prediction"]): r["n"] for r in conf.collect()}
+    assert sum(rows.values()) == 5 and len(rows) == 36
+    assert rows["b", "zz"] == rows["q", "a"] == rows[None, "b"] == rows["b", None] == 1
+    k = me.cohen_kappa(conf).first()
+    assert k["observed_agreement"] == pytest.approx(0.2)
+
+
+def test_null_class_is_split_like_the_others(spark):
+    from cohortspark.operators import split as sp
+    df = spark.range(2000).select("id", F.when(F.col("id") < 1000, "c").alias("y"))
+    n = {(r["y"], r["split"]): r["count"] for r in sp.exact_stratified_split(df, ["id"], "y").groupBy("y", "split").count().collect()}
+    assert n == {("c", "train"): 700, ("c", "test"): 300, (None, "train"): 700, (None, "test"): 300}
+    folds, table = sp.group_folds(df, "y")
+    assert {(r["y"], r["fold"]) for r in folds.select("y", "fold").distinct().collect()} == {("c", 0), (None, None)}
+    assert folds.count() == 2000 and table.count() == 1
+
+
+def test_range_overlap_of_a_class_without_values(spark):
+    from cohortspark.operators import leakage as lk
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (0, None)], "y int, x double")
+    r = lk.range_overlap(df, "y", ["x"]).first()
+    assert r["neg_min"] is None and r["overlap_lo"] is None and r["overlap_pct"] == 0.0
+
+
+def test_knn_with_gaps_anywhere_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(160, 3)).round(2)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[:2] = [[np.nan, 5.0, np.nan], [0.0, 5.0, 1.0]]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = knn_join(df.where("id < 40"), df.where("id >= 40 or id = 0"), ["id"], ["id"], ["a", "b", "c"], 3, ["a", "b"],
+                   metric="nan_euclidean", occupancy=4)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["id"], []).append((r["nn_rank"], r["dist"]))
+    donors = [0, *range(40, 160)]
+    for i in range(40):
+        d = []
+        for j in donors:
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if both.any():
+                d.append(np.sqrt(3 / both.sum() * ((x[i] - x[j])[both] ** 2).sum()))
+        want = sorted(d)[:3]
+        assert [v for _, v in sorted(by.get(i, []))] == pytest.approx(want)
+
+
+def test_modes_in_one_pass(spark):
+    from cohortspark.operators import impute as im
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "a"), (2, "b"), (None, None), (None, None), (None, None)], "n int, s string")
+    assert im.modes(df, ["n", "s"]) == {"n": 1, "s": "a"}
+
+
+def test_rank_sum_labels_with_ties_and_other_k(spark):
+    rows = [(1, 5.0, 1.0, 9.0, 50.0, 30.0), (2, 5.0, 1.0, 9.0, 50.0, 30.0), (3, 1.0, 0.0, 1.0, 60.0, 20.0), (4, 0.0, 0.1, 2.0, 60.0, 25.0),
+            (5, 0.0, 0.0, 0.0, 10.0, 20.0)]
+    med = spark.createDataFrame(rows, "cluster int, lap double, log_tg_hdl double, waist_circumference double, age double, bmi double")
+    lab = {r["cluster"]: r["phenotype"] for r in cl.rank_sum_labels(med).collect()}
+    assert lab == {1: "SIRD", 3: "MARD", 2: "MOD", 4: "SIDD", 5: "SIDD"}

@@ -23,7 +23,7 @@ def test_constant_column_has_no_bins(spark):
     assert all(r[0] is None for r in df.select(q.bin_by_edges(F.col("x"), [])).collect())
 
 
-@pytest.mark.parametrize("kw", [{}, {"limit": 300, "small": 10}])
+@pytest.mark.parametrize("kw", [{}, {"accuracy": 100}, {"accuracy": 20}])
 def test_exact_quantiles_match_numpy_wide(spark, kw):
     rng = np.random.default_rng(7)
     a = rng.normal(size=4000).round(2)          # many ties
@@ -37,7 +37,7 @@ def test_exact_quantiles_match_numpy_wide(spark, kw):
         assert np.allclose(res[name], np.quantile(arr, probs), atol=1e-12)
 
 
-@pytest.mark.parametrize("kw", [{}, {"limit": 200, "small": 10}])
+@pytest.mark.parametrize("kw", [{}, {"accuracy": 100}])
 def test_grouped_quantiles_match_numpy(spark, kw):
     rng = np.random.default_rng(3)
     g = rng.integers(0, 20, size=5000)
@@ -52,3 +52,21 @@ def test_grouped_quantiles_match_numpy(spark, kw):
 def test_nulls_ignored(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
     assert q.exact_quantiles(df, ["x"], [0.5])["x"][0] == pytest.approx(2.0)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (3.0,)], "x double")
+    assert q.exact_quantiles(df, ["x"], [0.5])["x"][0] == pytest.approx(2.0)
+
+
+def test_class_table_has_every_class(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), ("new", 7.0), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: (r["n"], list(r["q"])) for r in q.class_quantile_table(df, ["x"], "k", [0.0, 0.5]).collect()}
+    assert got == {"a": (2, [1.0, 2.0]), None: (1, [5.0, 5.0]), "new": (1, [7.0, 7.0])}
+
+
+def test_many_rows_take_the_same_path(spark):
+    df = spark.range(600_000).select(((F.col("id") * 7919) % 600_000).cast("double").alias("x"), (F.col("id") % 3).alias("k"))
+    res = q.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.999, 1.0])["x"]
+    assert np.allclose(res, np.quantile(np.arange(600_000.0), [0.0, 0.1, 0.5, 0.999, 1.0]))

@@ -23,3 +23,15 @@ def test_stream_stateless_projection(spark):
     got = spark.read.parquet(out_dir + "/out")
     assert got.count() == src.count()
     assert got.agg(F.max("q")).first()[0] <= 48
+
+
+def test_restart_resumes_without_repeats(spark, tmp_path):
+    src = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    data, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for new, expect in ((True, 25), (True, 50), (False, 50)):
+        if new:
+            src.coalesce(1).write.mode("append").parquet(data)
+        stream_transform(spark, data, src.schema, lambda df: df, sink).awaitTermination(120)
+        assert spark.read.parquet(sink).count() == expect
+        # a new session's checkpoint folder must not matter
+        spark.sparkContext.setCheckpointDir(str(tmp_path / f"ckpt{expect}"))

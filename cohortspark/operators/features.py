@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,40 @@ ENGINEERED = ["metabolic_proxy", "ldl_hdl_ratio", "tc_hdl_ratio", "trig_hdl_rati
               "bmi_hdl", "log_lap", "log_metabolic", "log_vai", "wc_trig", "bmi_wc_hdl"]
 
 
+# The raw inputs and the columns that each nested feature set adds (FE11).
+BASE_SET = ["age", "bmi", "total_cholesterol", "ldl", "hdl", "triglycerides", "waist_circumference"]
+SET_STEPS = [
+    ("1. Baseline (raw only)", []),
+    ("2. + Metabolic Proxy", ["metabolic_proxy"]),
+    ("3. + Lipid Ratios", ["ldl_hdl_ratio", "tc_hdl_ratio", "trig_hdl_ratio"]),
+    ("4. + BMI*Age + Log", ["bmi_age", "log_trig", "log_bmi"]),
+    ("5. + Clinical Indices", ["vai", "lap", "tyg_proxy", "bmi_obese", "wc_risk", "tg_risk", "hdl_risk", "met_syndrome_count"]),
+]
+
+
+def nested_feature_sets(base: list[str], top: list[str], degree: int = 3) -> dict[str, list[str]]:
+    """FE11: seven feature sets, each holding the one before: the raw inputs, four named steps, all
+    engineered columns, and the products of the ``top`` columns up to ``degree``."""
+    sets, held = {}, list(base)
+    for name, added in SET_STEPS:
+        held = held + added
+        sets[name] = held
+    everything = list(base) + ENGINEERED
+    sets["6. + All Interactions"] = everything
+    sets["7. Full + Polynomial"] = everything + ["*".join(c) for c in interaction_names(top, degree)]
+    return sets
+
+
+def top_correlated(df: DataFrame, cols: list[str], target: str, n: int = 5) -> list[str]:
+    """FE10 selection: the ``n`` columns with the largest absolute correlation with the target (ties by
+    name), from one aggregation."""
+    y = F.col(target).cast("double")
+    row = df.agg(*[F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"c{i}")
+                   for i, x in enumerate(F.col(c).cast("double") for c in cols)]).first()
+    r = {c: row[f"c{i}"] for i, c in enumerate(cols)}
+    return sorted(cols, key=lambda c: (-(r[c] if r[c] is not None and r[c] == r[c] else -1.0), c))[:n]
+
+
 def interaction_names(cols: list[str], degree: int = 2) -> list[tuple[str, ...]]:
     """Column combinations of size 2..degree, in itertools order."""
     return [combo for k in range(2, degree + 1) for combo in combinations(cols, k)]
@@ -160,3 +195,48 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", handle_inval
     """FE16: numeric columns -> ML vector (MLlib ``VectorAssembler``)."""
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=handle_invalid).transform(df)
+
+
+def feature_columns(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[str]]:
+    """PR13 for FE16: (numeric, string) columns of the table without the excluded ones."""
+    from cohortspark.operators.profile import numeric_columns, string_columns
+    return ([c for c in numeric_columns(df) if c not in exclude], [c for c in string_columns(df) if c not in exclude])
+
+
+class ColumnTransformer(Estimator):
+    """FE16 as a fitted pipeline stage: numeric columns standardised with the fitting rows' mean and
+    population std, string columns as drop-first dummies of the fitting rows' levels (unknown levels and
+    NULL are all zeros), in that order in one vector. Inside a ``Pipeline`` it is refitted in every
+    cross-validation fold. A NULL number becomes the mean (0)."""
+
+    def __init__(self, numeric: list[str], strings: list[str] | None = None, out: str = "features"):
+        super().__init__()
+        self.numeric, self.strings, self.out = list(numeric), list(strings or []), out
+
+    def _fit(self, dataset: DataFrame) -> "ColumnTransformerModel":
+        scale = fit_standard(dataset, self.numeric) if self.numeric else {}
+        levels = fit_levels(dataset, self.strings) if self.strings else {}
+        return ColumnTransformerModel(scale, levels, self.out)
+
+
+class ColumnTransformerModel(Model):
+    """The fitted means, stds and levels, applied as literals in one projection."""
+
+    def __init__(self, scale: dict[str, tuple[float, float]], levels: dict[str, list], out: str):
+        super().__init__()
+        self.scale, self.levels, self.out = scale, levels, out
+
+    def columns(self) -> dict[str, Column]:
+        """name -> transformed column, in vector order."""
+        cols = {}
+        for c, (m, s) in self.scale.items():
+            x = F.col(c).cast("double") - F.lit(m)
+            cols[c] = F.coalesce(x / F.lit(s) if s else x * 0.0, F.lit(0.0))
+        for c, lv in self.levels.items():
+            for v in lv[1:]:
+                cols[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0))
+        return cols
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+        return dataset.withColumn(self.out, array_to_vector(F.array(*self.columns().values())))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.ranking import running_total
 from cohortspark.functions.presets import CV_AGREEMENT_STDS, OVERFIT_CUTS
 
 
@@ -99,16 +100,30 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> float:
     return float(ev.evaluate(data))
 
 
+def grouped_auc(df: DataFrame, keys: list[str], positive: Column, score: Column, weight: Column | None = None) -> DataFrame:
+    """Exact ROC-AUC (ties count 1/2) of every group in one pass: counts per (group, score), a running total
+    of the negatives below (``running_total``: no group in one task), one sum. Returns keys, auc, n_pos."""
+    w = weight if weight is not None else F.lit(1.0)
+    y = positive.cast("double")
+    c = df.select(*keys, (score.cast("double") + F.lit(0.0)).alias("__s"), (w * y).alias("__p"), (w * (1 - y)).alias("__q"))
+    c = c.groupBy(*keys, "__s").agg(F.sum("__p").alias("__p"), F.sum("__q").alias("__q"))
+    u = running_total(c, keys, [F.col("__s")], F.col("__q"), "__upto")
+    return u.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("__p") * (F.col("__upto") - F.col("__q") / 2)), F.sum("__p") * F.sum("__q")).alias("auc"),
+        F.sum("__p").alias("n_pos"))
+
+
 def roc_auc_ovr(df: DataFrame, label: str, scores: dict) -> DataFrame:
-    """ME9: one-vs-rest AUC per class, plus macro and support-weighted means.
+    """ME9: one-vs-rest AUC per class, plus macro and support-weighted means, all classes in one pass.
     ``scores`` maps class -> score column (probability or margin)."""
-    support = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    rows = [(str(k), roc_auc(df, label, s, positive=k), int(support.get(k, 0))) for k, s in scores.items()]
-    tot = sum(r[2] for r in rows)
-    macro = sum(r[1] for r in rows) / len(rows)
-    weighted = sum(r[1] * r[2] for r in rows) / tot if tot else 0.0
-    rows += [("macro avg", macro, tot), ("weighted avg", weighted, tot)]
-    return df.sparkSession.createDataFrame(rows, "class_name string, auc double, support bigint")
+    entries = F.array(*[F.struct(F.lit(str(k)).alias("class_name"), (F.col(label) == F.lit(k)).alias("y"),
+                                 F.col(s).cast("double").alias("s")) for k, s in scores.items()])
+    per = grouped_auc(df.select(F.inline(entries)), ["class_name"], F.col("y"), F.col("s")).select(
+        "class_name", "auc", F.col("n_pos").cast("bigint").alias("support"))
+    total = F.sum("support").cast("bigint").alias("support")
+    macro = per.agg(F.lit("macro avg").alias("class_name"), F.avg("auc").alias("auc"), total)
+    weighted = per.agg(F.lit("weighted avg").alias("class_name"), (F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"), total)
+    return per.unionByName(macro).unionByName(weighted)
 
 
 def fold_summary(per_fold: DataFrame, metrics: list[str]) -> DataFrame:

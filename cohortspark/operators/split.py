@@ -87,48 +87,12 @@ def split_report(df: DataFrame, split: str, label: str) -> DataFrame:
             .withColumn("split_rows", F.sum("n").over(Window.partitionBy(split))))
 
 
-# Poisson(1) inverse-CDF thresholds on a 32-bit uniform (S14): weight w is the
-# number of k with u >= floor(CDF(k) * 2^32).
-def _poisson_cuts(kmax: int = 12) -> list[int]:
-    cdf, p, cuts = 0.0, math.exp(-1.0), []
-    for k in range(kmax):
-        cdf += p
-        cuts.append(int(cdf * 4294967296))
-        p = p / (k + 1)
-    return cuts
-
-
-POISSON_CUTS = _poisson_cuts()
-
-
 # Integer mixing for per-replicate uniforms: all arithmetic stays below 2^62,
 # so Spark and DuckDB compute identical values (no overflow, no floats).
 MIX_P = 2147483647  # 2^31 - 1
 MIX_G, MIX_A, MIX_C1, MIX_C2 = 1000003, 48271, 12345, 67890
 
 
-def _mix(x: Column) -> Column:
-    p = F.lit(MIX_P)
-    x = (x * x + F.lit(MIX_C1)) % p
-    x = (x * F.lit(MIX_A) + F.lit(MIX_C2)) % p
-    return (x * x + F.lit(MIX_C1)) % p
-
-
-def bootstrap_weight(key: list[str], replicate: Column, seed: int = 42, base: Column | None = None) -> Column:
-    """Poisson(1) weight of a row in one bootstrap replicate — the scalable
-    equivalent of drawing n rows with replacement (equal in expectation).
-    One md5 per row gives a base value; each replicate mixes (base + r*G)
-    with integer squaring / multiplication mod 2^31-1 into a uniform in
-    [0, 2^31-1), compared with the Poisson CDF thresholds."""
-    if base is None:
-        base = hash60(key, seed, "boot") % F.lit(MIX_P)
-    u = _mix((base + replicate.cast("bigint") * F.lit(MIX_G)) % F.lit(MIX_P))
-    w = F.lit(0)
-    for c in POISSON_CUTS_P:
-        w = w + (u >= F.lit(c)).cast("int")
-    return w
-
-
 def _poisson_cuts_p(kmax: int = 12) -> list[int]:
     cdf, p, cuts = 0.0, math.exp(-1.0), []
     for k in range(kmax):
@@ -141,29 +105,47 @@ def _poisson_cuts_p(kmax: int = 12) -> list[int]:
 POISSON_CUTS_P = _poisson_cuts_p()
 
 
-def bootstrap_accuracy(df: DataFrame, key: list[str], label: str, pred: str, replicates: int = 100,
-                       seed: int = 42) -> DataFrame:
-    """SP6: per-replicate weighted accuracy. The md5 base is computed once per
-    row BEFORE the replicates are generated (``explode(sequence)``); each
-    mixing step is its own projection so the weight expression is not
-    re-inlined; a partial aggregate consumes the replicates inside the scan
-    pipeline, so only replicates x partitions rows are shuffled."""
+def bootstrap_rows(df: DataFrame, key: list[str], keep: list[Column], replicates: int, seed: int = 42) -> DataFrame:
+    """Every row once per replicate with its Poisson(1) weight ``__w``. The md5 base is computed once per
+    row BEFORE the replicates are generated (``explode(sequence)``); each mixing step is its own projection
+    so the weight expression is not re-inlined. Meant for an aggregate right after it."""
     p = F.lit(MIX_P)
-    base = df.select((hash60(key, seed, "boot") % p).alias("__b"),
-                     (F.col(label) == F.col(pred)).cast("int").alias("__ok"))
-    rep = base.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "__b", "__ok")
-    x = rep.select("replicate", "__ok", ((F.col("__b") + F.col("replicate").cast("bigint") * F.lit(MIX_G)) % p).alias("__x"))
-    x = x.select("replicate", "__ok", ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__x"))
-    x = x.select("replicate", "__ok", ((F.col("__x") * F.lit(MIX_A) + F.lit(MIX_C2)) % p).alias("__x"))
-    x = x.select("replicate", "__ok", ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__u"))
+    base = df.select((hash60(key, seed, "boot") % p).alias("__b"), *keep)
+    names = base.columns[1:]
+    rep = base.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "__b", *names)
+    x = rep.select("replicate", *names, ((F.col("__b") + F.col("replicate").cast("bigint") * F.lit(MIX_G)) % p).alias("__x"))
+    x = x.select("replicate", *names, ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__x"))
+    x = x.select("replicate", *names, ((F.col("__x") * F.lit(MIX_A) + F.lit(MIX_C2)) % p).alias("__x"))
+    x = x.select("replicate", *names, ((F.col("__x") * F.col("__x") + F.lit(MIX_C1)) % p).alias("__u"))
     w = F.lit(0)
     for c in POISSON_CUTS_P:
         w = w + (F.col("__u") >= F.lit(c)).cast("int")
-    x = x.select("replicate", "__ok", w.alias("__w"))
+    return x.select("replicate", *names, w.alias("__w"))
+
+
+def bootstrap_accuracy(df: DataFrame, key: list[str], label: str, pred: str, replicates: int = 100,
+                       seed: int = 42) -> DataFrame:
+    """SP6: per-replicate weighted accuracy. A partial aggregate consumes the replicates inside the scan
+    pipeline, so only replicates x partitions rows are shuffled."""
+    x = bootstrap_rows(df, key, [(F.col(label) == F.col(pred)).cast("int").alias("__ok")], replicates, seed)
     return x.groupBy("replicate").agg((F.sum(F.col("__w") * F.col("__ok")) / F.sum("__w")).alias("accuracy"),
                                       F.sum("__w").alias("n_drawn"))
 
 
+def bootstrap_binary(df: DataFrame, key: list[str], label: str, pred: str, score: str, replicates: int = 100,
+                     seed: int = 42) -> DataFrame:
+    """SP6: weighted accuracy, F1 and exact ROC-AUC of 0/1 labels in every replicate."""
+    from cohortspark.operators.metrics import grouped_auc
+    y, p = F.col("__y"), F.col("__p")
+    x = bootstrap_rows(df, key, [F.col(label).alias("__y"), F.col(pred).alias("__p"), F.col(score).cast("double").alias("__score")],
+                       replicates, seed)
+    total = lambda cond: F.sum(F.when(cond, F.col("__w")).otherwise(0))
+    m = x.groupBy("replicate").agg((total(y == p) / F.sum("__w")).alias("accuracy"),
+                                   F.try_divide(2 * total((y == 1) & (p == 1)), total(y == 1) + total(p == 1)).alias("f1"))
+    auc = grouped_auc(x, ["replicate"], y == 1, F.col("__score"), F.col("__w"))
+    return m.join(auc.select("replicate", "auc"), "replicate")
+
+
 def bootstrap_summary(reps: DataFrame, col: str = "accuracy") -> DataFrame:
     """SP6: mean, population std and 95 % percentile interval over replicates
     (the replicate table has ``replicates`` rows, so exact percentiles are cheap)."""

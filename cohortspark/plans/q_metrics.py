@@ -126,7 +126,11 @@ def auc_ovr(spark, d):
 # ---------------------------------------------------------------- ME10 / ME11
 _STEP5 = -(-sp.HASH_SPACE // 5)
 _FOLD_SQL = f"CAST(least({sp.hash60_sql(LI_KEY, salt='fold')} // {_STEP5}, 4) AS INTEGER)"
-_METRICS = ["accuracy", "precision", "recall", "f1"]
+_METRICS = ["accuracy", "precision", "recall", "f1", "auc"]
+# rank-sum AUC of l_quantity per group: ranks inside the group, ties averaged
+_AUC_BY = """SELECT {g}, (sum(rk) FILTER (WHERE y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0) / (count_if(y = 1) * count_if(y = 0)) AS auc
+   FROM (SELECT {g}, y, rank() OVER (PARTITION BY {g} ORDER BY l_quantity) + (count(*) OVER (PARTITION BY {g}, l_quantity) - 1) / 2.0 AS rk
+         FROM ({src})) GROUP BY {g}"""
 
 
 def _cv_sql():
@@ -139,8 +143,10 @@ def _cv_sql():
         coalesce(count_if(y = 1 AND pred_bin = 1) / nullif(count_if(pred_bin = 1), 0), 0) AS precision,
         coalesce(count_if(y = 1 AND pred_bin = 1) / nullif(count_if(y = 1), 0), 0) AS recall FROM ({src}) WHERE split = 'test'"""
     f1 = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END"
-    pf = f"SELECT *, {f1} AS f1 FROM ({per_fold})"
-    tt = f"SELECT *, {f1} AS f1 FROM ({test})"
+    auc_fold = _AUC_BY.format(g="fold", src=f"SELECT * FROM ({src}) WHERE split = 'train'")
+    auc_test = _AUC_BY.format(g="split", src=f"SELECT * FROM ({src}) WHERE split = 'test'")
+    pf = f"SELECT m.*, {f1} AS f1, auc FROM ({per_fold}) m JOIN ({auc_fold}) USING (fold)"
+    tt = f"SELECT m.*, {f1} AS f1, auc FROM ({test}) m, ({auc_test})"
     parts = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM pf) AS cv_mean, (SELECT stddev_pop({m}) FROM pf) AS cv_std, "
         f"(SELECT {m} FROM tt) AS test" for m in _METRICS)
@@ -156,9 +162,20 @@ def _fold_metrics(df, group):
     g = df.groupBy(*group) if group else df
     m = g.agg(F.avg((F.col("y") == F.col("pred_bin")).cast("double")).alias("accuracy"),
               prec.cast("double").alias("precision"), rec.cast("double").alias("recall"))
-    return m.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                        .otherwise(0.0))
+    m = m.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                  2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+                     .otherwise(0.0))
+    by = group or ["__all"]
+    auc = me.grouped_auc(df.withColumn("__all", F.lit(0)), by, F.col("y") == 1, F.col("l_quantity")).select(*by, "auc")
+    return m.join(auc, group) if group else m.withColumn("__all", F.lit(0)).join(auc, "__all").drop("__all")
+
+
+def _kappa_by(df, group):
+    """Cohen's kappa of the binary prediction per group, from one count table."""
+    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"), F.sum("pred_bin").alias("b"),
+                               F.sum((F.col("y") == F.col("pred_bin")).cast("long")).alias("ok"))
+    pe = (F.col("a") * F.col("b") + (F.col("n") - F.col("a")) * (F.col("n") - F.col("b"))) / (F.col("n") * F.col("n"))
+    return n.select(*group, ((F.col("ok") / F.col("n") - pe) / (1 - pe)).alias("kappa"))
 
 
 def _cv_frame(spark, d):
@@ -203,13 +220,17 @@ WITH s AS (SELECT {_split_sql(H_LI, [C60, C80], ['train', 'val', 'test'])} AS sp
 m AS (SELECT split, avg((y = pred_bin)::INTEGER) AS accuracy,
              coalesce(count_if(y = 1 AND pred_bin = 1) / nullif(count_if(pred_bin = 1), 0), 0) AS precision,
              coalesce(count_if(y = 1 AND pred_bin = 1) / nullif(count_if(y = 1), 0), 0) AS recall FROM s GROUP BY split),
+au AS ({_AUC_BY.format(g="split", src="SELECT * FROM s")}),
+ka AS (SELECT split, (po - pe) / (1 - pe) AS kappa FROM (SELECT split, avg((y = pred_bin)::INTEGER) AS po,
+       avg(y) * avg(pred_bin) + (1 - avg(y)) * (1 - avg(pred_bin)) AS pe FROM s GROUP BY split)),
 l AS (SELECT split, 'accuracy' AS metric, accuracy AS v FROM m UNION ALL SELECT split, 'precision', precision FROM m
-      UNION ALL SELECT split, 'recall', recall FROM m)
+      UNION ALL SELECT split, 'recall', recall FROM m UNION ALL SELECT split, 'f1', 2 * precision * recall / (precision + recall) FROM m
+      UNION ALL SELECT split, 'auc', auc FROM au UNION ALL SELECT split, 'kappa', kappa FROM ka)
 SELECT metric, round_even(max(v) FILTER (WHERE split = 'train'), 6) AS train, round_even(max(v) FILTER (WHERE split = 'val'), 6) AS val,
        round_even(max(v) FILTER (WHERE split = 'test'), 6) AS test FROM l GROUP BY metric""")
 def eval_summary(spark, d):
     li = sp.assign_split(_pred(spark, d), LI_KEY, ("train", "val", "test"), (0.6, 0.2, 0.2))
-    m = _fold_metrics(li, ["split"]).drop("f1")
-    long = m.unpivot(["split"], ["accuracy", "precision", "recall"], "metric", "v")
+    m = _fold_metrics(li, ["split"]).join(_kappa_by(li, ["split"]), "split")
+    long = m.unpivot(["split"], ["accuracy", "precision", "recall", "f1", "auc", "kappa"], "metric", "v")
     p = long.groupBy("metric").pivot("split", ["train", "val", "test"]).agg(F.max("v"))
     return p.select("metric", *[r6(c).alias(c) for c in ["train", "val", "test"]])

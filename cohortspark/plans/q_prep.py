@@ -104,6 +104,39 @@ def bootstrap_ci(spark, d):
     return s.select(*[r6(c).alias(c) for c in ["mean", "std", "ci_low", "ci_high"]], "replicates")
 
 
+def _boot_binary_sql(reps=50):
+    m1 = f"((md5v + r * {sp.MIX_G}) % {sp.MIX_P})"
+    b = f"({sp.hash60_sql(LI_KEY, salt='boot')} % {sp.MIX_P})"
+    w = " + ".join(f"(u >= {c})::INTEGER" for c in sp.POISSON_CUTS_P)
+    return f"""
+WITH test AS (SELECT *, (l_returnflag = 'R')::INTEGER AS y, (l_quantity >= 25)::INTEGER AS p, {b} AS md5v FROM lineitem
+              WHERE {_split_sql(H_LI, [C70], ['train', 'test'])} = 'test'),
+x0 AS (SELECT r, y, p, l_quantity AS s, {m1} AS x FROM test, range(1, {reps + 1}) g(r)),
+x1 AS (SELECT r, y, p, s, (x * x + {sp.MIX_C1}) % {sp.MIX_P} AS x FROM x0),
+x2 AS (SELECT r, y, p, s, (x * {sp.MIX_A} + {sp.MIX_C2}) % {sp.MIX_P} AS x FROM x1),
+x3 AS (SELECT r, y, p, s, (x * x + {sp.MIX_C1}) % {sp.MIX_P} AS u FROM x2),
+x AS (SELECT r, y, p, s, {w} AS w FROM x3),
+m AS (SELECT r, sum(w) FILTER (WHERE y = p) / sum(w) AS accuracy,
+             2 * sum(w) FILTER (WHERE y = 1 AND p = 1) / (sum(w) FILTER (WHERE y = 1) + sum(w) FILTER (WHERE p = 1)) AS f1 FROM x GROUP BY r),
+c AS (SELECT r, s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM x GROUP BY r, s),
+k AS (SELECT *, sum(neg) OVER (PARTITION BY r ORDER BY s) AS upto FROM c),
+a AS (SELECT r, sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM k GROUP BY r),
+l AS (SELECT 'accuracy' AS metric, accuracy AS v FROM m UNION ALL SELECT 'f1', f1 FROM m UNION ALL SELECT 'auc', auc FROM a)
+SELECT metric, round_even(avg(v), 6) AS mean, round_even(stddev_pop(v), 6) AS std, round_even(quantile_cont(v, 0.025), 6) AS ci_low,
+       round_even(quantile_cont(v, 0.975), 6) AS ci_high, count(*) AS replicates FROM l GROUP BY metric"""
+
+
+@register("bootstrap_binary", "SP6 S14 ME8", sql=_boot_binary_sql())
+def bootstrap_binary(spark, d):
+    li = sp.assign_split(t(spark, d, "lineitem"), LI_KEY).where(F.col("split") == "test")
+    li = li.withColumns({"y": (F.col(LI_TARGET) == "R").cast("int"), "p": (F.col("l_quantity") >= 25).cast("int")})
+    reps = sp.bootstrap_binary(li, LI_KEY, "y", "p", "l_quantity", 50)
+    long = reps.unpivot(["replicate"], ["accuracy", "f1", "auc"], "metric", "v")
+    s = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", 0.025).alias("ci_low"),
+                                   F.percentile("v", 0.975).alias("ci_high"), F.count(F.lit(1)).alias("replicates"))
+    return s.select("metric", *[r6(c).alias(c) for c in ["mean", "std", "ci_low", "ci_high"]], "replicates")
+
+
 # ---------------------------------------------------------------- cohort-shaped frame
 # Clinical roles mapped onto lineitem columns (an arithmetic re-scaling, all rows kept).
 COHORT_SQL = ("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, "

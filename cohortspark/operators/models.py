@@ -8,9 +8,7 @@ importances, per-tree votes) into small DataFrames.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +48,6 @@ def make_estimator(kind: str, label: str = "label", features: str = "features",
     raise ValueError(f"unknown model kind {kind}")
 
 
-def fit_pipeline(train: DataFrame, feats: list[str], estimator, features: str = "features"):
-    """FE16 + fit: assemble numeric features then fit the estimator."""
-    return Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol=features, handleInvalid="keep"),
-                            estimator]).fit(train)
-
-
 def with_balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     """S25 / AG22: n / (k * n_c) per row."""
     return balanced_weights(df, label, weight)

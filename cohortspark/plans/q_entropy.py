@@ -97,19 +97,21 @@ def row_entropy(spark, d):
 
 @register("row_entropy_summary", "EN7 AG10 AG9", sql=f"""
 SELECT count(*) AS n, round_even(avg(row_entropy), 6) AS mean, round_even(stddev_pop(row_entropy), 6) AS std_pop,
-       round_even(min(row_entropy), 6) AS min, round_even(quantile_cont(row_entropy, 0.25), 6) AS p25,
+       round_even(min(row_entropy), 6) AS min, round_even(quantile_cont(row_entropy, 0.1), 6) AS p10,
+       round_even(quantile_cont(row_entropy, 0.25), 6) AS p25,
        round_even(quantile_cont(row_entropy, 0.5), 6) AS median, round_even(quantile_cont(row_entropy, 0.75), 6) AS p75,
-       round_even(quantile_cont(row_entropy, 0.9), 6) AS p90,
+       round_even(quantile_cont(row_entropy, 0.9), 6) AS p90, round_even(quantile_cont(row_entropy, 0.95), 6) AS p95,
+       round_even(quantile_cont(row_entropy, 0.99), 6) AS p99,
        round_even(max(row_entropy), 6) AS max, round_even(log2(4), 6) AS max_theoretical FROM ({_ROW_SQL})""")
 def row_entropy_summary(spark, d):
     from cohortspark.operators.quantiles import exact_quantiles
     x = _row_entropy_frame(spark, d)
-    q = exact_quantiles(x, ["row_entropy"], [0.25, 0.5, 0.75, 0.9])["row_entropy"]
+    q = exact_quantiles(x, ["row_entropy"], [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])["row_entropy"]
     s = x.agg(F.count(F.lit(1)).alias("n"), F.avg("row_entropy").alias("mean"),
               F.stddev_pop("row_entropy").alias("std_pop"), F.min("row_entropy").alias("min"),
               F.max("row_entropy").alias("max"))
     return s.select("n", r6("mean").alias("mean"), r6("std_pop").alias("std_pop"), r6("min").alias("min"),
-                    *[r6(F.lit(v)).alias(k) for k, v in zip(["p25", "median", "p75", "p90"], q)],
+                    *[r6(F.lit(v)).alias(k) for k, v in zip(["p10", "p25", "median", "p75", "p90", "p95", "p99"], q)],
                     r6("max").alias("max"), r6(F.log2(F.lit(4.0))).alias("max_theoretical"))
 
 

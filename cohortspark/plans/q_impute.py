@@ -37,9 +37,10 @@ def mode_fill(spark, d):
 
 
 @register("missing_before_after", "IM5 AG4", sql=f"""
-WITH g AS ({GAPS_SQL})
-SELECT 'l_quantity' AS column_name, count_if(l_quantity IS NULL) AS missing_before, CAST(0 AS BIGINT) AS missing_after FROM g
-UNION ALL SELECT 'l_extendedprice', count_if(l_extendedprice IS NULL), CAST(0 AS BIGINT) FROM g""")
+WITH g AS ({GAPS_SQL}),
+m AS (SELECT quantile_cont(l_quantity, 0.5) AS q, quantile_cont(l_extendedprice, 0.5) AS e FROM g)
+SELECT 'l_quantity' AS column_name, count_if(l_quantity IS NULL) AS missing_before, count_if(coalesce(l_quantity, q) IS NULL) AS missing_after FROM g, m
+UNION ALL SELECT 'l_extendedprice', count_if(l_extendedprice IS NULL), count_if(coalesce(l_extendedprice, e) IS NULL) FROM g, m""")
 def missing_before_after(spark, d):
     g = lineitem_with_gaps(spark, d)
     cols = ["l_quantity", "l_extendedprice"]

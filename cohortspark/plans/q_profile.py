@@ -131,6 +131,44 @@ def histogram_by_class(spark, d):
     return h.select("bin", LI_TARGET, "n", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
+@register("histogram_marks", "AG27 AG12", sql="""
+SELECT l_returnflag, count(l_extendedprice) AS n, round_even(avg(l_extendedprice), 6) AS mean,
+       round_even(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM lineitem GROUP BY 1""")
+def histogram_marks(spark, d):
+    """The mean and median marks drawn over each class's histogram."""
+    li = t(spark, d, "lineitem")
+    med = pf.class_quantiles(li, ["l_extendedprice"], LI_TARGET, [0.5]).select(
+        F.col(LI_TARGET).alias("k"), F.col("l_extendedprice")[0].alias("median"))
+    m = li.groupBy(LI_TARGET).agg(F.count("l_extendedprice").alias("n"), F.avg("l_extendedprice").alias("mean"))
+    return m.join(med, F.col(LI_TARGET).eqNullSafe(F.col("k"))).select(LI_TARGET, "n", r6("mean").alias("mean"), r6("median").alias("median"))
+
+
+# ---------------------------------------------------------------- SC1 SC4 SC6
+@register("csv_round_trip", "SC1 SC4", sql="SELECT s_suppkey, s_nationkey, round_even(s_acctbal, 2) AS s_acctbal FROM supplier")
+def csv_round_trip(spark, d):
+    """Write the table as CSV with a header and read it back by an explicit schema."""
+    import uuid
+    from cohortspark.session import checkpoint_dir
+    from cohortspark.sources import read_any, write_table
+    src = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}/supplier.csv"
+    write_table(src, path, "csv")
+    return read_any(spark, path, src.schema).select("s_suppkey", "s_nationkey", r6("s_acctbal", 2).alias("s_acctbal"))
+
+
+@register("schema_report", "SC6 AG4", sql=" UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{c}' AS column_name, '{k}' AS data_type, count(*) AS n_rows, count_if({c} IS NULL) AS n_missing FROM orders"
+    for i, (c, k) in enumerate([("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double")])))
+def schema_report(spark, d):
+    """Position, name and type of every column with its row and missing counts (numbers and texts alike)."""
+    from cohortspark.sources import schema_frame
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    counts = pf.missing_report(o).select(F.col("column_name").alias("c"), "n_missing")
+    n = o.agg(F.count(F.lit(1)).alias("n_rows"))
+    return (schema_frame(o).join(counts, F.col("column_name") == F.col("c")).withColumn("n_rows", F.lit(n.first()[0]))
+            .select("position", "column_name", "data_type", "n_rows", "n_missing"))
+
+
 # ---------------------------------------------------------------- AG30
 def _box_sql(cols, by, classes):
     parts = []

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,27 +76,56 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 # a single space between two characters that are not white space starts a new BPE piece
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r"\s | \s|^ | $")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+# Latin letters, then ASCII marks: two pieces of the vocabulary's pattern, whatever the letters and marks
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable bytes stand for themselves, the
+    others for the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+class _Memo(dict):
+    """part -> ids; an unknown part is learned when it is first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.learn(part)
+        return ids
 
 
 class ByteBpe:
-    """Byte-level BPE ids of a ``tokenizers`` file, with a bounded memo of words.
+    """Ids of a ``tokenizers`` file, for byte-level BPE with a bounded memo of words.
 
     The vocabulary's pattern always starts a new piece at a single space between two non-space
     characters, so a text may be cut there and each part encoded by itself: the ids are those of
-    the whole text (tested). Unknown parts go to ``encode_batch``; the memo holds at most
-    ``memo`` parts and starts anew when full. One instance per Python worker and file.
+    the whole text (tested). Unknown parts of Latin letters and marks go to the BPE model as the
+    two pieces they are, all others to ``encode_batch``. The memo starts anew between texts once it
+    holds more than ``memo`` parts. Tokenizers of another kind encode whole texts. One instance per Python
+    worker and file.
     """
 
     _open: dict[str, ByteBpe] = {}
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memo, self.limit = {}, memo
+        kind = json.loads(self.tok.to_str())
+        pre = kind.get("pre_tokenizer") or {}
+        self.cuts = (kind["model"].get("type") == "BPE" and kind.get("normalizer") is None and pre.get("type") == "ByteLevel"
+                     and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        self.letters = byte_letters()
+        self.memo, self.limit, self.tails = _Memo(self.learn), memo, {}
 
     @classmethod
     def of(cls, path: str) -> ByteBpe:
@@ -106,30 +136,43 @@ class ByteBpe:
     @staticmethod
     def parts(text: str) -> list[str]:
         """The text cut before every single inner space; all parts but the first lost that space."""
-        return _JOINT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-    def _learn(self, memo: dict[str, bytes], unknown: list[str]) -> None:
-        ends = {p: p[:-1] if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else p for p in unknown}
-        heads = list(set(ends.values()))
-        ids = {h: np.asarray(e.ids, dtype="<u4").tobytes() for h, e in zip(
-            heads, self.tok.encode_batch([" " + h for h in heads], add_special_tokens=False))}
-        tails = {c: np.asarray(self.tok.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
-        for p, h in ends.items():
-            memo[p] = ids[h] if p == h else ids[h] + tails[p[-1]]
+        if ("  " in text or "\n " in text or " \n" in text or text.startswith(" ") or text.endswith(" ")
+                or _OTHER_SPACE.search(text)):
+            return _JOINT.split(text)
+        return text.split(" ")
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, part: str) -> bytes:
+        """Ids of a space and an unknown part."""
+        m = _PLAIN.fullmatch(part)
+        if not m:
+            return self._plain([" " + part])[0]
+        word, marks = m.groups()
+        if marks:
+            if marks not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[marks] = self._plain([marks])[0]
+            return self.memo[word] + self.tails[marks]
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tok.model.tokenize(self.letters[32] + raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit bytes."""
         out = []
-        for lo, hi in groups_of(texts, 1 << 20):
-            cut = [self.parts(b.decode("utf-8", "replace")) for b in texts[lo:hi]]
-            heads = [e.ids for e in self.tok.encode_batch([p[0] for p in cut], add_special_tokens=False)]
-            seen = set().union(*(p[1:] for p in cut))
-            if len(self.memo) + len(seen) > self.limit:
+        for lo, hi in groups_of(texts, 1 << 18):
+            whole = [b.decode("utf-8", "replace") for b in texts[lo:hi]]
+            if not self.cuts:
+                out += self._plain(whole)
+                continue
+            if len(self.memo) > self.limit:
                 self.memo.clear()
-            memo = self.memo if len(seen) <= self.limit else {}   # a giant text gets a memo of its own
-            self._learn(memo, [p for p in seen if p not in memo])
-            get = memo.__getitem__
-            out += [np.asarray(h, dtype="<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, cut)]
+            cut = [self.parts(t) for t in whole]
+            get = self.memo.__getitem__
+            out += [h + b"".join(map(get, p[1:])) for h, p in zip(self._plain([p[0] for p in cut]), cut)]
         return out
 
 

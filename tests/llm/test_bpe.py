@@ -6,7 +6,14 @@ from tokenizers import Tokenizer
 from cohortspark.llm.common import ByteBpe, bpe_path
 
 ODD = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \nb c", "don't we're, it's 12 3.5% <|endoftext|> x", "日本 語 x   y",
-       "a\x1c b \x85 c", "tail. , .", "é. ü, 9.", "\n\n a b\t\tc d", "x" * 5000 + " y", "I'll  'll 's", "a . b , c.d e,"]
+       "a\x1c b \x85 c", "tail. , .", "é. ü, 9.", "\n\n a b\t\tc d", "x" * 5000 + " y", "I'll  'll 's", "a . b , c.d e,",
+       "x red*** ab''s été!!! ÷x a×b ǅ word's don't! q'' '\'s x-ray ʼn Straße?! ﬁ ½x a_b __init__ (x) x) «é» naïve…", "ªº µm x² ⅷ"]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    enc = ByteBpe(bpe_path("word_bpe_49k.json"))
+    want = enc.tok.encode("Some  words, here", add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode([b"Some  words, here"])[0], dtype="<u4").tolist() == want
 
 
 def test_ids_equal_plain_tokenizer(docs_pd):

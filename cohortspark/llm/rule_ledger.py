@@ -28,7 +28,8 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "symbol_share": "20 * n_symbols > word_chars",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "10 * n_dup_lines > 4 * n_lines",
+    "stuttered_words": "10 * n_stutter > 3 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "no_letters": "n_words > 0 AND 2 * n_letter_words < n_words",
@@ -38,21 +39,23 @@ BASE_RULES = ["few_words", "repeated_windows"]
 POLICIES: dict[str, list[str]] = {
     "base": BASE_RULES,
     "v1": [*BASE_RULES, "symbol_share", "duplicate_lines"],
-    "v2": [*BASE_RULES, "symbol_share", "duplicate_lines", "long_words", "short_words", "no_letters"],
+    "v2": [*BASE_RULES, "symbol_share", "duplicate_lines", "stuttered_words", "long_words", "short_words", "no_letters"],
 }
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "n_letter_words"]
 _DIGITS_PUNCT = bytes(range(0x21, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
-def repeat_words(words: list[list[bytes]]) -> np.ndarray:
+def repeats(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """For each text, the number of its words inside a window of five words that occurs twice or
-    more in that text. Words are numbered exactly; windows are compared by a 64-bit hash."""
+    more in that text, and of its words equal to the word before. Words are numbered exactly; windows
+    are compared by a 64-bit hash."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     flat = [w for ws in words for w in ws]
-    if len(flat) < WINDOW:
-        return np.zeros(len(words), dtype=np.int64)
-    codes = pd.factorize(np.array(flat, dtype=object))[0].astype(np.uint64)
     doc = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    codes = pd.factorize(np.array(flat, dtype=object))[0].astype(np.uint64)
+    stutter = np.bincount(doc[1:][(codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])], minlength=len(words))
+    if len(flat) < WINDOW:
+        return np.zeros(len(words), dtype=np.int64), stutter
     h = mix64(doc[:len(flat) - WINDOW + 1].astype(np.uint64) + np.uint64(1))
     for j in range(WINDOW):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + codes[j:len(flat) - WINDOW + 1 + j] + np.uint64(1))
@@ -66,14 +69,16 @@ def repeat_words(words: list[list[bytes]]) -> np.ndarray:
     covered = twice.copy()
     for j in range(1, WINDOW):
         covered[j:] |= twice[:-j]
-    return np.bincount(doc[covered], minlength=len(words))
+    return np.bincount(doc[covered], minlength=len(words)), stutter
 
 
 def text_measures(texts: list[bytes]) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {m: [] for m in MEASURES}
     for lo, hi in groups_of(texts, 1 << 19):
         words = [b.split() for b in texts[lo:hi]]
-        out["n_repeat_words"] += repeat_words(words).tolist()
+        repeated, stutter = repeats(words)
+        out["n_repeat_words"] += repeated.tolist()
+        out["n_stutter"] += stutter.tolist()
         for raw, ws in zip(texts[lo:hi], words):
             solid = b"".join(ws)
             lines = [x for x in raw.split(b"\n") if x and not x.isspace()]

@@ -22,7 +22,7 @@ def brute(text):
 
 
 TEXTS = [None, "", "  \n\t", "one", "a b c d e " * 30, "é ü x\x1cy #*$%&|<>\n\nline\nline\n line\nline", "z" * 200_000,
-         "a b c d e f a b c d e g", "w " * 4, "aa bb cc dd ee\naa bb cc dd ee\n" + " ".join(f"q{i}" for i in range(50))]
+         "a b c d e f a b c d e g", "w " * 4, "x x x y y z z z z w w v u u", "aa bb cc dd ee\naa bb cc dd ee\n" + " ".join(f"q{i}" for i in range(50))]
 
 
 def test_measures(spark):
@@ -34,6 +34,8 @@ def test_measures(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
         assert not (r.base_failed and r.kept)
+        ws = WORD.findall(TEXTS[r.doc_id] or "")
+        assert r.n_stutter == sum(a == b for a, b in zip(ws, ws[1:]))
 
 
 def test_whole_table_equals_brute_force(spark, docs_pd):

@@ -10,6 +10,7 @@ from cohortspark.operators.profile import missing_report
 from cohortspark.operators import split as sp
 from cohortspark.plans.common import LI_KEY, lineitem_with_gaps, r6, t
 from cohortspark.plans.registry import register
+from cohortspark.session import cut_lineage
 
 _KEYS = ", ".join(LI_KEY)
 GAPS_SQL = ("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, "
@@ -122,7 +123,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY dis
 v AS (SELECT qk, dl, count(*)::DOUBLE AS score FROM top GROUP BY ALL)
 SELECT qk AS vec_id, dl AS prediction, score FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY score DESC, dl) AS r FROM v) WHERE r = 1""")
 def knn_classify(spark, d):
-    e = _emb(spark, d).cache()
+    e = cut_lineage(_emb(spark, d))
     q = e.where(F.col("split") == "test")
     donors = e.where(F.col("split") == "train")
     nn = knn_join(q, donors, ["vec_id"], ["vec_id"], _EMB_COLS, 5, grid=["e0", "e1"], metric="euclidean",

@@ -99,3 +99,32 @@ def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str],
     filled = cut_lineage(rest.unionByName(predicted.select(*df.columns)))   # the forest scores once
     filled, _ = mode_fill(filled, [target])
     return filled, pipe
+
+
+def fill_report(donors: DataFrame, filled: DataFrame, was_missing, target: str, feats: list[str], key: list[str], k: int = 5,
+                num_trees: int = 200, max_depth: int = 10, seed: int = 42) -> DataFrame:
+    """IM3 / IM5: what backs a model fill, as long rows (part, name, value): accuracy of k-fold forests on the
+    donor table, importances of the forest on all donors, and the share of each value among filled rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from cohortspark.operators.split import assign_folds
+    complete = donors.where(F.col(target).isNotNull())
+    for f in feats:
+        complete = complete.where(F.col(f).isNotNull())
+    idx = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(complete)
+    rows = cut_lineage(VectorAssembler(inputCols=feats, outputCol="__x").transform(idx.transform(assign_folds(complete, key, k, out="__fold")))
+                       .select("__x", "__y", "__fold"))
+    forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=num_trees, maxDepth=max_depth, seed=seed)
+    right = None
+    for i in range(k):
+        m = Pipeline(stages=[forest]).fit(rows.where(F.col("__fold") != i))
+        p = m.transform(rows.where(F.col("__fold") == i)).select((F.col("prediction") == F.col("__y")).cast("double").alias("ok"))
+        right = p if right is None else right.unionByName(p)
+    accuracy = right.agg(F.lit("accuracy").alias("part"), F.lit(f"{k}-fold").alias("name"), F.avg("ok").alias("value"))
+    imp = forest.fit(rows).featureImportances.toArray()
+    importance = donors.sparkSession.createDataFrame([("importance", f, float(v)) for f, v in zip(feats, imp)], accuracy.schema)
+    counts = cut_lineage(filled.where(was_missing).groupBy(F.col(target).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    share = counts.select(F.lit("share").alias("part"), "name", (F.col("n") / F.lit(total)).alias("value"))
+    return accuracy.unionByName(importance).unionByName(share)

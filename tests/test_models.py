@@ -167,3 +167,10 @@ def test_model_fill_keeps_every_row(spark):
 def test_t_tail_equals_numeric_integration(spark):
     p = run(spark, "t_test_pvalue").collect()
     assert p and all(0 <= r["p_value"] <= 1 for r in p)
+
+
+def test_model_fill_report(spark):
+    r = run(spark, "model_fill_report").collect()
+    by = {p: sum(x["value"] for x in r if x["part"] == p) for p in ("importance", "share")}
+    assert by["importance"] == pytest.approx(1, abs=1e-5) and by["share"] == pytest.approx(1, abs=1e-5)
+    assert [0 <= x["value"] <= 1 for x in r if x["part"] == "accuracy"] == [True]

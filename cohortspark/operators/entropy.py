@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.operators.quantiles import (
     bin_by_edges, equal_width_edges, qcut_edges,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cohortspark.functions import columns as fx
 from cohortspark.operators import features as fe
 from cohortspark.operators import split as sp
-from cohortspark.operators.quantiles import exact_quantiles
 from cohortspark.plans.common import LI_KEY, LI_NUMERIC, LI_TARGET, lineitem_with_gaps, r6, t
 from cohortspark.plans.registry import register
 

@@ -27,9 +27,9 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
 
 
-def mix_hash() -> Column:
+def mix_hash(size: str = "size") -> Column:
     """60-bit hash of (doc_id, size), the same number in DuckDB (see ``ORACLE``)."""
-    key = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"))
+    key = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col(size).cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -116,9 +116,7 @@ def apply_mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeat: in
     names = df.columns
     # private names, so that columns called size or h are kept
     key = df.select(*names, n_words(F.col("text")).alias("__size"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-                                             F.col("__size").cast("string"))), 1, 15), 16, 10).cast("long")
-    key = key.withColumn("__h", h).join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
+    key = key.withColumn("__h", mix_hash("__size")).join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
     copies = (F.col("__whole") + F.when(F.col("__h") < F.col("__threshold"), 1).otherwise(0)).cast("int")
     return (key.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*names))
 

@@ -1,10 +1,8 @@
+"""Shared fixture of the training-data tests."""
+
 import pytest
 
 
 @pytest.fixture(scope="session")
 def docs_pd(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
-
-
-def frame(spark, rows, schema="doc_id bigint, text string"):
-    return spark.createDataFrame(rows, schema)

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from cohortspark.llm import bitplane as B
 from cohortspark.llm.common import bpe_path, work_path
 from cohortspark.llm.queries import op2_bitplane
+from llm_fixtures import docs_pd  # noqa: F401
 
 
 def plain(texts, end):

@@ -4,6 +4,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from cohortspark.llm.common import ByteBpe, bpe_path
+from llm_fixtures import docs_pd  # noqa: F401
 
 ODD = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \nb c", "don't we're, it's 12 3.5% <|endoftext|> x", "日本 語 x   y",
        "a\x1c b \x85 c", "tail. , .", "é. ü, 9.", "\n\n a b\t\tc d", "x" * 5000 + " y", "I'll  'll 's", "a . b , c.d e,",

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cohortspark.llm import dart_minhash as D
+from llm_fixtures import docs_pd  # noqa: F401
 
 
 def units(text, width=5):

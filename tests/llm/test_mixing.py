@@ -5,6 +5,7 @@ import pytest
 
 from cohortspark.llm import mixing as M
 from cohortspark.llm.queries import op7_mixing
+from llm_fixtures import docs_pd  # noqa: F401
 
 
 def reshare(sizes, weights=(1, 2, 3), most=3):

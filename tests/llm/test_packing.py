@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from cohortspark.llm import packing as P
 from cohortspark.llm.queries import op6_packing
 from test_bitplane import plain
+from llm_fixtures import docs_pd  # noqa: F401
 
 
 def check(rows, ids_of, tiers=P.TIERS):

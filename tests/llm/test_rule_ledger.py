@@ -5,6 +5,7 @@ from collections import Counter
 
 from cohortspark.llm import rule_ledger as R
 from cohortspark.llm.queries import op8_rule_ledger
+from llm_fixtures import docs_pd  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

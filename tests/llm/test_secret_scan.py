@@ -6,6 +6,7 @@ import zlib
 
 from cohortspark.llm import secret_scan as S
 from cohortspark.llm.queries import op10_secret_scan
+from llm_fixtures import docs_pd  # noqa: F401
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 

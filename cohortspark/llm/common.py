@@ -53,11 +53,12 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def groups_of(items: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive slices of about ``limit`` bytes; a longer item is a slice of its own."""
+def groups_of(items: list[bytes], limit: int, most: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of about ``limit`` bytes and at most ``most`` items; a longer item is a slice of
+    its own."""
     start = total = 0
     for i, b in enumerate(items):
-        if total and total + len(b) > limit:
+        if i > start and (total + len(b) > limit or i - start == most):
             yield start, i
             start, total = i, 0
         total += len(b)

@@ -17,8 +17,11 @@ No bucket is expanded into all pairs:
 * in every bucket the other nodes are compared with its hub only, the node with the most bucket
   companions over all its bands, which in a group of copies is the original;
 * after connected components of those links, only buckets that still hold more than one component
-  compare nodes of different components, after a length and a sketch test (128 one-bit samples of
-  the signature; a true pair fails it with probability below 1e-10).
+  compare nodes of different components. A node takes part only if enough of its shingles occur in
+  another such node for it to have any partner at all (exact; this removes documents that share
+  one common passage). Pairs go through a length, a shared-shingle and a sketch test (128 one-bit
+  samples of the signature; a true pair fails the last with probability below 1e-10), then the
+  exact check, all inside the join: it gives out links only.
 Every candidate pair is thus either checked or already connected.
 
 Defined cases: texts without words (NULL, empty, blank) are equal to each other and to nothing
@@ -170,7 +173,7 @@ def signature_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, node (hash of the shingle multiset), n (its weight), bands, s1, s2: a row per document."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, parts = text_bytes(batch["text"]), []
-        for lo, hi in groups_of(texts, 1 << 19):
+        for lo, hi in groups_of(texts, 1 << 18, 128):   # bounds the darts of a slice
             parts.append(document_rows(texts[lo:hi], bands, rows))
         got = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
         keys = pa.ListArray.from_arrays(np.arange(0, len(texts) * bands + 1, bands, dtype=np.int32), got["bands"].reshape(-1))
@@ -240,6 +243,20 @@ def plausible(a: str, b: str, similarity: float) -> F.Column:
     return size & (hamming(a, b) <= SKETCH_LIMIT)
 
 
+def enough(both: F.Column, a: str, b: str, similarity: float) -> F.Column:
+    """Whether ``both`` common units are a similarity of at least the threshold for sizes a and b."""
+    return both >= F.lit(similarity) * (F.col(a) + F.col(b) - both)
+
+
+def with_partners(nodes: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """node, common, units of the ``nodes`` (node, n) that may have a partner among them: ``common`` is the
+    number of a node's units that occur in another one. No partner has more of its units than that."""
+    held = units.join(nodes, "node").select("node", "n", F.explode("units").alias("unit"))
+    twice = held.groupBy("unit").agg(F.count("*").alias("c")).filter("c > 1").select("unit")
+    common = held.join(twice, "unit").groupBy("node", "n").agg(F.count("*").alias("common"))
+    return common.filter(F.col("common") >= F.lit(similarity) * F.col("n")).drop("n").join(units, "node")
+
+
 def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
     one = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
@@ -283,10 +300,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = stored(rooted.join(mixed, "key", "left_semi"), "dart-rest")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                                  & (F.col("x.root") != F.col("y.root")) & plausible("x", "y", similarity))
-    second = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verified(second, units, similarity), "dart-links")
+    able = stored(with_partners(rest.select("node", "n").distinct(), units, similarity), "dart-able")
+    side = rest.join(able, "node").select("key", "node", "n", "root", "s1", "s2", "common", "units")
+    across = side.alias("x").join(side.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+                                  & (F.col("x.root") != F.col("y.root")) & plausible("x", "y", similarity)
+                                  & enough(F.least("x.common", "y.common"), "x.n", "y.n", similarity)
+                                  & enough(F.size(F.array_intersect("x.units", "y.units")), "x.n", "y.n", similarity))
+    more = stored(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "dart-links")
     if not more.isEmpty():
         root = components(links.unionByName(more), "dart-components")
 

@@ -194,14 +194,17 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     pages = df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"CAST(`{url_col}` AS STRING) AS url",
                           f"coalesce(CAST(`{payload_col}` AS BINARY), X'') AS payload")
     digests = pages.select("id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
-    keys = stored(digests.distinct(), "warc-digests")
+    keys = stored(digests.groupBy("id", "sha", "size").agg(F.count("*").alias("copies")), "warc-digests")
     # the first id of payloads that occur under several ids; narrow rows, and equal ones already merged
     repeated = keys.filter(F.col("size") >= min_bytes).groupBy("sha").agg(
         F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    roles = keys.join(repeated, "sha", "left").select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "size", "first")
+    roles = keys.join(repeated, "sha", "left").select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "first", "copies")
+    # payloads are shuffled once, evenly by id; only repeated rows go on to the task of their (id, digest)
     placed = pages.withColumn("sha", F.sha1("payload")).join(
         roles, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha"))).select(
-        "id", "url", "payload", "sha", "size", F.col("first").alias("first"))
+        "id", "url", "payload", "sha", "first", "copies")
+    if not keys.filter("copies > 1").isEmpty():
+        placed = placed.filter("copies = 1").unionByName(placed.filter("copies > 1").repartition(F.col("id"), F.col("sha")))
     order = [F.col("id").asc_nulls_last(), "sha", "url"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +234,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                                               "bytes": pa.array([offset], pa.int64()), "records": pa.array([n], pa.int64())})
 
     files = posixpath.join(folder, "files")
-    spread = placed.repartition(F.col("id"), F.col("sha")).sortWithinPartitions(*order)
-    spread.mapInArrow(run, "part bigint, file string, bytes bigint, records bigint").write.parquet(files)
+    placed.sortWithinPartitions(*order).mapInArrow(run, "part bigint, file string, bytes bigint, records bigint").write.parquet(files)
     return df.sparkSession.read.parquet(files)
 
 
@@ -277,7 +279,7 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame | None = No
                     yield arrow(rows)
 
     n = max(1, names.count())
-    return names.repartition(n, "file").mapInArrow(run, SCHEMA + ", payload binary" * with_payload)
+    return names.repartition(n).mapInArrow(run, SCHEMA + ", payload binary" * with_payload)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:

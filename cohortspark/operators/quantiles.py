@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators.ranking import running_total
 from cohortspark.session import cut_lineage
 
-ACCURACY = 10_000
+ACCURACY = 1_000
 
 
 def present(c: Column) -> Column:

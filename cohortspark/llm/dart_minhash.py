@@ -25,7 +25,7 @@ No bucket is expanded into all pairs:
 Every candidate pair is thus either checked or already connected.
 
 Defined cases: texts without words (NULL, empty, blank) are equal to each other and to nothing
-else; repeated rows and ids are rows of one class; rows without an id belong to classes but
+else; equal rows are rows of one class, and rows that share an id are in the class of their text; rows without an id belong to classes but
 ``keep_one`` keeps them; ties take the smallest id; an empty table gives no rows; texts of any
 length are read whole; other columns are ignored. Nodes are 64-bit hashes of the shingle multiset.
 """
@@ -37,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortspark.llm.common import groups_of, map_batches, mix64, stored, text_bytes
 
@@ -148,12 +149,18 @@ def as_long(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def node_hashes(n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Hash of the shingle multiset of each of ``n`` documents."""
+    node = np.zeros(n, np.uint64)
+    np.add.at(node, doc, mix64(element ^ GOLD) * (weight.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+    return mix64(node)
+
+
 def document_rows(texts: list[bytes], bands: int, rows: int) -> dict[str, np.ndarray | list]:
     """node, n, bands and sketch of every text."""
     doc, element, weight = shingles(texts)
     n, k = len(texts), bands * rows
-    node = np.zeros(n, np.uint64)
-    np.add.at(node, doc, mix64(element ^ GOLD) * (weight.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+    node = node_hashes(n, doc, element, weight)
     sig = signatures(n, doc, element, weight.astype(float), k).view(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * GOLD, (n, bands)).copy()
     cells = sig.reshape(n, bands, rows)
@@ -164,7 +171,7 @@ def document_rows(texts: list[bytes], bands: int, rows: int) -> dict[str, np.nda
     bit = np.pad(bit, ((0, 0), (0, SKETCH_BITS - n_bits)))
     sketch = np.packbits(bit, axis=1).view(np.uint64)
     total = np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
-    return {"node": as_long(mix64(node)), "n": total, "bands": as_long(key), "s1": as_long(sketch[:, 0].copy()),
+    return {"node": as_long(node), "n": total, "bands": as_long(key), "s1": as_long(sketch[:, 0].copy()),
             "s2": as_long(sketch[:, 1].copy())}
 
 
@@ -192,9 +199,7 @@ def unit_table(df: DataFrame) -> DataFrame:
         texts, nodes, units = text_bytes(batch["text"]), [], []
         for lo, hi in groups_of(texts, 1 << 19):
             doc, element, weight = shingles(texts[lo:hi])
-            node = np.zeros(hi - lo, np.uint64)
-            np.add.at(node, doc, mix64(element ^ GOLD) * (weight.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
-            nodes.append(as_long(mix64(node)))
+            nodes.append(as_long(node_hashes(hi - lo, doc, element, weight)))
             nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
             unit = as_long(mix64(np.repeat(element, weight) + GOLD * nth.astype(np.uint64)))
             cuts = np.cumsum(np.bincount(doc, weights=weight, minlength=hi - lo).astype(np.int64))[:-1]
@@ -266,9 +271,9 @@ def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame
             .filter(F.col("both") >= F.lit(similarity) * (F.size("ua") + F.size("ub") - F.col("both"))).select("a", "b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class) and class_size."""
+    """One row per document: id, node, root (the node that names its class), class_id and class_size."""
     docs = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     sig = stored(signature_table(docs, "id", "text", bands, rows), "dart-signatures")
     nodes = stored(sig.groupBy("node").agg(
@@ -312,18 +317,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     by_node = nodes.select("node", "low", "rows").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = by_node.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("rows").alias("class_size"))
-    placed = by_node.join(classes, "root").select("node", "class_id", "class_size")
-    return sig.select("id", "node").join(placed, "node").select(F.col("id").alias(id_col), "class_id", "class_size")
+    placed = by_node.join(classes, "root").select("node", "root", "class_id", "class_size")
+    return sig.select("id", "node").join(placed, "node").select("id", "node", "root", "class_id", "class_size")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class) and class_size."""
+    return classes_of_rows(df, id_col, text_col, **options).select(F.col("id").alias(id_col), "class_id", "class_size")
+
+
+def row_nodes(df: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``df`` as structs ``row``, with ``node``."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, nodes = text_bytes(batch["row"].field(text_col)), []
+        for lo, hi in groups_of(texts, 1 << 19):
+            doc, element, weight = shingles(texts[lo:hi])
+            nodes.append(as_long(node_hashes(hi - lo, doc, element, weight)))
+        return pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate(nodes))], ["row", "node"])
+
+    src = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    return map_batches(src, run, StructType([*src.schema.fields, StructField("node", LongType())]))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` with one document of each class (its smallest id), all columns. Repeated rows
-    of a kept id are reduced to one; rows without an id stay."""
-    found = stored(near_duplicates(df, id_col, text_col, **options), "dart-classes")
-    ids = found.groupBy(F.col(id_col).alias("__id")).agg(
-        F.count("*").alias("__rows"), F.bool_or(F.col(id_col) == F.col("class_id")).alias("__first"))
+    """The rows of ``df`` with one document of each class (its smallest id), all columns. Of several rows
+    of that id in one class the one with the least text, then the least other columns, stays; rows of one id
+    in different classes are different documents; rows without an id stay."""
+    found = stored(classes_of_rows(df, id_col, text_col, **options), "dart-classes")
+    ids = found.groupBy(F.col("id").alias("__id")).agg(
+        F.count("*").alias("__rows"), F.bool_or(F.col("id") == F.col("class_id")).alias("__first"))
     once = ids.filter("__id IS NOT NULL AND __rows = 1 AND __first").select("__id")
-    many = ids.filter("__id IS NOT NULL AND __rows > 1 AND __first").select("__id")
+    many = stored(ids.filter("__id IS NOT NULL AND __rows > 1 AND __first").select("__id"), "dart-repeated")
     same = F.col(id_col) == F.col("__id")
     out = df.join(once, same, "left_semi").unionByName(df.filter(F.col(id_col).isNull()))
-    return out if many.isEmpty() else out.unionByName(df.join(many, same, "left_semi").dropDuplicates([id_col]))
+    if many.isEmpty():
+        return out
+    leading = found.filter("id = class_id").select(F.col("id").alias("__id"), F.col("node").alias("__node"), "root").distinct()
+    rows = row_nodes(df.join(many, same, "left_semi"), text_col)
+    placed = rows.join(leading, (F.col(f"row.`{id_col}`") == F.col("__id")) & (F.col("node") == F.col("__node")))
+    order = F.struct(F.col(f"row.`{text_col}`"), F.to_json("row"))
+    kept = placed.groupBy("__id", "root").agg(F.min_by("row", order).alias("row"))
+    return out.unionByName(kept.select("row.*"))

@@ -1,8 +1,9 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Every message is parsed once into its own text and its quoted blocks with their nesting level
-(the number of ``>`` marks). Passages (a whole block or message, its paragraphs, its lines) are
-normalised (case, marks and white space; rewrapped lines of a paragraph do not matter) and hashed.
+(the number of ``>`` marks). Passages (a whole block or message, its paragraphs, its lines, and the
+sentences of its paragraphs, which a trimmed or rewrapped quote still has) are normalised (case,
+marks and white space; rewrapped lines of a paragraph do not matter) and hashed.
 The original of a passage is the earliest message of the conversation that has it in its own
 text: one aggregation, then a many-to-one join on (conversation, hash), so that a passage quoted
 or written by very many messages never makes pairs. A message replies to the original that
@@ -30,6 +31,8 @@ from cohortspark.llm.common import map_batches, stored, text_bytes
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 WORDS = re.compile(r"[^\W_]+")
+# ends of sentences, once the lines of a paragraph are joined
+ENDS = re.compile(r"[.!?\u2026]+[\"'\u2019\u201d\u00bb)\]]*\s+|[\u3002\uff01\uff1f]+")
 # fixed values: attribution lines in front of a quote
 ATTRIBUTION = re.compile(r"(On .+ wrote|Am .+ schrieb.*|Le .+ a écrit|El .+ escribió) ?:\s*")
 
@@ -53,7 +56,7 @@ def blocks(text: str) -> list[tuple[int, list[str]]]:
 
 
 def passages(lines: list[str]) -> dict[int, int]:
-    """hash -> number of words of the whole, its paragraphs and its lines, after normalisation."""
+    """hash -> number of words of the whole, its paragraphs, lines and sentences, after normalisation."""
     paragraphs, held = [], []
     for line in [*lines, ""]:
         if line.strip():
@@ -61,7 +64,8 @@ def passages(lines: list[str]) -> dict[int, int]:
         elif held:
             paragraphs, held = [*paragraphs, held], []
     out = {}
-    for unit in [lines, *paragraphs, *([x] for x in lines)]:
+    sentences = ([x] for p in paragraphs for x in ENDS.split("\n".join(p)))
+    for unit in [lines, *paragraphs, *([x] for x in lines), *sentences]:
         words = WORDS.findall("\n".join(unit).lower())
         if words:
             out[xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)] = len(words)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bitplane, dart_minhash, mixing, packing, quote_links, rule_ledger, secret_scan, syncmers, toxicity, warc
+from cohortspark.llm import (
+    bitplane, dart_minhash, language_id, mixing, packing, piece_table, quote_links, rule_ledger, secret_scan, syncmers, toxicity,
+    warc, whitening,
+)
 from cohortspark.llm.common import table
 
 
@@ -59,6 +62,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bitplane": op2_bitplane,
@@ -70,8 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_quote_links": op9_quote_links,
     "op10_secret_scan": op10_secret_scan,
+    "op11_whitening": op11_whitening,
+    "op12_language_id": op12_language_id,
+    "op13_piece_table": op13_piece_table,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op13_piece_table": piece_table.ORACLE,
 }

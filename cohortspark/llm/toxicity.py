@@ -5,16 +5,21 @@ by hash, weighted back to the class shares). Candidate features are whole lower-
 word starts of 4 to 8 letters; the ``n_features`` most associated with the label (chi-square over
 the sample) are kept, each with two values: its capped count and its capped share of the words.
 
-Counterfactual regularisation: in every labelled text that mentions identity terms, the terms are
-swapped for others of the same group and the squared score change is penalised, so that the
-score does not depend on which group is named. Terms seen in the sample are always features,
-so that their weights are under that penalty.
+Counterfactual regularisation: every labelled text that mentions identity terms is compared with its
+swapped copies, one per group it mentions and other member of that group: the group's terms move on by
+1, 2, ... places around the group, so each member meets every other one, and a word of two groups
+moves in each. The penalty is the mean over those texts of the mean squared change of the log-odds (the score
+before the logistic function) between text and copies, so the score does not depend on which group
+is named. Terms seen in the sample are always features, so that their weights are under that penalty.
+The changes reach the driver as sparse rows (at most ``MAX_COPIES`` a text) and stay there as one
+features x features sum of products.
 
 Scoring is one pass over all documents with the few hundred fitted weights; neither labels nor
 lang, source or ids enter a score.
 
 Defined cases: NULL and empty texts score the intercept alone; NULL labels or ids are not
-learned from; of repeated labels the highest counts; with no labelled document of a class every
+learned from; of repeated labels the highest counts, of documents that share an id the greatest text (scored are all
+of them); with no labelled document of a class every
 score is the smoothed class share; an empty table gives no rows; long texts are read whole.
 """
 
@@ -54,7 +59,11 @@ IDENTITY_GROUPS = [
     ["mujeres", "hombres", "chicas", "chicos"], ["musulmanes", "cristianos", "judíos", "hindúes", "budistas"],
     ["inmigrantes", "refugiados", "extranjeros"],
 ]
-SWAP = {w: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, w in enumerate(g)}
+PLACES: dict[str, list[tuple[int, int]]] = {}      # term -> (group, place) of every group that has it
+for _g, _group in enumerate(IDENTITY_GROUPS):
+    for _i, _w in enumerate(_group):
+        PLACES.setdefault(_w, []).append((_g, _i))
+MAX_COPIES = sum(len(g) - 1 for g in IDENTITY_GROUPS)
 
 
 @dataclass(frozen=True)
@@ -96,10 +105,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_per_class: int) -
         chosen = chosen | ((F.col("label") == y) & (h < F.lit(int(part * HASH_SPACE))))
         weight = F.when(F.col("label") == y, F.lit(1 / part)).otherwise(weight)
     picked = stored(lab.filter(chosen).select(F.col("doc_id").alias("id"), "label", weight.alias("weight")), "toxic-sample")
-    rows = picked.count()
+    rows = picked.count()      # one row per id
     if rows > 2 * (2 * sample_per_class + 1000):
         raise ValueError(f"the sample of {rows} labelled rows exceeds its bound")
-    return stored(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id"), "toxic-texts")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id")
+    return stored(texts.groupBy("id", "label", "weight").agg(F.max("text").alias("text")), "toxic-texts")
 
 
 def select_features(sample: DataFrame, n_features: int) -> list[str]:
@@ -121,7 +131,7 @@ def select_features(sample: DataFrame, n_features: int) -> list[str]:
     total = n1 + n0
     seen = F.col("a") + F.col("b")
     chi = total * F.pow(F.col("a") * n0 - F.col("b") * n1, F.lit(2)) / (n1 * n0 * seen * (total - seen + 1))
-    terms = list(SWAP)
+    terms = list(PLACES)
     best = tallied.filter((seen >= 4) & (chi > 6)).orderBy(chi.desc(), "feature").limit(n_features).select("feature").collect()
     named = tallied.filter(F.col("feature").isin(terms)).select("feature").collect()
     return sorted({r.feature for r in best} | {r.feature for r in named})
@@ -131,39 +141,65 @@ def feature_counts(words: list[str], features: dict[str, int]) -> Counter:
     return Counter(features[f] for w in words for f in starts(w) if f in features)
 
 
+def swapped_copies(words: list[str]) -> list[list[str]]:
+    """The words with the terms of one group moved on around it, for every group named and every distance."""
+    out = []
+    for g in sorted({g for w in words for g, _ in PLACES.get(w, ())}):
+        group = IDENTITY_GROUPS[g]
+        at = {w: i for i, w in enumerate(group)}
+        for step in range(1, len(group)):
+            out.append([group[(at[w] + step) % len(group)] if w in at else w for w in words])
+    return out
+
+
+def feature_values(words: list[str], features: dict[str, int]) -> dict[int, float]:
+    """Sparse row of a text: its capped counts, and behind them its capped shares."""
+    counts, k = feature_counts(words, features), len(features)
+    at = list(counts)
+    a, b = values(np.array([counts[j] for j in at], dtype=float), np.array(len(words)))
+    return dict(zip(at, a.tolist())) | dict(zip([k + j for j in at], b.tolist()))
+
+
 def sample_matrix(sample: DataFrame, features: dict[str, int]):
-    """Dense feature values of the sample and, for texts with identity terms, of their swapped copy."""
+    """Dense feature values, labels and weights of the sample, and the mean over texts with identity terms of the
+    products of their feature changes under a swap (None if there is no such text)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for raw, y, w in zip(text_bytes(batch["text"]), batch["label"].to_pylist(), batch["weight"].to_pylist()):
             words = words_of(raw)
-            rows.append((y, w, False, len(words), feature_counts(words, features)))
-            if any(x in SWAP for x in words):
-                rows.append((y, w, True, len(words), feature_counts([SWAP.get(x, x) for x in words], features)))
+            own = feature_values(words, features)
+            rows.append((y, w, 0, own))
+            copies = swapped_copies(words)
+            for copy in copies:
+                other = feature_values(copy, features)
+                change = {j: own.get(j, 0.0) - other.get(j, 0.0) for j in own.keys() | other.keys()}
+                rows.append((y, w, len(copies), {j: v for j, v in change.items() if v}))
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()),
-             pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.int64()),
-             pa.array([list(r[4].keys()) for r in rows], pa.list_(pa.int32())),
-             pa.array([list(r[4].values()) for r in rows], pa.list_(pa.int32()))],
-            ["label", "weight", "swapped", "n", "at", "counts"])
+            [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64()),
+             pa.array([r[2] for r in rows], pa.int32()), pa.array([list(r[3].keys()) for r in rows], pa.list_(pa.int32())),
+             pa.array([list(r[3].values()) for r in rows], pa.list_(pa.float64()))],
+            ["label", "weight", "copies", "at", "v"])
 
     got = map_batches(sample.select("text", "label", "weight"), run,
-                      "label int, weight double, swapped boolean, n bigint, at array<int>, counts array<int>").toArrow()
-    n_rows, k = got.num_rows, len(features)
-    x = np.zeros((n_rows, 2 * k), dtype=np.float32)
-    size = got["n"].to_numpy()
-    for i, (at, counts) in enumerate(zip(got["at"].to_pylist(), got["counts"].to_pylist())):
-        a, b = values(np.array(counts, dtype=float), size[i])
-        x[i, at], x[i, [k + j for j in at]] = a, b
-    swapped = got["swapped"].to_numpy(zero_copy_only=False).astype(bool)
-    original = np.flatnonzero(~swapped)
-    change = x[np.flatnonzero(swapped) - 1] - x[swapped]      # a swapped copy follows its original
-    return x[original], got["label"].to_numpy()[original], got["weight"].to_numpy()[original], change
-
-
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, l2: float = 2e-4,
+                      "label double, weight double, copies int, at array<int>, v array<double>").toArrow()
+    k, copies = 2 * len(features), got["copies"].to_numpy()
+    x, products, mentions = np.zeros((int((copies == 0).sum()), k), dtype=np.float32), np.zeros((k, k)), 0.0
+    row = 0
+    for n, at, v in zip(copies.tolist(), got["at"].to_pylist(), got["v"].to_pylist()):
+        if not n:
+            x[row, at] = v
+            row += 1
+        else:
+            mentions += 1 / n
+            products[np.ix_(at, at)] += np.outer(v, v) / n
+    own = copies == 0
+    return x, got["label"].to_numpy()[own], got["weight"].to_numpy()[own], products / mentions if mentions else None
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray | None, l2: float = 2e-4,
         counterfactual: float = 1.0, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weighted logistic loss + l2 + mean squared score change under identity swaps, by Adam."""
+    """Weighted logistic loss + l2 + mean squared change of the log-odds under identity swaps (``change`` holds the
+    mean products of feature changes), by Adam."""
     w = np.zeros(x.shape[1], dtype=np.float32)
     share = float(np.average(y, weights=weight)) if len(y) else 0.0
     share = (share * len(y) + 0.5) / (len(y) + 1)
@@ -176,8 +212,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, l2
         p = 1 / (1 + np.exp(-(x @ w + b)))
         err = weight * (p - y)
         g, gb = x.T @ err + l2 * w, float(err.sum())
-        if len(change):
-            g = g + counterfactual * (change.T @ (change @ w)) / len(change)
+        if change is not None:
+            g = g + counterfactual * (change @ w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate * min(1.0, 2 * (1 - t / (rounds + 1)))
@@ -195,8 +231,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     return Model(features, tuple(w[:k].tolist()), tuple(w[k:].tolist()), b)
 
 
-
-
 def score_texts(texts: list[bytes], model: Model, memo: dict[bytes, tuple], limit: int = 400_000) -> list[float]:
     """Scores of whole texts. ``memo`` maps a token to its words and features, and is emptied when full."""
     features, out = model.features, []

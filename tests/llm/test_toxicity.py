@@ -1,6 +1,10 @@
 """Toxicity: held-out accuracy, counterfactual penalty, odd rows."""
 
+import math
+import re
+
 import numpy as np
+import pytest
 
 from cohortspark.llm import toxicity as T
 from cohortspark.llm.queries import op1_toxicity
@@ -70,3 +74,62 @@ def test_odd_rows(spark):
     assert T.keep_clean(docs, model, threshold=1.1).columns == docs.columns
     assert T.keep_clean(docs, model, threshold=1.1).count() == 5
     assert T.score(docs.limit(0), T.train(docs.limit(0), lab.limit(0))).count() == 0
+
+
+def plain_score(text, model):
+    """The score of a text, written a second time."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    z = model.intercept
+    for name, j in model.features.items():
+        if name.endswith("*"):
+            n = sum(w.startswith(name[:-1]) and len(w) > len(name) - 1 for w in words)
+        else:
+            n = words.count(name)
+        z += model.count_weights[j] * min(n, 4) / 4 + (model.share_weights[j] * min(1, 25 * n / len(words)) if words else 0)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    texts = [t for _, t in rows[:60]] + ["", None, "Muslims, MUSLIMS! scumbag-scumbags word1word", "word1 " * 3000, "ünïcode scumbag\x00x", "a_b 1c2"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in T.score(asked, model).collect()}
+    assert len(model.features) > 5
+    assert got == pytest.approx({i: plain_score(t, model) for i, t in enumerate(texts)}, abs=1e-9)
+
+
+def test_each_group_is_a_cycle_in_its_language():
+    """All members of every group meet, and a word of two groups moves in each."""
+    for group in T.IDENTITY_GROUPS:
+        assert len(set(group)) == len(group)
+        for word in group:
+            copies = [c[0] for c in T.swapped_copies([word])]
+            assert set(group) - {word} <= set(copies)
+            own = [g for g in T.IDENTITY_GROUPS if word in g]
+            assert len(copies) == sum(len(g) - 1 for g in own) and set(copies) <= {w for g in own for w in g}
+    for text, foreign in ((["the", "jews", "and", "hindus"], "juden"), (["die", "juden", "und", "hindus"], "jews")):
+        for copy in T.swapped_copies(text):
+            assert copy[0] == text[0] and (foreign not in copy or copy[1] == text[1])
+    assert T.swapped_copies(["nothing", "here"]) == []
+
+
+def test_every_pair_of_a_group_is_levelled(spark):
+    """Texts name one member only; the penalty levels it with all the others, not only with the next one."""
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows + [(10_000 + i, f"the {w} met word{i}") for i, w in enumerate(T.IDENTITY_GROUPS[3] * 4)],
+                                 "doc_id bigint, text string")
+    lab = spark.createDataFrame(labels + [(10_000 + i, 0) for i in range(32)], "doc_id bigint, toxic int")
+    texts = [f"the {w} met".encode() for w in T.IDENTITY_GROUPS[3]]
+    plain, level = (T.score_texts(texts, T.train(docs, lab, counterfactual=c), {}) for c in (0.0, 1.0))
+    assert max(level) - min(level) < 0.25 * (max(plain) - min(plain))
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    """A sample of ten a class from rows of which most share a few ids: one text per id reaches the driver."""
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(4000)], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    sample = T.labelled_sample(docs, lab, 10).collect()
+    assert len({r.id for r in sample}) == len(sample) <= 40
+    assert all(r.text == max(f"text {i}" for i in range(r.id, 4000, 40)) for r in sample)

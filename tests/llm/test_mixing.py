@@ -84,3 +84,23 @@ def test_mixed_rows_and_empty_table(spark):
     words = sum(len((r.text or "").split()) for r in out.collect())
     assert words == taken and counts
     assert M.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_come_near_their_target(spark):
+    """A source of equal rows without ids, one of rows without ids that differ, and one of repeated rows."""
+    rows = ([(None, "w " * 10, "a")] * 1000 + [(None, f"x{i} " * 7, "b") for i in range(300)]
+            + [(5, "same words here", "c")] * 700 + [(5, "other words " * 4, "c")] * 90 + [(i, "t " * 50, "d") for i in range(40)])
+    got, want = run(spark, rows), oracle(rows)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    by_source = {"a": [r for r in got if r[1] == 10], "d": [r for r in got if r[1] == 50]}
+    for mine in by_source.values():
+        assert abs(sum(r[4] for r in mine) - mine[0][3]) <= mine[0][1]
+    target, taken = {}, {}
+    for r in got:
+        target[r[2]], taken[r[2]] = r[3], taken.get(r[2], 0) + r[4]
+    assert all(abs(taken[s] - target[s]) <= 50 for s in target)
+    # the mixed table holds what the mix takes, also where equal rows differ in a column that is not mixed by
+    df = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id bigint, text string, source string, size int")
+    out = M.apply_mix(df).collect()
+    assert out and sum(len(r.text.split()) for r in out) == sum(r[4] for r in got)
+    assert sorted(map(str, out)) == sorted(map(str, M.apply_mix(df).collect()))

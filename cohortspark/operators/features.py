@@ -11,10 +11,13 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import EPS, clip, safe_log10
+from cohortspark.session import cut_lineage
 
 # Clinical constants of the engineered features (LAP waist
 # offset 58 cm, VAI women's coefficients 36.58 / 1.89 / 0.81 / 1.52, LAP
@@ -174,10 +177,21 @@ def apply_minmax(df: DataFrame, params: dict[str, tuple[float, float]], suffix:
     return df.withColumns(out)
 
 
-def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
-    """FE15 fit: sorted distinct levels per column from the fitting rows, in one pass (one level is one
-    output column)."""
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(cols)]).first()
+MAX_LEVELS = 10_000
+
+
+def fit_levels(df: DataFrame, cols: list[str], most: int = MAX_LEVELS) -> dict[str, list]:
+    """FE15 fit: sorted distinct levels per column from the fitting rows, in one distributed distinct. One level is
+    one output column, so a column with more than ``most`` of them is refused before any level is collected."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])))
+    levels = cut_lineage(long.where(F.col("v").isNotNull()).distinct())
+    sizes = {r["i"]: r["n"] for r in levels.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, n in sizes.items():
+        if n > most:
+            raise ValueError(f"{cols[i]} has {n} levels, more than {most}")
+    kinds = [df.schema[c].dataType for c in cols]
+    row = levels.agg(*[F.sort_array(F.collect_set(F.when(F.col("i") == i, F.col("v").cast(k)))).alias(f"l{i}")
+                       for i, k in enumerate(kinds)]).first()
     return {c: list(row[f"l{i}"]) for i, c in enumerate(cols)}
 
 
@@ -203,40 +217,60 @@ def feature_columns(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[
     return ([c for c in numeric_columns(df) if c not in exclude], [c for c in string_columns(df) if c not in exclude])
 
 
-class ColumnTransformer(Estimator):
+class _ColumnParams(Params):
+    """The columns of a transformer as Spark ML params, so that a parameter map can change them in a search."""
+
+    numericCols = Param(Params._dummy(), "numericCols", "numeric columns, standardised", TypeConverters.toListString)
+    stringCols = Param(Params._dummy(), "stringCols", "string columns, as drop-first dummies", TypeConverters.toListString)
+    outputCol = Param(Params._dummy(), "outputCol", "name of the vector column", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(numericCols=[], stringCols=[], outputCol="features")
+
+
+class ColumnTransformer(Estimator, _ColumnParams, DefaultParamsReadable, DefaultParamsWritable):
     """FE16 as a fitted pipeline stage: numeric columns standardised with the fitting rows' mean and
     population std, string columns as drop-first dummies of the fitting rows' levels (unknown levels and
     NULL are all zeros), in that order in one vector. Inside a ``Pipeline`` it is refitted in every
-    cross-validation fold. A NULL number becomes the mean (0)."""
+    cross-validation fold. A NULL number becomes the mean (0). The columns are params: a search over feature
+    sets is a list of parameter maps, and stage and model can be saved."""
 
-    def __init__(self, numeric: list[str], strings: list[str] | None = None, out: str = "features"):
+    def __init__(self, numeric: list[str] | None = None, strings: list[str] | None = None, out: str = "features"):
         super().__init__()
-        self.numeric, self.strings, self.out = list(numeric), list(strings or []), out
+        self._set(numericCols=list(numeric or []), stringCols=list(strings or []), outputCol=out)
 
     def _fit(self, dataset: DataFrame) -> "ColumnTransformerModel":
-        scale = fit_standard(dataset, self.numeric) if self.numeric else {}
-        levels = fit_levels(dataset, self.strings) if self.strings else {}
-        return ColumnTransformerModel(scale, levels, self.out)
+        numeric, strings = self.getOrDefault("numericCols"), self.getOrDefault("stringCols")
+        scale = fit_standard(dataset, numeric) if numeric else {}
+        levels = fit_levels(dataset, strings) if strings else {}
+        model = ColumnTransformerModel()
+        return self._copyValues(model._set(means=[scale[c][0] for c in numeric], stds=[scale[c][1] for c in numeric],
+                                           levels=[levels[c] for c in strings]))
 
 
-class ColumnTransformerModel(Model):
+class ColumnTransformerModel(Model, _ColumnParams, DefaultParamsReadable, DefaultParamsWritable):
     """The fitted means, stds and levels, applied as literals in one projection."""
 
-    def __init__(self, scale: dict[str, tuple[float, float]], levels: dict[str, list], out: str):
+    means = Param(Params._dummy(), "means", "mean of each numeric column", TypeConverters.identity)
+    stds = Param(Params._dummy(), "stds", "population std of each numeric column", TypeConverters.identity)
+    levels = Param(Params._dummy(), "levels", "sorted levels of each string column", TypeConverters.identity)
+
+    def __init__(self):
         super().__init__()
-        self.scale, self.levels, self.out = scale, levels, out
+        self._setDefault(means=[], stds=[], levels=[])
 
     def columns(self) -> dict[str, Column]:
         """name -> transformed column, in vector order."""
-        cols = {}
-        for c, (m, s) in self.scale.items():
-            x = F.col(c).cast("double") - F.lit(m)
+        get, cols = self.getOrDefault, {}
+        for c, m, s in zip(get("numericCols"), get("means"), get("stds")):
+            x = F.col(f"`{c}`").cast("double") - F.lit(m)
             cols[c] = F.coalesce(x / F.lit(s) if s else x * 0.0, F.lit(0.0))
-        for c, lv in self.levels.items():
+        for c, lv in zip(get("stringCols"), get("levels")):
             for v in lv[1:]:
-                cols[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0))
+                cols[f"{c}_{v}"] = F.coalesce((F.col(f"`{c}`") == F.lit(v)).cast("double"), F.lit(0.0))
         return cols
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
-        return dataset.withColumn(self.out, array_to_vector(F.array(*self.columns().values())))
+        return dataset.withColumn(self.getOrDefault("outputCol"), array_to_vector(F.array(*self.columns().values())))

@@ -22,18 +22,19 @@ OVERFIT_WORDS = ("Good", "Moderate", "High")
 
 def confusion(df: DataFrame, label: str, pred: str, classes: list | None = None) -> DataFrame:
     """ME1: (label, prediction, n) for every class pair, zero cells included. The classes are those of the
-    data, as label or prediction (NULL too), and those named; so no row is left out. The k*k grid is the
-    result itself: one row of distinct classes, exploded twice."""
+    data, as label or prediction (NULL too), and those named; so no row is left out. The counts (k*k at most)
+    become one row, to which the empty grid of its classes is added: the table is read once."""
     counts = df.groupBy(F.col(label).alias("label"), F.col(pred).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
     kind = counts.schema["label"].dataType
+    cell = F.struct(F.col("label"), F.col("prediction").cast(kind).alias("prediction"), F.col("n"))
     named = F.array(*[F.struct(F.lit(c).cast(kind).alias("c")) for c in classes or []]).cast(f"array<struct<c: {kind.simpleString()}>>")
-    seen = F.flatten(F.collect_set(F.array(F.struct(F.col("label").alias("c")), F.struct(F.col("prediction").cast(kind).alias("c")))))
-    every = counts.agg(F.array_distinct(F.concat(seen, named)).alias("all"))
-    grid = every.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).select(
-        F.col("a.c").alias("l"), F.col("b.c").alias("p"))
-    return grid.join(counts, F.col("l").eqNullSafe(F.col("label")) & F.col("p").eqNullSafe(F.col("prediction")), "left").select(
-        F.col("l").alias("label"), F.col("p").alias("prediction"), F.coalesce("n", F.lit(0)).alias("n"))
+    one = counts.agg(F.collect_list(cell).alias("cells"))
+    seen = F.flatten(F.transform("cells", lambda x: F.array(F.struct(x["label"].alias("c")), F.struct(x["prediction"].alias("c")))))
+    grid = F.flatten(F.transform("all", lambda a: F.transform("all", lambda b: F.struct(
+        a["c"].alias("label"), b["c"].alias("prediction"), F.lit(0).cast("bigint").alias("n")))))
+    every = one.withColumn("all", F.array_distinct(F.concat(seen, named)))
+    return every.select(F.inline(F.concat("cells", grid))).groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -8,8 +8,15 @@ importances, per-tree votes) into small DataFrames.
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.profile import balanced_weights
@@ -53,6 +60,53 @@ def with_balanced_weights(df: DataFrame, label: str, weight: str = "weight") ->
     return balanced_weights(df, label, weight)
 
 
+class _WeightParams(Params):
+    scheme = Param(Params._dummy(), "scheme", "balanced: n / (k * n_c); positive: negatives per positive for label 1",
+                   TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
+    weightCol = Param(Params._dummy(), "weightCol", "name of the weight column", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(labelCol="label", weightCol="weight", scheme="balanced")
+
+
+class BalancedWeights(Estimator, _WeightParams, DefaultParamsReadable, DefaultParamsWritable):
+    """S25 as a pipeline stage: the weight n / (k * n_c) of each class, or (scheme ``positive``) the number of
+    negatives per positive for label 1, from the fitting rows only, so that a search refits it in every fold.
+    Rows of other labels (and NULL) weigh 1."""
+
+    def __init__(self, label: str = "label", weight: str = "weight", scheme: str = "balanced"):
+        super().__init__()
+        self._set(labelCol=label, weightCol=weight, scheme=scheme)
+
+    def _fit(self, dataset: DataFrame) -> "BalancedWeightsModel":
+        label = self.getOrDefault("labelCol")
+        counts = dataset.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("y")).count().collect()
+        size = {float(r["y"]): r["count"] for r in counts}
+        n, k = sum(size.values()), len(size)
+        if self.getOrDefault("scheme") == "positive":
+            weights = {1.0: (n - size[1.0]) / size[1.0]} if 1.0 in size else {}
+        else:
+            weights = {y: n / (k * c) for y, c in size.items()}
+        return self._copyValues(BalancedWeightsModel()._set(classes=list(weights), weights=list(weights.values())))
+
+
+class BalancedWeightsModel(Model, _WeightParams, DefaultParamsReadable, DefaultParamsWritable):
+    classes = Param(Params._dummy(), "classes", "labels", TypeConverters.toListFloat)
+    weights = Param(Params._dummy(), "weights", "weight of each label", TypeConverters.toListFloat)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(classes=[], weights=[])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        w = F.lit(1.0)
+        for c, v in zip(self.getOrDefault("classes"), self.getOrDefault("weights")):
+            w = F.when(F.col(self.getOrDefault("labelCol")) == F.lit(c), F.lit(v)).otherwise(w)
+        return dataset.withColumn(self.getOrDefault("weightCol"), w)
+
+
 def coefficient_table(model, feats: list[str], classes: list | None = None) -> DataFrame:
     """ML14: signed / absolute coefficients per (class, feature) and the mean
     absolute coefficient over classes, ranked by it."""
@@ -156,3 +210,78 @@ def gaussian_nb_predict(df: DataFrame, params: DataFrame, feats: list[str], key:
         jll.append(F.struct(e.alias("jll"), F.lit(-prm.index(r)).alias("neg_pos"), F.lit(r["cls"]).alias("cls")))
     best = F.greatest(*jll) if len(jll) > 1 else jll[0]
     return df.select(*key, best["cls"].alias("prediction"), best["jll"].alias("jll"))
+
+
+class GaussianNB(Estimator):
+    """ML10 as a pipeline stage over plain columns: the DataFrame program above for two classes (1 and any other).
+    The model adds ``prediction`` (0 or 1, as double) and ``score``, the log odds of class 1, to nine digits."""
+
+    def __init__(self, feats: list[str], label: str = "label"):
+        super().__init__()
+        self.feats, self.label = list(feats), label
+
+    def _fit(self, dataset: DataFrame) -> "GaussianNBModel":
+        params = gaussian_nb_fit(dataset, self.feats, self.label)
+        return GaussianNBModel(self.feats, {float(r["cls"]): r.asDict() for r in params.collect()})
+
+
+class GaussianNBModel(Model):
+    def __init__(self, feats: list[str], params: dict[float, dict]):
+        super().__init__()
+        self.feats, self.fitted = feats, params
+
+    def _log_likelihood(self, p: dict) -> Column:
+        out = F.lit(p["log_prior"])
+        for f in self.feats:
+            x, m, v = F.col(f).cast("double"), p[f"m_{f}"], p[f"v_{f}"]
+            out = out - F.lit(0.5 * math.log(2 * math.pi * v)) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * v)
+        return out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        odds = F.round(self._log_likelihood(self.fitted[1.0]) - self._log_likelihood(self.fitted[0.0]), 9)
+        return dataset.withColumns({"score": odds, "prediction": (odds > 0).cast("double")})
+
+
+class BoostedOneVsRest(Estimator):
+    """ML7: boosted trees for several classes (labels 0, 1, ...): one MLlib GBT per class against the rest, all with the
+    rows' weights. The model gives ``margins``, ``probability`` (each tree ensemble's own probability, divided by
+    their sum) and ``prediction`` (the largest; ties: the lowest class). The classes are fitted several at once."""
+
+    def __init__(self, label: str = "label", features: str = "features", weight: str | None = None, seed: int = 42, parallelism: int = 3,
+                 **params):
+        super().__init__()
+        self.label, self.features, self.weight, self.seed, self.parallelism, self.gbt = label, features, weight, seed, parallelism, params
+
+    def _fit(self, dataset: DataFrame) -> "BoostedOneVsRestModel":
+        from pyspark.ml.classification import GBTClassifier
+        classes = sorted(r[0] for r in dataset.where(F.col(self.label).isNotNull()).select(F.col(self.label).cast("double")).distinct().collect())
+
+        def one(c: float):
+            gbt = GBTClassifier(labelCol="__is", featuresCol=self.features, seed=self.seed, **self.gbt,
+                                **({"weightCol": self.weight} if self.weight else {}))
+            return gbt.fit(dataset.withColumn("__is", (F.col(self.label) == F.lit(c)).cast("double")))
+
+        with ThreadPoolExecutor(self.parallelism) as pool:
+            return BoostedOneVsRestModel(classes, list(pool.map(one, classes)), self.features)
+
+
+class BoostedOneVsRestModel(Model):
+    def __init__(self, classes: list[float], models: list, features: str):
+        super().__init__()
+        self.classes, self.models, self.features = classes, models, features
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        x = dataset
+        for i, m in enumerate(self.models):
+            m = m.copy().setFeaturesCol(self.features).setPredictionCol(f"__o{i}").setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__p{i}")
+            x = m.transform(x)
+        n = range(len(self.models))
+        margins = F.array(*[vector_to_array(f"__r{i}")[1] for i in n])
+        own = F.array(*[vector_to_array(f"__p{i}")[1] for i in n])
+        x = x.withColumns({"margins": margins, "__own": own})
+        total = F.aggregate("__own", F.lit(0.0), lambda a, v: a + v)
+        share = F.transform("__own", lambda v: v / total)
+        best = F.array_position("__own", F.array_max("__own")).cast("int") - 1
+        classes = F.array(*[F.lit(c) for c in self.classes])
+        x = x.withColumns({"probability": array_to_vector(share), "prediction": F.element_at(classes, best + 1)})
+        return x.drop("__own", *[f"__{k}{i}" for k in "orp" for i in n])

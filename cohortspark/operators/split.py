@@ -80,10 +80,11 @@ def group_folds(df: DataFrame, group: str, out: str = "fold") -> tuple[DataFrame
 
 
 def split_report(df: DataFrame, split: str, label: str) -> DataFrame:
-    """SP3: rows per (split, class) with % of the split and of the class."""
+    """SP3: rows per (split, class) with % of the split and of the class, and the split's rows."""
     from pyspark.sql import Window
     c = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
     return (c.withColumn("pct_of_split", F.col("n") / F.sum("n").over(Window.partitionBy(split)) * 100)
+            .withColumn("pct_of_class", F.col("n") / F.sum("n").over(Window.partitionBy(label)) * 100)
             .withColumn("split_rows", F.sum("n").over(Window.partitionBy(split))))
 
 

@@ -50,6 +50,6 @@ def register(name: str, ids: str, sql: str | None = None):
 def load_all() -> dict[str, Registered]:
     # importing the topic modules fills REGISTRY
     from cohortspark.plans import (  # noqa: F401
-        q_audit, q_cluster, q_entropy, q_impute, q_metrics, q_models, q_prep, q_profile,
+        q_audit, q_cluster, q_entropy, q_impute, q_metrics, q_models, q_prep, q_profile, q_search,
     )
     return REGISTRY

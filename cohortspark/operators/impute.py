@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.knn import knn_join
 from cohortspark.operators.quantiles import exact_quantiles
-from cohortspark.session import cut_lineage
+from cohortspark.session import cut_lineage, stored
 
 
 def median_fill(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
@@ -42,31 +42,26 @@ def mode_fill(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
                            for c in cols if m[c] is not None}), m
 
 
-def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str], k: int = 5,
-             targets: list[str] | None = None, occupancy: int = 64) -> DataFrame:
+def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str] | None = None, k: int = 5,
+             targets: list[str] | None = None, occupancy: int = 64, visited: dict | None = None) -> DataFrame:
     """IM4 / S16: KNN imputation, k neighbours, 1/d weights, nan-Euclidean
-    distance over ``feats``. For each target column, queries are rows missing
-    it and donors are rows having it. Zero-distance donors take all the
-    weight; a row with no usable donor gets the column mean. Any column may
-    have gaps and be filled, those in ``grid`` (which bound the search) too."""
+    distance over ``feats``. A row that misses targets is one query per missing target, and its donors are
+    the rows having that target; all targets are searched in one join. Zero-distance donors take all the
+    weight; a row with no usable donor gets the column mean. Any column may have gaps and be filled."""
     targets = targets or feats
-    df = df.cache()  # read once per target column and per search round
-    out = df
     means = df.agg(*[F.avg(F.col(c)).alias(c) for c in targets]).first()
-    for c in targets:
-        q = df.where(F.col(c).isNull()).select(*key, *feats)
-        d = df.where(F.col(c).isNotNull()).select(*key, *feats)
-        nn = knn_join(q, d, key, key, feats, k, grid, metric="nan_euclidean", occupancy=occupancy, donor_cols=[c])
-        has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(*key))
-        w = F.when(has_zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
-        filled = (nn.withColumn("__w", w).groupBy(*key)
-                  .agg((F.sum(F.col("__w") * F.col(f"d_{c}")) / F.sum("__w")).alias(f"__fill_{c}")))
-        out = (out.join(filled, key, "left")
-               .withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{c}"), F.lit(means[c])))
-               .drop(f"__fill_{c}"))
-    out = cut_lineage(out)
-    df.unpersist()
-    return out
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in targets]), lambda x: x.isNotNull())
+    q = df.withColumn("__need", F.explode(missing)).select(*key, *feats, "__need")
+    d = df.where(F.coalesce(*[F.col(c).cast("double") for c in targets]).isNotNull()).select(*dict.fromkeys([*key, *feats, *targets]))
+    nn = knn_join(q, d, [*key, "__need"], key, feats, k, metric="nan_euclidean", occupancy=occupancy, donor_cols=targets,
+                  need="__need", needs=targets, visited=visited)
+    has_zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(*key, "__need"))
+    w = F.when(has_zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
+    own = {c: F.when(F.col("__need") == c, F.col("__w")) for c in targets}
+    filled = nn.withColumn("__w", w).groupBy(*key).agg(
+        *[F.try_divide(F.sum(own[c] * F.col(f"d_{c}")), F.sum(own[c])).alias(f"__fill_{c}") for c in targets])
+    out = df.join(filled, key, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"__fill_{c}"), F.lit(means[c])) for c in targets})
+    return stored(out.select(*df.columns), "knn-filled")
 
 
 def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str], num_trees: int = 200,

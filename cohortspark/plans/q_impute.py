@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.operators import impute as im
-from cohortspark.operators.knn import knn_join, knn_vote
+from cohortspark.operators.knn import knn_vote
 from cohortspark.operators.profile import missing_report
 from cohortspark.operators import split as sp
+from cohortspark.operators.vector_index import vector_knn
 from cohortspark.plans.common import LI_KEY, lineitem_with_gaps, r6, t
 from cohortspark.plans.registry import register
-from cohortspark.session import cut_lineage
+from cohortspark.session import stored
 
 _KEYS = ", ".join(LI_KEY)
 GAPS_SQL = ("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, "
@@ -94,22 +95,11 @@ f_{c} AS (SELECT qk, sum(w * dv) / sum(w) AS v FROM (SELECT qk, dv, CASE WHEN ma
 @register("knn_fill", "IM4 S16 JN3 JN4", sql=_knn_fill_sql(["s_acctbal", "avg_qty"]))
 def knn_fill(spark, d):
     prof = supplier_profile(spark, d)
-    x = im.knn_fill(prof, ["s_suppkey"], _PROFILE_FEATS, grid=["avg_price", "n_lines"], k=5,
-                    targets=["s_acctbal", "avg_qty"], occupancy=8)
+    x = im.knn_fill(stored(prof, "supplier-profile"), ["s_suppkey"], _PROFILE_FEATS, k=5, targets=["s_acctbal", "avg_qty"], occupancy=16)
     return x.select("s_suppkey", r6("s_acctbal").alias("s_acctbal"), r6("avg_qty").alias("avg_qty"))
 
 
 # ---------------------------------------------------------------- ML9 KNN classifier on embeddings
-_DIM = 64
-_EMB_COLS = [f"e{i}" for i in range(_DIM)]
-
-
-def _emb(spark, d):
-    e = t(spark, d, "embeddings")
-    e = sp.assign_split(e, ["vec_id"])
-    return e.select("vec_id", "label", "split", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_EMB_COLS)])
-
-
 _H_VEC = sp.hash60_sql(["vec_id"])
 _C70 = sp.cut_points([0.7, 0.3])[0]
 
@@ -123,11 +113,9 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY dis
 v AS (SELECT qk, dl, count(*)::DOUBLE AS score FROM top GROUP BY ALL)
 SELECT qk AS vec_id, dl AS prediction, score FROM (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY score DESC, dl) AS r FROM v) WHERE r = 1""")
 def knn_classify(spark, d):
-    e = cut_lineage(_emb(spark, d))
-    q = e.where(F.col("split") == "test")
-    donors = e.where(F.col("split") == "train")
-    nn = knn_join(q, donors, ["vec_id"], ["vec_id"], _EMB_COLS, 5, grid=["e0", "e1"], metric="euclidean",
-                  occupancy=16, donor_cols=["label"])
+    """k-NN vote in 64 dimensions through the pivot index; every answer is exact."""
+    e = sp.assign_split(t(spark, d, "embeddings"), ["vec_id"]).select("vec_id", "label", "embedding", "split")
+    nn = vector_knn(e.where("split = 'test'"), e.where("split = 'train'"), ["vec_id"], ["vec_id"], "embedding", 5, payload=["label"])
     return knn_vote(nn, ["vec_id"], "d_label")
 
 

@@ -304,6 +304,24 @@ def corr_matrix(spark, d):
     return m.select("col_a", "col_b", r6("r").alias("r"))
 
 
+_DIMS = 64
+# gaps by value, so that every pair of columns has rows of its own
+_GAPPY = [f"CASE WHEN embedding[{i + 1}] > -0.2 THEN embedding[{i + 1}]::DOUBLE END AS e{i}" for i in range(_DIMS)]
+
+
+@register("corr_wide", "AG31 AG33", sql=f"""
+WITH w AS (SELECT {', '.join(_GAPPY)} FROM embeddings),
+c AS (SELECT {', '.join(f'corr(e{i}, e{j}) AS p{i}_{j}' for i, j in combinations(range(_DIMS), 2))} FROM w),
+u AS (UNPIVOT c ON COLUMNS(*) INTO NAME pair VALUE r)
+SELECT 'e' || split_part(pair[2:], '_', 1) AS col_a, 'e' || split_part(pair, '_', 2) AS col_b, round_even(r, 6) AS r FROM u""")
+def corr_wide(spark, d):
+    """All pairs of the 64 columns of the embeddings, pairwise complete, from one scan of packed Gram sums."""
+    e = t(spark, d, "embeddings")
+    v = [F.col("embedding")[i].cast("double") for i in range(_DIMS)]
+    x = e.select(*[F.when(c > F.lit(-0.2).cast("float"), c).alias(f"e{i}") for i, c in enumerate(v)])
+    return co.corr_pairs(x, [f"e{i}" for i in range(_DIMS)]).select("col_a", "col_b", r6("r").alias("r"))
+
+
 @register("corr_target", "AG32 WN7", sql=f"""
 WITH c AS ({_union(f"SELECT '{c}' AS feature, corr({c}, is_returned) AS r FROM ({_CORR_SRC})" for c in _CORR_COLS)})
 SELECT feature, round_even(r, 6) AS r, round_even(abs(r), 6) AS abs_r,

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.operators.quantiles import (
-    class_quantile_table, exact_quantiles, present, quantile_table, to_long,
+    class_quantile_table, exact_quantiles, present, quantile_table, sketch_table, to_long,
 )
 from cohortspark.operators.ranking import running_total
-from cohortspark.session import cut_lineage
+from cohortspark.session import cut_lineage, stored
 
 # The percentile ladder and quartiles of the reference reports.
 PERCENTILE_LADDER = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -52,16 +52,16 @@ def missing_report(df: DataFrame, cols: list[str] | None = None, only_missing: b
 
 
 def numeric_describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """AG1 + AG2: count, missing, mean, sample std, min, 25/50/75 %, max per column."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), present(F.col(c)).alias("x")) for c in cols])
-    moments = df.select(F.inline(entries)).groupBy("column_name").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_missing"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    t = quantile_table(to_long(df, cols), list(QUARTILES))
+    """AG1 + AG2: count, missing, mean, sample std, min, 25/50/75 %, max per column. The sketch pass of the
+    quantiles carries the moments: two scans."""
+    every = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("__g"), present(F.col(c)).alias("__v")) for c in cols])))
+    sketch = stored(sketch_table(every, list(QUARTILES), ["__g"], moments=True), "describe-sketch")
+    t = quantile_table(every, list(QUARTILES), sketch=sketch)
     q = t.groupBy(F.col("__g").alias("name")).agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(f"p{p}")
                                                     for j, p in enumerate((25, 50, 75))])
-    return moments.join(q, F.col("column_name") == F.col("name"), "left").select(
-        "column_name", "n", "n_missing", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return sketch.join(q, F.col("__g") == F.col("name"), "left").select(
+        F.col("__g").alias("column_name"), "n", "n_missing", "mean", "std", F.col("least").alias("min"), "p25", "p50", "p75",
+        F.col("greatest").alias("max"))
 
 
 def percentile_ladder(df: DataFrame, cols: list[str], probs=PERCENTILE_LADDER) -> DataFrame:

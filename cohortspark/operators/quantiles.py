@@ -4,14 +4,20 @@ Spark's ``percentile`` aggregate keeps a value -> count map per group and merges
 ``quantile_table`` reads the (group, value) rows twice instead, on one path for every size:
 
 1. one grouped aggregation gives count, min, max and a bounded ``percentile_approx`` sketch, whose
-   values at p -+ margin bracket the wanted ranks;
+   values at p -+ margin bracket the wanted ranks, with ``CUTS`` cut values inside each bracket;
 2. one grouped count keeps values inside a bracket and folds all rows of each gap between brackets
    into one entry with its count, least and greatest value.
 
-A running total over these entries (``running_total``: no group in one task) finds every rank. A rank
+The cut values order the entries into segments before they are shuffled: an entry's place is the rows of the
+lower segments (a few numbers per group) plus its place in its own segment, which holds a small share
+of a bracket. So there is no range partitioning, no sampling job and no stored copy of the entries. A rank
 at the edge of a gap is its least or greatest value; should a sketch ever miss by more, that gap
 becomes the bracket of another pass of step 2, until every rank is found.
 
+``part_sketches`` keeps the state of step 1 as one mergeable KLL sketch per part and column: quantiles of
+any set of parts come from the stored sketches, new parts add rows, and exact quantiles take their brackets
+from them, with a single scan (``quantile_table(..., sketch=brackets_of(...))``).
+
 Linear interpolation follows ``v[lo] + (v[hi] - v[lo]) * frac`` with ``h = (n - 1) * p`` (pandas /
 DuckDB ``quantile_cont`` / Spark ``percentile``). NULL and NaN are missing values and ignored.
 """
@@ -21,10 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.ranking import running_total
-from cohortspark.session import cut_lineage
+from pyspark.sql import Window
+
+from cohortspark.session import cut_lineage, stored
 
 ACCURACY = 1_000
+CUTS = 4
+KLL_K = 4_000
+FALLBACK_CUTS = 64
+# rank error of a KLL sketch of that size, with room: about 0.05 % at k = 4,000
+KLL_MARGIN = 0.002
 
 
 def present(c: Column) -> Column:
@@ -48,36 +60,79 @@ def to_long(df: DataFrame, cols, by: str | None = None) -> DataFrame:
     return df.select(*keep, F.inline(entries)).where(F.col("__v").isNotNull())
 
 
-def _entries(long: DataFrame, brackets: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """Counts of the values inside the ``m`` brackets (columns lo0, hi0, ...) of each group and of every
-    gap between them: (keys, at, gap, n, least, greatest). A gap is placed after the bracket below it."""
-    b = brackets.select(*[F.col(k).alias(f"{k}_b") for k in keys], *[f"{e}{j}" for j in range(m) for e in ("lo", "hi")])
+def _same(keys: list[str], left: str, right: str) -> Column:
     on = F.lit(True)
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_b"))
-    v, inside, below = F.col("__v"), F.lit(False), F.lit(float("-inf"))
+        on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return on
+
+
+def _grid(probs: list[float], margin: float) -> list[float]:
+    """The ranks whose sketch values bracket every wanted rank and cut its bracket."""
+    steps = [margin * (2 * i / CUTS - 1) for i in range(CUTS + 1)]
+    return sorted({min(1.0, max(0.0, p + s)) for p in probs for s in steps})
+
+
+def _brackets(sketch: DataFrame, keys: list[str], probs: list[float], margin: float) -> DataFrame:
+    """keys, n, least, greatest, los and his (the bracket of each probability), cuts (distinct, ascending). The values
+    ``s`` of the sketch are those of ``_grid``; its ends are the exact least and greatest value."""
+    grid = _grid(probs, margin)
+    at = {g: F.col("s")[i] for i, g in enumerate(grid)} | {0.0: F.col("least"), 1.0: F.col("greatest")}
+    los = [at[min(1.0, max(0.0, p - margin))] for p in probs]
+    his = [at[min(1.0, max(0.0, p + margin))] for p in probs]
+    cuts = F.array_distinct(F.sort_array(F.array(*[at[g] for g in grid])))
+    return sketch.select(*keys, "n", "least", "greatest", F.array(*los).alias("los"), F.array(*his).alias("his"), cuts.alias("cuts"))
+
+
+def _entries(long: DataFrame, brackets: DataFrame, keys: list[str], m: int, n_cuts: int) -> DataFrame:
+    """Counts of the values inside the ``m`` brackets of each group and of every gap: (keys, seg, gap, at, n,
+    least, greatest). Segment ``seg`` holds the values behind ``seg`` cuts; it has at most one gap, and that
+    lies below its values."""
+    b = brackets.select(*keys, *[F.get("cuts", F.lit(i)).alias(f"c{i}") for i in range(n_cuts)],
+                        *[F.col(e)[j].alias(f"{e[:2]}{j}") for j in range(m) for e in ("los", "his")])
+    v, inside, seg = F.col("l.__v"), F.lit(False), F.lit(0)
     for j in range(m):
-        inside = inside | v.between(F.col(f"lo{j}"), F.col(f"hi{j}"))
-        below = F.greatest(below, F.when(F.col(f"hi{j}") < v, F.col(f"hi{j}")))
-    placed = long.join(b, on).select(*keys, inside.alias("__in"), below.alias("__below"), "__v")
-    placed = placed.select(*keys, F.when(F.col("__in"), F.col("__v")).otherwise(F.col("__below")).alias("at"),
-                           F.when(F.col("__in"), 0).otherwise(1).alias("gap"), "__v")
-    return placed.groupBy(*keys, "at", "gap").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"),
-                                                  F.max("__v").alias("greatest"))
-
-
-def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None = None, accuracy: int = ACCURACY) -> DataFrame:
+        inside = inside | v.between(F.col(f"b.lo{j}"), F.col(f"b.hi{j}"))
+    for i in range(n_cuts):
+        seg = seg + F.coalesce((F.col(f"b.c{i}") < v).cast("int"), F.lit(0))
+    placed = long.alias("l").join(b.alias("b"), _same(keys, "l", "b")).select(
+        *[F.col(f"l.{k}").alias(k) for k in keys], inside.alias("__in"), seg.alias("seg"), v.alias("__v"))
+    placed = placed.select(*keys, "seg", (~F.col("__in")).alias("gap"), F.when(F.col("__in"), F.col("__v")).alias("at"), "__v")
+    return placed.groupBy(*keys, "seg", "gap", "at").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"),
+                                                         F.max("__v").alias("greatest"))
+
+
+def _placed(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries with ``upto``: the rows of the group up to and including the entry."""
+    inside = Window.partitionBy(*keys, "seg").orderBy(F.col("gap").desc(), "at").rowsBetween(Window.unboundedPreceding, 0)
+    local = entries.withColumn("run", F.sum("n").over(inside))
+    lower = Window.partitionBy(*keys).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)     # a few segments a group
+    totals = entries.groupBy(*keys, "seg").agg(F.sum("n").alias("total"))
+    totals = totals.select(*keys, "seg", F.coalesce(F.sum("total").over(lower), F.lit(0)).alias("before"))
+    both = local.alias("a").join(totals.alias("t"), _same([*keys, "seg"], "a", "t"))
+    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], "gap", "at", "n", "least", "greatest", (F.col("run") + F.col("before")).alias("upto"))
+
+
+def sketch_table(long: DataFrame, probs: list[float], keys: list[str], accuracy: int = ACCURACY, moments: bool = False) -> DataFrame:
+    """Step 1: keys, n, least, greatest, s (sketch values at the ranks of ``_grid``); with ``moments`` also n_missing, mean
+    and sample std of the group from the same scan (``long`` may hold NULL values then)."""
+    extra = [F.count_if(F.col("__v").isNull()).alias("n_missing"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std")] if moments else []
+    return long.groupBy(*keys).agg(
+        F.count("__v").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
+        F.percentile_approx("__v", _grid(probs, 2.0 / accuracy), accuracy).alias("s"), *extra)
+
+
+def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None = None, accuracy: int = ACCURACY,
+                   sketch: DataFrame | None = None, margin: float | None = None) -> DataFrame:
     """(keys, p, q, n, least, greatest): the exact quantiles of ``__v`` in every group of ``long``, a row per
-    group and probability, with the group's count, minimum and maximum."""
+    group and probability, with the group's count, minimum and maximum. ``sketch`` (keys, n, least,
+    greatest, s) stands for step 1 where it is known already; ``margin`` is its rank error."""
     keys = keys or ["__g"]
-    margin = 2.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
-    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
-                                     F.percentile_approx("__v", grid, accuracy).alias("s"))
-    place = {g: F.col("s")[i] for i, g in enumerate(grid)} | {0.0: F.col("least"), 1.0: F.col("greatest")}
-    edges = [(place[max(0.0, p - margin)], place[min(1.0, p + margin)]) for p in probs]
-    brackets = cut_lineage(sketch.select(*keys, "n", "least", "greatest", *[
-        e.alias(f"{name}{j}") for j, pair in enumerate(edges) for name, e in zip(("lo", "hi"), pair)]))
+    margin = margin or 2.0 / accuracy
+    if sketch is None:
+        sketch = sketch_table(long, probs, keys, accuracy)
+    brackets = stored(_brackets(sketch.where("n > 0"), keys, probs, margin), "quantile-brackets")
+    long = long.where(F.col("__v").isNotNull())
 
     # the ranks of every group: p -> floor((n - 1) p) and the one above it
     h = (F.col("n") - 1) * F.col("w.p")
@@ -89,25 +144,25 @@ def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None =
             F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("n") - 1).alias("rank")))))
         .select(*keys, F.col("n").alias("size"), F.col("least").alias("min"), F.col("greatest").alias("max"), "w.j", "w.p", "frac",
                 "r.side", "r.rank"))
-    found, m = None, len(probs)
+    found, m, n_cuts = None, len(probs), len(_grid(probs, margin))
     while True:
-        upto = running_total(_entries(long, brackets, keys, m), keys, [F.col("at"), F.col("gap")], F.col("n"), "upto")
-        e = upto.select(*[F.col(k).alias(f"{k}_e") for k in keys], "at", "gap", "n", "least", "greatest", "upto")
-        on = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"{k}_e"))
-        value = (F.when(F.col("gap") == 0, F.col("at")).when(F.col("rank") == F.col("upto") - F.col("n"), F.col("least"))
+        e = _placed(_entries(long, brackets, keys, m, n_cuts), keys)
+        on = _same(keys, "w", "e") & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        value = (F.when(~F.col("gap"), F.col("at")).when(F.col("rank") == F.col("upto") - F.col("n"), F.col("least"))
                  .when(F.col("rank") == F.col("upto") - 1, F.col("greatest")))
-        hits = cut_lineage(wanted.join(e, on).select(*wanted.columns, value.alias("value"), "least", "greatest"))
+        hits = stored(wanted.alias("w").join(e.alias("e"), on).select(*[F.col(f"w.{c}").alias(c) for c in wanted.columns],
+                                                                      value.alias("value"), "least", "greatest"), "quantile-hits")
         done = hits.where(F.col("value").isNotNull()).select(*wanted.columns, "value")
         found = done if found is None else found.unionByName(done)
         missed = hits.where(F.col("value").isNull())
         if missed.isEmpty():
             break
-        # search the missed gaps whole
-        wanted, m = missed.select(*wanted.columns), 1
-        long = long.join(missed.select(*keys).distinct(), keys, "left_semi") if keys == ["__g"] else long
-        brackets = missed.groupBy(*keys).agg(F.min("least").alias("lo0"), F.max("greatest").alias("hi0"))
+        # search the missed gaps whole, cut into equal widths
+        wanted, m, n_cuts = missed.select(*wanted.columns), 1, FALLBACK_CUTS
+        gap = missed.groupBy(*keys).agg(F.min("least").alias("lo"), F.max("greatest").alias("hi"))
+        step = (F.col("hi") - F.col("lo")) / (FALLBACK_CUTS - 1)
+        cuts = F.array(*[F.col("lo") + step * i for i in range(FALLBACK_CUTS - 1)], F.col("hi"))
+        brackets = gap.select(*keys, F.array("lo").alias("los"), F.array("hi").alias("his"), F.array_distinct(F.sort_array(cuts)).alias("cuts"))
     both = found.groupBy(*keys, "j").agg(
         F.first("p").alias("p"), F.first("frac").alias("frac"), F.first("size").alias("n"), F.first("min").alias("least"),
         F.first("max").alias("greatest"), F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
@@ -116,6 +171,31 @@ def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None =
     return both.select(*keys, "j", "p", q.alias("q"), "n", "least", "greatest")
 
 
+def part_sketches(df: DataFrame, cols, part: str) -> DataFrame:
+    """(part, __g, n, least, greatest, kll): one mergeable sketch per part (a day, a file, a source) and column. Store it;
+    a new part only adds its own rows (``part_sketches`` of the new rows, appended)."""
+    return to_long(df, cols, part).groupBy(F.col("__by").alias("part"), "__g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
+        F.kll_sketch_agg_double("__v", KLL_K).alias("kll"))
+
+
+def brackets_of(sketches: DataFrame, probs: list[float]) -> DataFrame:
+    """The merged state of stored sketches as step 1 of ``quantile_table`` (margin ``KLL_MARGIN``): no row of the data is
+    read."""
+    grid = F.array(*[F.lit(g) for g in _grid(probs, KLL_MARGIN)])
+    merged = sketches.groupBy("__g").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
+                                         F.kll_merge_agg_double("kll").alias("kll"))
+    return merged.select("__g", "n", "least", "greatest", F.kll_sketch_get_quantile_double("kll", grid).alias("s"))
+
+
+def approx_from_sketches(sketches: DataFrame, probs: list[float]) -> DataFrame:
+    """(column_name, p, q, n): quantiles of the merged sketches, within ``KLL_MARGIN`` of the rank."""
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    merged = sketches.groupBy("__g").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("kll").alias("kll"))
+    both = merged.select("__g", "n", F.arrays_zip(wanted.alias("p"), F.kll_sketch_get_quantile_double("kll", wanted).alias("q")).alias("z"))
+    return both.select(F.col("__g").alias("column_name"), "n", F.inline("z")).select("column_name", "p", "q", "n")
+
+
 def _by_group(table: DataFrame, n_probs: int) -> dict[str, list]:
     out: dict[str, list] = {}
     for r in table.select("__g", "j", "q").collect():

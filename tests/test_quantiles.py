@@ -70,3 +70,49 @@ def test_many_rows_take_the_same_path(spark):
     df = spark.range(600_000).select(((F.col("id") * 7919) % 600_000).cast("double").alias("x"), (F.col("id") % 3).alias("k"))
     res = q.exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.999, 1.0])["x"]
     assert np.allclose(res, np.quantile(np.arange(600_000.0), [0.0, 0.1, 0.5, 0.999, 1.0]))
+
+
+def test_a_bad_sketch_is_searched_again(spark):
+    """Brackets that miss every rank lead to further passes, never to a wrong value."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=3000)
+    long = spark.createDataFrame([("a", float(v)) for v in x], "__g string, __v double")
+    n_grid = len(q._grid([0.1, 0.5], 0.002))
+    wrong = spark.createDataFrame([("a", 3000, float(x.min()), float(x.max()), [2.9 + i * 1e-4 for i in range(n_grid)])],
+                                  "__g string, n bigint, least double, greatest double, s array<double>")
+    got = {r["p"]: r["q"] for r in q.quantile_table(long, [0.1, 0.5], sketch=wrong).collect()}
+    assert got == pytest.approx({p: np.quantile(x, p) for p in (0.1, 0.5)}, abs=1e-12)
+
+
+def test_stored_sketches_bracket_exact_quantiles(spark, tmp_path):
+    """Sketches of two parts, stored, and of a third appended later: merged quantiles lie within the margin, and exact ones
+    take their brackets from them."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=20_000), rng.exponential(size=30_000) * 50, np.full(15_000, 3.0)])
+    df = spark.createDataFrame([(int(i // 22_000), float(v), float(-v)) for i, v in enumerate(x)], "day int, x double, y double")
+    path = str(tmp_path / "sketches")
+    q.part_sketches(df.where("day < 2"), ["x", "y"], "day").write.parquet(path)
+    q.part_sketches(df.where("day = 2"), ["x", "y"], "day").write.mode("append").parquet(path)
+    sketches = spark.read.parquet(path)
+    assert sketches.count() == 6
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    ordered = {"x": np.sort(x), "y": np.sort(-x)}
+    for r in q.approx_from_sketches(sketches, probs).collect():
+        v = ordered[r["column_name"]]
+        lo, hi = np.searchsorted(v, r["q"], "left") / len(v), np.searchsorted(v, r["q"], "right") / len(v)
+        assert r["n"] == len(x) and lo - q.KLL_MARGIN <= r["p"] <= hi + q.KLL_MARGIN
+    exact = q.quantile_table(q.to_long(df, ["x", "y"]), probs, sketch=q.brackets_of(sketches, probs), margin=q.KLL_MARGIN)
+    for r in exact.collect():
+        assert r["q"] == pytest.approx(np.quantile(ordered[r["__g"]], r["p"]), abs=1e-12)
+
+
+def test_plan_has_no_range_partitioning(spark):
+    """Entries are shuffled by group and segment: no sampling job, and no group or bracket in one task."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    long = q.to_long(df, ["x"])
+    b = q._brackets(q.sketch_table(long, [0.5], ["__g"]), ["__g"], [0.5], 0.002)
+    placed = q._placed(q._entries(long, b, ["__g"], 1, q.CUTS + 1), ["__g"])
+    plan = placed._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+    rows = placed.orderBy("upto").collect()
+    assert rows[-1]["upto"] == 1000 and sum(r["n"] for r in rows) == 1000

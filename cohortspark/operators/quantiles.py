@@ -3,7 +3,7 @@
 Spark's ``percentile`` aggregate keeps a value -> count map per group and merges it in one task.
 ``quantile_table`` reads the (group, value) rows twice instead, on one path for every size:
 
-1. one grouped aggregation gives count, min, max and a bounded ``percentile_approx`` sketch, whose
+1. one grouped aggregation gives count, min, max and a bounded KLL sketch, whose
    values at p -+ margin bracket the wanted ranks, with ``CUTS`` cut values inside each bracket;
 2. one grouped count keeps values inside a bracket and folds all rows of each gap between brackets
    into one entry with its count, least and greatest value.
@@ -33,10 +33,18 @@ from cohortspark.session import cut_lineage, stored
 
 ACCURACY = 1_000
 CUTS = 4
-KLL_K = 4_000
 FALLBACK_CUTS = 64
-# rank error of a KLL sketch of that size, with room: about 0.05 % at k = 4,000
-KLL_MARGIN = 0.002
+
+
+def _kll_k(accuracy: int) -> int:
+    """Size of a KLL sketch whose rank error is about 0.4 / accuracy (measured at 1,000), so that a margin of 1 / accuracy
+    has room."""
+    return max(8, min(65_535, 4 * accuracy))
+
+
+def rank_margin(accuracy: int = ACCURACY) -> float:
+    return 1.0 / accuracy
+
 
 
 def present(c: Column) -> Column:
@@ -90,11 +98,19 @@ def _entries(long: DataFrame, brackets: DataFrame, keys: list[str], m: int, n_cu
     lies below its values."""
     b = brackets.select(*keys, *[F.get("cuts", F.lit(i)).alias(f"c{i}") for i in range(n_cuts)],
                         *[F.col(e)[j].alias(f"{e[:2]}{j}") for j in range(m) for e in ("los", "his")])
-    v, inside, seg = F.col("l.__v"), F.lit(False), F.lit(0)
+    v, inside = F.col("l.__v"), F.lit(False)
     for j in range(m):
         inside = inside | v.between(F.col(f"b.lo{j}"), F.col(f"b.hi{j}"))
-    for i in range(n_cuts):
-        seg = seg + F.coalesce((F.col(f"b.c{i}") < v).cast("int"), F.lit(0))
+
+    def cuts_below(lo: int, hi: int) -> Column:
+        """The number of cuts below v, known to be from ``lo`` to ``hi``: halved by one comparison at a time. A group with
+        fewer cuts has NULLs behind them, which are below nothing."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(f"b.c{mid}") < v, cuts_below(mid + 1, hi)).otherwise(cuts_below(lo, mid))
+
+    seg = cuts_below(0, n_cuts)
     placed = long.alias("l").join(b.alias("b"), _same(keys, "l", "b")).select(
         *[F.col(f"l.{k}").alias(k) for k in keys], inside.alias("__in"), seg.alias("seg"), v.alias("__v"))
     placed = placed.select(*keys, "seg", (~F.col("__in")).alias("gap"), F.when(F.col("__in"), F.col("__v")).alias("at"), "__v")
@@ -117,9 +133,14 @@ def sketch_table(long: DataFrame, probs: list[float], keys: list[str], accuracy:
     """Step 1: keys, n, least, greatest, s (sketch values at the ranks of ``_grid``); with ``moments`` also n_missing, mean
     and sample std of the group from the same scan (``long`` may hold NULL values then)."""
     extra = [F.count_if(F.col("__v").isNull()).alias("n_missing"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std")] if moments else []
-    return long.groupBy(*keys).agg(
-        F.count("__v").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
-        F.percentile_approx("__v", _grid(probs, 2.0 / accuracy), accuracy).alias("s"), *extra)
+    state = long.groupBy(*keys).agg(F.count("__v").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
+                                    F.kll_sketch_agg_double("__v", _kll_k(accuracy)).alias("kll"), *extra)
+    return state.withColumn("s", _sketched(_grid(probs, rank_margin(accuracy)))).drop("kll")
+
+
+def _sketched(ranks: list[float]) -> Column:
+    """The sketch values at some ranks; NULL for a group without values."""
+    return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("kll", F.array(*[F.lit(float(r)) for r in ranks])))
 
 
 def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None = None, accuracy: int = ACCURACY,
@@ -128,7 +149,7 @@ def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None =
     group and probability, with the group's count, minimum and maximum. ``sketch`` (keys, n, least,
     greatest, s) stands for step 1 where it is known already; ``margin`` is its rank error."""
     keys = keys or ["__g"]
-    margin = margin or 2.0 / accuracy
+    margin = margin or rank_margin(accuracy)
     if sketch is None:
         sketch = sketch_table(long, probs, keys, accuracy)
     brackets = stored(_brackets(sketch.where("n > 0"), keys, probs, margin), "quantile-brackets")
@@ -171,25 +192,23 @@ def quantile_table(long: DataFrame, probs: list[float], keys: list[str] | None =
     return both.select(*keys, "j", "p", q.alias("q"), "n", "least", "greatest")
 
 
-def part_sketches(df: DataFrame, cols, part: str) -> DataFrame:
+def part_sketches(df: DataFrame, cols, part: str, accuracy: int = ACCURACY) -> DataFrame:
     """(part, __g, n, least, greatest, kll): one mergeable sketch per part (a day, a file, a source) and column. Store it;
     a new part only adds its own rows (``part_sketches`` of the new rows, appended)."""
     return to_long(df, cols, part).groupBy(F.col("__by").alias("part"), "__g").agg(
         F.count(F.lit(1)).alias("n"), F.min("__v").alias("least"), F.max("__v").alias("greatest"),
-        F.kll_sketch_agg_double("__v", KLL_K).alias("kll"))
+        F.kll_sketch_agg_double("__v", _kll_k(accuracy)).alias("kll"))
 
 
-def brackets_of(sketches: DataFrame, probs: list[float]) -> DataFrame:
-    """The merged state of stored sketches as step 1 of ``quantile_table`` (margin ``KLL_MARGIN``): no row of the data is
-    read."""
-    grid = F.array(*[F.lit(g) for g in _grid(probs, KLL_MARGIN)])
+def brackets_of(sketches: DataFrame, probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """The merged state of stored sketches as step 1 of ``quantile_table``: no row of the data is read."""
     merged = sketches.groupBy("__g").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
                                          F.kll_merge_agg_double("kll").alias("kll"))
-    return merged.select("__g", "n", "least", "greatest", F.kll_sketch_get_quantile_double("kll", grid).alias("s"))
+    return merged.withColumn("s", _sketched(_grid(probs, rank_margin(accuracy)))).drop("kll")
 
 
 def approx_from_sketches(sketches: DataFrame, probs: list[float]) -> DataFrame:
-    """(column_name, p, q, n): quantiles of the merged sketches, within ``KLL_MARGIN`` of the rank."""
+    """(column_name, p, q, n): quantiles of the merged sketches, within ``rank_margin`` of the rank."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     merged = sketches.groupBy("__g").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("kll").alias("kll"))
     both = merged.select("__g", "n", F.arrays_zip(wanted.alias("p"), F.kll_sketch_get_quantile_double("kll", wanted).alias("q")).alias("z"))

@@ -77,7 +77,7 @@ def test_a_bad_sketch_is_searched_again(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=3000)
     long = spark.createDataFrame([("a", float(v)) for v in x], "__g string, __v double")
-    n_grid = len(q._grid([0.1, 0.5], 0.002))
+    n_grid = len(q._grid([0.1, 0.5], q.rank_margin()))
     wrong = spark.createDataFrame([("a", 3000, float(x.min()), float(x.max()), [2.9 + i * 1e-4 for i in range(n_grid)])],
                                   "__g string, n bigint, least double, greatest double, s array<double>")
     got = {r["p"]: r["q"] for r in q.quantile_table(long, [0.1, 0.5], sketch=wrong).collect()}
@@ -100,8 +100,8 @@ def test_stored_sketches_bracket_exact_quantiles(spark, tmp_path):
     for r in q.approx_from_sketches(sketches, probs).collect():
         v = ordered[r["column_name"]]
         lo, hi = np.searchsorted(v, r["q"], "left") / len(v), np.searchsorted(v, r["q"], "right") / len(v)
-        assert r["n"] == len(x) and lo - q.KLL_MARGIN <= r["p"] <= hi + q.KLL_MARGIN
-    exact = q.quantile_table(q.to_long(df, ["x", "y"]), probs, sketch=q.brackets_of(sketches, probs), margin=q.KLL_MARGIN)
+        assert r["n"] == len(x) and lo - q.rank_margin() <= r["p"] <= hi + q.rank_margin()
+    exact = q.quantile_table(q.to_long(df, ["x", "y"]), probs, sketch=q.brackets_of(sketches, probs))
     for r in exact.collect():
         assert r["q"] == pytest.approx(np.quantile(ordered[r["__g"]], r["p"]), abs=1e-12)
 
@@ -110,7 +110,7 @@ def test_plan_has_no_range_partitioning(spark):
     """Entries are shuffled by group and segment: no sampling job, and no group or bracket in one task."""
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     long = q.to_long(df, ["x"])
-    b = q._brackets(q.sketch_table(long, [0.5], ["__g"]), ["__g"], [0.5], 0.002)
+    b = q._brackets(q.sketch_table(long, [0.5], ["__g"]), ["__g"], [0.5], q.rank_margin())
     placed = q._placed(q._entries(long, b, ["__g"], 1, q.CUTS + 1), ["__g"])
     plan = placed._jdf.queryExecution().toString()
     assert "rangepartitioning" not in plan

@@ -34,6 +34,17 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def feature_report(df: DataFrame, numeric: list[str], strings: list[str]) -> DataFrame:
+    """PR7 / PR13: every feature column with its kind, its present and missing rows and its distinct values, from one scan."""
+    cols = [*numeric, *strings]
+    wide = df.agg(*[e for i, c in enumerate(cols) for e in (F.count(c).alias(f"n{i}"), F.count_if(F.col(c).isNull()).alias(f"m{i}"),
+                                                            F.count_distinct(c).alias(f"d{i}"))])
+    kinds = ["numeric"] * len(numeric) + ["string"] * len(strings)
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.col(f"n{i}").alias("n"),
+                                                   F.col(f"m{i}").alias("n_missing"), F.col(f"d{i}").alias("n_distinct"))
+                                          for i, (c, k) in enumerate(zip(cols, kinds))])))
+
+
 def _from_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cohortspark.functions import columns as fx
 from cohortspark.operators import features as fe
 from cohortspark.operators import split as sp
 from cohortspark.plans.common import LI_KEY, LI_NUMERIC, LI_TARGET, lineitem_with_gaps, r6, t
+from cohortspark.operators.profile import feature_report
 from cohortspark.plans.registry import register
+from cohortspark.session import checkpoint_dir
+from cohortspark.sources import has_flag, load_source, write_flagged, write_table
 
 H_ORD = sp.hash60_sql(["o_orderkey"])
 H_LI = sp.hash60_sql(LI_KEY)
@@ -306,6 +311,70 @@ def dropna_subset(spark, d):
         F.count_if(fx.all_present(["l_quantity", "l_extendedprice"])).alias("n_after"))
 
 
+def _flag_path(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_GAP_COLS = ["l_quantity", "l_extendedprice"]
+_GAP_SQL = (f"SELECT {', '.join(LI_KEY)}, CASE WHEN l_tax <> 0.0 THEN l_quantity END AS l_quantity, "
+            "CASE WHEN l_discount <> 0.1 THEN l_extendedprice END AS l_extendedprice FROM lineitem")
+
+
+@register("dropna_rows", "PR11 PR9 SC4", sql=f"""
+WITH g AS ({_GAP_SQL}), k AS (SELECT * FROM g WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+SELECT {', '.join(LI_KEY)}, l_quantity, l_extendedprice, (SELECT count(*) FROM g) AS n_before, (SELECT count(*) FROM k) AS n_after FROM k""")
+def dropna_rows(spark, d):
+    """Rows with a gap are dropped; the counts before and after come from the mask that the write left."""
+    g = lineitem_with_gaps(spark, d).select(*LI_KEY, *_GAP_COLS)
+    flags = {c: F.col(c).isNull() for c in _GAP_COLS} | {"any": ~fx.all_present(_GAP_COLS)}
+    rows, counts = write_flagged(g, flags, _flag_path(spark, "dropna"))
+    c = counts.where("flag = 'any'").first()
+    return rows.where(~has_flag(flags, "any")).select(*LI_KEY, *_GAP_COLS, F.lit(c["n_rows"]).alias("n_before"),
+                                                      F.lit(c["n_rows"] - c["n"]).alias("n_after"))
+
+
+_CLIP = {"l_quantity": (5.0, 45.0), "l_extendedprice": (2000.0, 60000.0)}
+
+
+@register("clip_issues", "OU2 FN6 PR16 SC4", sql=" UNION ALL ".join(
+    f"SELECT '{c} {side}' AS issue, count_if({c} {op} {v}) AS n, count(*) AS n_rows, round_even(sum(CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END), 2) "
+    f"AS clipped_sum, count_if({c} {op} {v}) > 0.02 * count(*) AS flagged FROM lineitem"
+    for c, (lo, hi) in _CLIP.items() for side, op, v in (("below", "<", lo), ("above", ">", hi))))
+def clip_issues(spark, d):
+    """Values are clipped into range and written; the rows below and above each range are counted from the written mask, and
+    an issue is flagged where they are more than 2 %."""
+    from cohortspark.operators.outliers import range_clip
+    li = t(spark, d, "lineitem").select(*dict.fromkeys([*LI_KEY, *_CLIP]))
+    flags = {f"{c} {side}": cond for c, (lo, hi) in _CLIP.items() for side, cond in (("below", F.col(c) < lo), ("above", F.col(c) > hi))}
+    named = li.select("*", *[cond.alias(f"__f{i}") for i, cond in enumerate(flags.values())])
+    clipped = range_clip(named, _CLIP)
+    marks = {name: F.col(f"__f{i}") for i, name in enumerate(flags)}
+    rows, counts = write_flagged(clipped, marks, _flag_path(spark, "clip"))
+    sums = rows.agg(*[r6(F.sum(c), 2).alias(c) for c in _CLIP]).unpivot([], list(_CLIP), "c", "clipped_sum")
+    return counts.join(sums, F.split("flag", " ")[0] == F.col("c")).select(
+        F.col("flag").alias("issue"), "n", "n_rows", "clipped_sum", (F.col("n") > F.col("n_rows") * 0.02).alias("flagged"))
+
+
+@register("feature_columns", "PR7 PR13 S12", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c}) AS n, count_if({c} IS NULL) AS n_missing, count(DISTINCT {c}) AS n_distinct FROM orders"
+    for c, k in (("o_custkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))))
+def feature_columns(spark, d):
+    """The numeric and string feature columns (all but key and target), with their present, missing and distinct values."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    numeric, strings = fe.feature_columns(o, ["o_orderkey"])
+    return feature_report(o, numeric, strings)
+
+
+@register("cohort_source", "SC2 PR1 PR4 SC1", sql=(
+    "SELECT l_quantity, l_extendedprice, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem"))
+def cohort_source(spark, d):
+    """The parameterised source on a CSV path, without the diagnostic column."""
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    src = t(spark, d, "lineitem").select(*feats, LI_TARGET)
+    path = write_table(src, _flag_path(spark, "cohort") + "/cohort.csv", "csv")
+    return load_source(spark, path, feats, LI_TARGET, "R", diagnostic=["l_discount"], schema=src.schema)
+
+
 @register("numeric_columns", "PR7 PR13 S12", sql=(
     "SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem) "
     "WHERE column_type IN ('INTEGER', 'BIGINT', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')"))

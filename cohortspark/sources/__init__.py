@@ -1,7 +1,7 @@
 from cohortspark.sources.readers import (
-    read_table, read_csv, read_any, resolve_target, schema_frame, shape_frame, load_cohort,
+    read_table, read_csv, read_any, resolve_target, schema_frame, shape_frame, load_cohort, load_source,
 )
-from cohortspark.sources.sinks import write_table
+from cohortspark.sources.sinks import has_flag, write_flagged, write_table
 
 __all__ = ["read_table", "read_csv", "read_any", "resolve_target", "schema_frame",
-           "shape_frame", "load_cohort", "write_table"]
+           "shape_frame", "load_cohort", "load_source", "has_flag", "write_flagged", "write_table"]

@@ -58,3 +58,13 @@ def load_cohort(df: DataFrame, features: list[str], target: str, positive_value=
     else:
         label = F.when(F.col(target) == F.lit(positive_value), 1).otherwise(0)
     return df.select(*[F.col(c) for c in features], label.alias(label_col))
+
+
+def load_source(spark: SparkSession, source: str | DataFrame, features: list[str], target: str, positive_value=None,
+                diagnostic: list[str] | None = None, exclude_diagnostic: bool = True, schema: T.StructType | str | None = None,
+                label_col: str = "label") -> DataFrame:
+    """SC2: the cohort of a path (format by suffix) or of a DataFrame. The ``diagnostic`` columns, which define the
+    label, are left out unless ``exclude_diagnostic`` is off."""
+    df = read_any(spark, source, schema) if isinstance(source, str) else source
+    hidden = set(diagnostic or []) if exclude_diagnostic else set()
+    return load_cohort(df, [c for c in features if c not in hidden], target, positive_value, label_col)

@@ -11,7 +11,7 @@ from cohortspark.llm import (
     bitplane, dart_minhash, language_id, mixing, packing, piece_table, quote_links, rule_ledger, secret_scan, syncmers, toxicity,
     warc, whitening,
 )
-from cohortspark.llm.common import table
+from cohortspark.llm.common import table, work_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = rule_ledger.ledger(rule_ledger.measure(table(spark, sf_dir, "documents")))
-    return rule_ledger.verdict(led).select(
+    led = rule_ledger.store_ledger(table(spark, sf_dir, "documents"), work_path(spark, "rule-ledger"))
+    return rule_ledger.with_ablation(led).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "fail_bits")
+        "fail_bits", "lone_rule", "returns_without")
 
 
 def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:

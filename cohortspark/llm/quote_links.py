@@ -1,14 +1,15 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Every message is parsed once into its own text and its quoted blocks with their nesting level
-(the number of ``>`` marks). Passages (a whole block or message, its paragraphs, its lines, and the
-sentences of its paragraphs, which a trimmed or rewrapped quote still has) are normalised (case,
-marks and white space; rewrapped lines of a paragraph do not matter) and hashed.
+(the number of ``>`` marks). Passages (a whole block or message of any length, and of at least
+``LEAST_WORDS`` words its paragraphs, its lines, and the sentences of its paragraphs, which a trimmed or
+rewrapped quote still has) are normalised (case, marks and white space; rewrapped lines of a paragraph
+do not matter) and hashed. So a stock line such as "Thanks." links nothing next to other quoted lines.
 The original of a passage is the earliest message of the conversation that has it in its own
-text: one aggregation, then a many-to-one join on (conversation, hash), so that a passage quoted
-or written by very many messages never makes pairs. A message replies to the original that
-matches the most quoted words of its level-1 passages (ties: the later message); deeper levels are
-linked the same way. Threads (first message and depth) come from pointer doubling over the
+text: the hashes that are quoted at all are joined first, then one aggregation, then a many-to-one join on
+(conversation, hash), so that a passage quoted or written by very many messages never makes pairs. A
+message replies to the original that holds the most of its quoted level-1 words, each word counted once
+however many of its passages match (ties: the later message); deeper levels are linked the same way. Threads (first message and depth) come from pointer doubling over the
 links alone.
 
 Defined cases: a NULL or empty text has no passages and no quotes; a line of marks alone is
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from cohortspark.llm.common import map_batches, stored, text_bytes
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-WORDS = re.compile(r"[^\W_]+")
+# a word is a run of letters and digits; of scripts written without spaces every character
+SINGLE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORDS = re.compile(rf"[{SINGLE}]|[^\W_{SINGLE}]+")
+LEAST_WORDS = 4
 # ends of sentences, once the lines of a paragraph are joined
 ENDS = re.compile(r"[.!?\u2026]+[\"'\u2019\u201d\u00bb)\]]*\s+|[\u3002\uff01\uff1f]+")
 # fixed values: attribution lines in front of a quote
@@ -55,31 +59,49 @@ def blocks(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def passages(lines: list[str]) -> dict[int, int]:
-    """hash -> number of words of the whole, its paragraphs, lines and sentences, after normalisation."""
-    paragraphs, held = [], []
+def passages(lines: list[str], at: int = 0) -> list[tuple[int, int, int]]:
+    """(hash, first word, number of words) of the whole, its paragraphs, lines and sentences, after normalisation. Words are
+    numbered from ``at`` on."""
+    def unit(text: str) -> list[str]:
+        return WORDS.findall(text.lower())
+
+    out, whole = [], []
+
+    def add(words: list[str], start: int, least: int) -> None:
+        if len(words) >= least:
+            out.append((xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), start, len(words)))
+
+    paragraph: list[str] = []
     for line in [*lines, ""]:
         if line.strip():
-            held.append(line)
-        elif held:
-            paragraphs, held = [*paragraphs, held], []
-    out = {}
-    sentences = ([x] for p in paragraphs for x in ENDS.split("\n".join(p)))
-    for unit in [lines, *paragraphs, *([x] for x in lines), *sentences]:
-        words = WORDS.findall("\n".join(unit).lower())
-        if words:
-            out[xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)] = len(words)
+            words = unit(line)
+            add(words, at + len(whole), LEAST_WORDS)
+            whole += words
+            paragraph.append(line)
+        elif paragraph:
+            n = len(unit("\n".join(paragraph)))
+            add(whole[len(whole) - n:], at + len(whole) - n, LEAST_WORDS)
+            start = at + len(whole) - n
+            for sentence in ENDS.split("\n".join(paragraph)):
+                words = unit(sentence)
+                add(words, start, LEAST_WORDS)
+                start += len(words)
+            paragraph = []
+    add(whole, at, 1)
     return out
 
 
-def parse(text: str) -> tuple[str, int, int, dict[int, int], dict[tuple[int, int], int]]:
-    """Own text, quoted lines, deepest level, own passages, quoted passages by (level, hash)."""
+def parse(text: str) -> tuple[str, int, int, set[int], set[tuple[int, int, int, int]]]:
+    """Own text, quoted lines, deepest level, hashes of its own passages, quoted passages (level, hash, first word, words)."""
     parts = blocks(text)
     own: list[str] = []
-    quoted: dict[tuple[int, int], int] = {}
+    quoted: set[tuple[int, int, int, int]] = set()
+    seen: dict[int, int] = {}
     for i, (level, lines) in enumerate(parts):
         if level:
-            quoted |= {(level, h): n for h, n in passages(lines).items()}
+            at = seen.get(level, 0)
+            quoted |= {(level, *p) for p in passages(lines, at)}
+            seen[level] = at + len(WORDS.findall("\n".join(lines)))
             continue
         if i + 1 < len(parts):
             last = max((j for j, x in enumerate(lines) if x.strip()), default=None)
@@ -88,18 +110,18 @@ def parse(text: str) -> tuple[str, int, int, dict[int, int], dict[tuple[int, int
         own += lines
     n = sum(len(x) for level, x in parts if level)
     clean = "\n".join(own)
-    return (clean.strip("\n") if n else clean), n, max((level for level, _ in parts), default=0), passages(own), quoted
+    return (clean.strip("\n") if n else clean), n, max((level for level, _ in parts), default=0), {p[0] for p in passages(own)}, quoted
 
 
 def parsed(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """conv, turn, clean, quoted_lines, max_level, own (hashes), quotes (level, hash, words) of every row."""
+    """conv, turn, clean, quoted_lines, max_level, own (hashes), quotes (level, hash, start, words) of every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [parse(b.decode("utf-8", "replace")) for b in text_bytes(batch["text"])]
-        quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int64())]))
+        quote = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
         return pa.RecordBatch.from_arrays(
             [batch["conv"], batch["turn"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()),
-             pa.array([g[2] for g in got], pa.int32()), pa.array([list(g[3]) for g in got], pa.list_(pa.int64())),
-             pa.array([[{"level": lv, "hash": h, "words": n} for (lv, h), n in g[4].items()] for g in got], quote),
+             pa.array([g[2] for g in got], pa.int32()), pa.array([sorted(g[3]) for g in got], pa.list_(pa.int64())),
+             pa.array([[dict(zip(("level", "hash", "start", "words"), q)) for q in sorted(g[4])] for g in got], quote),
              *([batch["role"]] if "role" in batch.schema.names else [])],
             ["conv", "turn", "clean", "quoted_lines", "max_level", "own", "quotes"] + ["role"] * ("role" in batch.schema.names))
 
@@ -107,21 +129,26 @@ def parsed(df: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
                     *([F.col("role")] if "role" in df.columns else []))
     kind = {c: src.schema[c].dataType.simpleString() for c in src.columns}
     schema = (f"conv {kind['conv']}, turn {kind['turn']}, clean string, quoted_lines bigint, max_level int, own array<bigint>, "
-              "quotes array<struct<level: int, hash: bigint, words: bigint>>")
+              "quotes array<struct<level: int, hash: bigint, start: bigint, words: bigint>>")
     return map_batches(src, run, schema + (f", role {kind['role']}" if "role" in kind else ""))
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, original, words): the best original of every message and quote level."""
     quotes = messages.filter("turn IS NOT NULL").select("conv", "turn", F.inline("quotes")).distinct()
-    wanted = quotes.select(F.col("conv").alias("c"), "hash").distinct()
+    wanted = stored(quotes.select(F.col("conv").alias("c"), F.col("hash").alias("h")).distinct(), "quote-wanted")
     own = messages.filter("turn IS NOT NULL").select("conv", "turn", F.explode("own").alias("hash"))
-    first = (own.groupBy("conv", "hash").agg(F.min("turn").alias("original"))
-             .join(wanted.withColumnRenamed("hash", "h"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left_semi")
-             .select(F.col("conv").alias("oc"), F.col("hash").alias("oh"), "original"))
+    asked = own.join(wanted, F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left_semi")
+    first = asked.groupBy("conv", "hash").agg(F.min("turn").alias("original")).select(
+        F.col("conv").alias("oc"), F.col("hash").alias("oh"), "original")
     found = quotes.join(first, F.col("conv").eqNullSafe(F.col("oc")) & (F.col("hash") == F.col("oh"))
                         & (F.col("original") < F.col("turn")))
-    votes = found.groupBy("conv", "turn", "level", "original").agg(F.sum("words").alias("words"))
+    # words of one message's matched passages, each word once: the union of their ranges
+    ranges = F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("words")).alias("stop"))))
+    union = ("aggregate(ranges, named_struct('n', 0L, 'upto', 0L), (acc, r) -> named_struct("
+             "'n', acc.n + greatest(0L, r.stop - greatest(acc.upto, r.start)), 'upto', greatest(acc.upto, r.stop)), acc -> acc.n)")
+    votes = found.groupBy("conv", "turn", "level", "original").agg(ranges.alias("ranges")).select(
+        "conv", "turn", "level", "original", F.expr(union).alias("words"))
     best = F.max(F.struct("words", "original")).alias("best")
     return votes.groupBy("conv", "turn", "level").agg(best).select("conv", "turn", "level", "best.original", "best.words")
 

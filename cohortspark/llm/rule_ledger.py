@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-``measure`` reads every text once and stores the measurements; ``ledger`` evaluates every rule
-once over them and stores the failures as bits of one long. A policy is a versioned bit mask:
+``measure`` reads every text once, ``ledger`` evaluates every rule once over the measurements and keeps
+the failures as bits of one long, and ``store_ledger`` writes both as a table, with the fingerprint of the rules it
+was made by. Everything later reads that table and no text: a policy is a versioned bit mask,
 ``verdict`` applies it with one bitwise AND, and ``ablation`` counts, in a single aggregation,
 what each rule rejects, rejects alone, and would let through if it were left out.
 
@@ -12,10 +13,13 @@ counts; a text of any length is measured whole.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import groups_of, map_batches, mix64, text_bytes
@@ -117,6 +121,27 @@ def ledger(measured: DataFrame) -> DataFrame:
     return measured.withColumn("fail_bits", total)
 
 
+def rules_fingerprint() -> str:
+    """SHA-256 of the rules, in order: bits of a ledger mean something only under the rules that set them."""
+    return hashlib.sha256(json.dumps(list(RULES.items())).encode()).hexdigest()
+
+
+def store_ledger(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measure and judge every document once and write the ledger to ``path``; returns ``open_ledger`` of it."""
+    led = ledger(measure(df, id_col, text_col)).withColumn("rules", F.lit(rules_fingerprint()))
+    led.write.parquet(path)
+    return open_ledger(df.sparkSession, path)
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; refused if it was made by other rules."""
+    led = spark.read.parquet(path)
+    other = led.filter(F.col("rules") != rules_fingerprint()).select("rules").limit(1).collect()
+    if other:
+        raise ValueError("the ledger was made by other rules")
+    return led.drop("rules")
+
+
 def fails(policy: str, column: str = "fail_bits") -> Column:
     """True where the ledger bits break the named policy."""
     return F.col(column).bitwiseAND(F.lit(bits(POLICIES[policy])).cast("long")) != 0
@@ -127,6 +152,18 @@ def verdict(led: DataFrame, policy: str = "v2") -> DataFrame:
     return led.withColumns({"base_failed": fails("base"), "kept": ~fails("base") & ~fails(policy)})
 
 
+def with_ablation(led: DataFrame, policy: str = "v2") -> DataFrame:
+    """The verdict under a policy, and for documents that a single rule rejects that rule (``lone_rule``) and the number of
+    documents that would come back without it (``returns_without``), from one ablation over the same ledger."""
+    returns = {r["rule"]: r["rejects_alone"] for r in ablation(led, policy).collect()}     # a row per rule
+    hit = F.col("fail_bits").bitwiseAND(F.lit(bits(POLICIES[policy])).cast("long"))
+    lone, count = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for rule, n in returns.items():
+        lone = F.when(hit == bits([rule]), F.lit(rule)).otherwise(lone)
+        count = F.when(hit == bits([rule]), F.lit(n).cast("long")).otherwise(count)
+    return verdict(led, policy).withColumns({"lone_rule": lone, "returns_without": count})
+
+
 def ablation(led: DataFrame, policy: str = "v2") -> DataFrame:
     """For each rule of the policy: documents it rejects, those it alone rejects (they would come
     back without it) and what the policy keeps with and without it. One aggregation over the bits."""

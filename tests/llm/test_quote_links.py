@@ -1,5 +1,7 @@
 """Quotation linking against a per-conversation brute force."""
 
+import itertools
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,22 +10,71 @@ from cohortspark.llm import quote_links as Q
 from cohortspark.llm.queries import op9_quote_links
 
 
+def plain_units(lines):
+    """[(normalised text, set of word numbers)] of a block, written a second time: word by word with its line and sentence."""
+    words, where = [], []                       # a word and its (paragraph, line, sentence)
+    paragraph = sentence = 0
+    for n, line in enumerate(lines):
+        if not line.strip():
+            paragraph, sentence = paragraph + 1, sentence + 1
+            continue
+        for m in re.finditer(r"([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^\W_\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+)|([.!?\u2026]+[\"'\u2019\u201d\u00bb)\]]*(?=\s|$))|([\u3002\uff01\uff1f]+)", line):
+            if m[1]:
+                words.append(m[1].lower())
+                where.append((paragraph, n, sentence))
+            else:
+                sentence += 1
+    out = [(" ".join(words), set(range(len(words))))] if words else []
+    for part in range(3):
+        for key in dict.fromkeys(w[part] for w in where):
+            at = {i for i, w in enumerate(where) if w[part] == key}
+            if len(at) >= 4:
+                out.append((" ".join(words[i] for i in sorted(at)), at))
+    return out
+
+
+def plain_parse(text):
+    """Own text, own units, and {level: [(unit, word numbers)]}."""
+    rows = []
+    for line in text.split("\n"):
+        line = line.rstrip("\r")
+        level, rest = 0, line
+        if re.match(r"[ \t]*>", line):
+            marks = re.match(r"[ \t]*((>[ \t]?)+)", line)
+            level, rest = marks[0].count(">"), line[marks.end():]
+        rows.append((level, rest))
+    groups = [(level, [r for _, r in g]) for level, g in itertools.groupby(rows, key=lambda r: r[0])]
+    own, quotes, offset = [], defaultdict(list), defaultdict(int)
+    for i, (level, lines) in enumerate(groups):
+        if level:
+            units = plain_units(lines)
+            quotes[level] += [(u, {(offset[level], w) for w in at}) for u, at in units]
+            offset[level] += 1
+            continue
+        filled = [j for j, x in enumerate(lines) if x.strip()]
+        if i + 1 < len(groups) and filled and re.fullmatch(r"(On .+ wrote|Am .+ schrieb.*|Le .+ a écrit|El .+ escribió) ?:\s*", lines[filled[-1]].strip()):
+            lines = lines[:filled[-1]] + lines[filled[-1] + 1:]
+        own += lines
+    clean = "\n".join(own)
+    return clean.strip("\n") if any(level for level, _ in groups) else clean, {u for u, _ in plain_units(own)}, quotes
+
+
 def brute(rows):
     """(conv, turn) -> clean text, parent, thread, depth by direct search over earlier messages."""
-    parsed = {(c, t): Q.parse(x or "") for c, t, x in rows}
+    parsed = {(c, t): plain_parse(x or "") for c, t, x in rows}
     convs = defaultdict(list)
     for c, t in parsed:
         convs[c].append(t)
     out = {}
     for c, turns in convs.items():
         for t in sorted(turns):
-            clean, _, _, _, quotes = parsed[c, t]
-            votes = defaultdict(int)
-            for (level, h), n in quotes.items():
-                holders = [s for s in turns if h in parsed[c, s][3]]
-                if level == 1 and holders and min(holders) < t:
-                    votes[min(holders)] += n
-            parent = max(votes, key=lambda s: (votes[s], s)) if votes else None
+            clean, _, quotes = parsed[c, t]
+            votes = defaultdict(set)
+            for unit, at in quotes[1]:
+                holders = [s for s in turns if unit in parsed[c, s][1]]
+                if holders and min(holders) < t:
+                    votes[min(holders)] |= at
+            parent = max(votes, key=lambda s: (len(votes[s]), s)) if votes else None
             up = out.get((c, parent))
             out[c, t] = (clean, parent, t if up is None else up[2], 0 if up is None else up[3] + 1)
     return out
@@ -88,3 +139,17 @@ def test_whole_table(spark):
     want = brute(list(zip(src.conv_id, src.turn, src.text)))
     got = {(r.conv_id, r.turn): (r.clean_text, r.parent_turn, r.thread_turn, r.depth) for r in op9_quote_links(spark, sf).collect()}
     assert got == want
+
+
+def test_stock_lines_do_not_link_and_words_count_once(spark):
+    """"Thanks." was written first by another message; the long line decides. A block quoted whole, by paragraph, line and
+    sentence counts its words once."""
+    rows = [(1, 0, "Thanks.\nUnrelated opening words of this one"), (1, 1, "Here is the longer answer you wanted.\nThanks."),
+            (1, 2, "> Thanks.\n> Here is the longer answer you wanted.\nGreat"), (1, 3, "Thanks."), (1, 4, "> Thanks.\nSure"),
+            (2, 0, "one two three four five six. seven eight nine ten eleven"), (2, 1, "> one two three four five six. seven eight nine ten eleven\nok")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, text string")
+    got = {(r.conv_id, r.turn): r for r in Q.link_quotes(df).collect()}
+    assert got[1, 2].parent_turn == 1 and got[1, 2].links[0].words == 7
+    assert got[1, 4].parent_turn == 3            # a whole message, however short
+    assert got[2, 1].links[0].words == 11
+    assert {k: v[1] for k, v in brute(rows).items()} == {k: r.parent_turn for k, r in got.items()}

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from cohortspark.llm import rule_ledger as R
 from cohortspark.llm.queries import op8_rule_ledger
 from llm_fixtures import docs_pd  # noqa: F401
@@ -59,3 +61,24 @@ def test_policies_and_ablation_agree_with_direct_counts(spark, docs_pd):
         assert abl[rule].kept_without == without
         assert abl[rule].kept == ((led.fail_bits & mask) == 0).sum()
     assert R.ablation(spark.createDataFrame(led).limit(0)).count() == len(R.POLICIES["v2"])
+
+
+def test_stored_ledger_answers_later_policies(spark, docs_pd, tmp_path, monkeypatch):
+    """A ledger is measured once; verdicts and ablations of any policy come from the stored bits, other rules refuse it."""
+    df = spark.createDataFrame(docs_pd[["doc_id", "text"]])
+    led = R.store_ledger(df, str(tmp_path / "ledger"))
+    monkeypatch.setattr(R, "measure", None)          # nothing is measured again
+    again = R.open_ledger(spark, str(tmp_path / "ledger"))
+    for policy in R.POLICIES:
+        got, mask = R.with_ablation(again, policy).toPandas(), R.bits(R.POLICIES[policy])
+        alone = {r: int(((got.fail_bits & mask) == R.bits([r])).sum()) for r in R.POLICIES[policy]}
+        assert len(got) == len(docs_pd) and (got.kept == ((got.fail_bits & mask) == 0)).all()
+        for row in got.itertuples():
+            hit = row.fail_bits & mask
+            one = [r for r in R.POLICIES[policy] if hit == R.bits([r])]
+            assert (row.lone_rule if isinstance(row.lone_rule, str) else None) == (one[0] if one else None)
+            assert not one or row.returns_without == alone[one[0]]
+    assert led.count() == again.count()
+    monkeypatch.setitem(R.RULES, "few_words", "n_words < 11")
+    with pytest.raises(ValueError):
+        R.open_ledger(spark, str(tmp_path / "ledger"))

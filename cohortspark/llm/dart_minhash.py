@@ -21,7 +21,8 @@ No bucket is expanded into all pairs:
   another such node for it to have any partner at all (exact; this removes documents that share
   one common passage). Pairs go through a length, a shared-shingle and a sketch test (128 one-bit
   samples of the signature; a true pair fails the last with probability below 1e-10), then the
-  exact check, all inside the join: it gives out links only.
+  exact check, all inside the join: it gives out links only. Buckets of more than ``BUCKET_BLOCK`` such
+  nodes are joined block by block, so no task holds a bucket.
 Every candidate pair is thus either checked or already connected.
 
 Defined cases: texts without words (NULL, empty, blank) are equal to each other and to nothing
@@ -43,6 +44,7 @@ from cohortspark.llm.common import groups_of, map_batches, mix64, stored, text_b
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
+BUCKET_BLOCK = 1024
 SKETCH_BITS, SKETCH_LIMIT = 128, 36
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 # regions along the rank axis at unit weight: widths 1/8, 1/4, ... 8, then 8 each
@@ -271,6 +273,21 @@ def verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame
             .filter(F.col("both") >= F.lit(similarity) * (F.size("ua") + F.size("ub") - F.col("both"))).select("a", "b"))
 
 
+def hot_buckets(rest: DataFrame, able: DataFrame) -> DataFrame:
+    """key and number of blocks of the buckets with more than ``BUCKET_BLOCK`` able nodes."""
+    sizes = rest.join(able.select("node"), "node", "left_semi").groupBy("key").agg(F.count("*").alias("in_key"))
+    return sizes.filter(F.col("in_key") > BUCKET_BLOCK).select("key", F.ceil(F.col("in_key") / BUCKET_BLOCK).cast("int").alias("blocks"))
+
+
+def in_blocks(side: DataFrame, hot: DataFrame, every: bool = False) -> DataFrame:
+    """``side`` (key, node, ...) with a block number: the node's own one of its bucket's blocks, or (``every``) a row for
+    each. Joined on (key, block), own against every, each two nodes meet once, and a hot bucket is compared by as
+    many tasks as it has blocks."""
+    x = side.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if every else F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return x.withColumn("block", block).drop("blocks")
+
+
 def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, node, root (the node that names its class), class_id and class_size."""
@@ -306,8 +323,10 @@ def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = stored(rooted.join(mixed, "key", "left_semi"), "dart-rest")
     able = stored(with_partners(rest.select("node", "n").distinct(), units, similarity), "dart-able")
+    hot = stored(hot_buckets(rest, able), "dart-hot")
     side = rest.join(able, "node").select("key", "node", "n", "root", "s1", "s2", "common", "units")
-    across = side.alias("x").join(side.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+    across = in_blocks(side, hot).alias("x").join(in_blocks(side, hot, every=True).alias("y"), (F.col("x.key") == F.col("y.key"))
+                                  & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node"))
                                   & (F.col("x.root") != F.col("y.root")) & plausible("x", "y", similarity)
                                   & enough(F.least("x.common", "y.common"), "x.n", "y.n", similarity)
                                   & enough(F.size(F.array_intersect("x.units", "y.units")), "x.n", "y.n", similarity))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.llm import dart_minhash as D
 from llm_fixtures import docs_pd  # noqa: F401
@@ -107,3 +108,33 @@ def test_whole_table_equals_brute_force(spark, docs_pd):
     df = spark.createDataFrame(docs_pd[["doc_id", "text"]])
     got = {r.doc_id: r.class_id for r in D.near_duplicates(df).collect()}
     assert got == brute_classes(list(zip(docs_pd.doc_id.tolist(), docs_pd.text.tolist())))
+
+
+def test_hot_buckets_are_compared_block_by_block(spark, monkeypatch):
+    """Templated texts around the threshold share buckets; with blocks of three nodes the classes are the same."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, template, int(rng.integers(2, 9))))) for i in range(120)] + corpus_tail(rng)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_classes(rows)
+    monkeypatch.setattr(D, "BUCKET_BLOCK", 3)
+    assert {r.doc_id: r.class_id for r in D.near_duplicates(df).collect()} == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
+def corpus_tail(rng):
+    other = [f"o{rng.integers(500)}" for _ in range(90)]
+    return [(200 + i, " ".join(edited(rng, other, 5))) for i in range(20)]
+
+
+def test_two_nodes_of_a_bucket_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "BUCKET_BLOCK", 10)
+    rest = spark.createDataFrame([(k, n) for k, size in ((1, 95), (2, 4)) for n in range(size)], "key bigint, node bigint")
+    able = rest.select("node").distinct()
+    hot = D.hot_buckets(rest, able)
+    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
+    x, y = D.in_blocks(rest, hot).alias("x"), D.in_blocks(rest, hot, every=True).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")))
+    pairs = [tuple(r) for r in met.select("x.key", "x.node", "y.node").collect()]
+    assert len(pairs) == len(set(pairs)) == 95 * 94 // 2 + 6
+    assert max(r["n"] for r in D.in_blocks(rest, hot).groupBy("key", "block").agg(F.count("*").alias("n")).collect()) < 25

@@ -11,10 +11,11 @@ index length, CRC-32 of the index, ``BPL1``). The index is JSON with one entry p
 (offset, ids, byte length of each plane) followed by document ids and lengths as 64-bit integers.
 
 A task writes under a name of its own attempt and renames at the end; its input order is total
-(id, then text), so a task that runs again writes the same bytes and lost executors change nothing.
+(id, hash of the text, text), so a task that runs again writes the same bytes and lost executors change nothing.
 Memory per task is one block, one Arrow batch and the file's index.
 
-Defined cases: NULL text is an empty document (the end id only); NULL ids come first; repeated
+Defined cases: NULL text is an empty document (the end id only); NULL ids come first; a text that spells a control token
+gets its id unless ``control_tokens`` is off; repeated
 rows are written each time; an empty table gives no rows; a long text spans as many blocks as it
 needs; other columns of the input are ignored.
 """
@@ -144,9 +145,10 @@ class PlaneReader:
 
 
 def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-              tokenizer: str | None = None, plane: str = "byte", block_ids: int = BLOCK_IDS, level: int = 3) -> DataFrame:
+              tokenizer: str | None = None, plane: str = "byte", block_ids: int = BLOCK_IDS, level: int = 3,
+              control_tokens: bool = True) -> DataFrame:
     """Encode and write every document into ``folder``; returns the stored list of files
-    (part, file, n_docs, n_ids), one row per file, ordered by part."""
+    (part, file, n_docs, n_ids), one row per file, ordered by part. ``control_tokens``: see ``ByteBpe``."""
     path, end = tokenizer or bpe_path(), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
                 if writer is None:
                     where.create_dir(top, recursive=True)
                     writer = PlaneWriter(where.open_output_stream(tmp, compression=None), plane, block_ids, level)
-                for doc, enc in zip(ids[lo:hi], ByteBpe.of(path).encode(texts[lo:hi])):
+                for doc, enc in zip(ids[lo:hi], ByteBpe.of(path, control_tokens).encode(texts[lo:hi])):
                     writer.add(doc, enc + end)
         if writer is not None:
             writer.close()
@@ -170,7 +172,9 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
                                               "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
 
     src = df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text")
-    ranged = src.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
+    # rows of one id (or without one) go on by a hash of their text, so that they do not share a task
+    order = [F.col("id"), F.xxhash64("text")]
+    ranged = src.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     files = posixpath.join(folder, "files")
     ranged.mapInArrow(run, "part bigint, file string, n_docs bigint, n_ids bigint").write.parquet(files)
     return df.sparkSession.read.parquet(files)

@@ -110,30 +110,39 @@ class ByteBpe:
     the whole text (tested). Unknown parts of Latin letters and marks go to the BPE model as the
     two pieces they are, all others to ``encode_batch``. The memo starts anew between texts once it
     holds more than ``memo`` parts. Tokenizers of another kind encode whole texts. One instance per Python
-    worker and file.
+    worker, file and setting.
+
+    ``control_tokens``: whether a text that spells a control token of the file (``<|endoftext|>``) gets that token's id,
+    as the tokenizers library does by default; without it such a text gets the ids of its characters, so that
+    no document can write control tokens into a corpus.
     """
 
-    _open: dict[str, ByteBpe] = {}
+    _open: dict[tuple[str, bool], ByteBpe] = {}
 
-    def __init__(self, path: str, memo: int = 1_200_000):
+    def __init__(self, path: str, memo: int = 1_200_000, control_tokens: bool = True):
         import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not control_tokens
         kind = json.loads(self.tok.to_str())
         pre = kind.get("pre_tokenizer") or {}
+        # control tokens are found before the text is cut into pieces; they must not reach over a space
+        added = [t for t in kind.get("added_tokens") or [] if control_tokens or not t.get("special")]
+        self.added = [t["content"] for t in added]
+        inside = all(not any(c.isspace() for c in t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added)
         self.cuts = (kind["model"].get("type") == "BPE" and kind.get("normalizer") is None and pre.get("type") == "ByteLevel"
-                     and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+                     and not pre.get("add_prefix_space") and pre.get("use_regex", True) and inside)
         self.letters = byte_letters()
         self.memo, self.limit, self.tails = _Memo(self.learn), memo, {}
 
     @classmethod
-    def of(cls, path: str) -> ByteBpe:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, path: str, control_tokens: bool = True) -> ByteBpe:
+        key = (path, control_tokens)
+        if key not in cls._open:
+            cls._open[key] = cls(path, control_tokens=control_tokens)
+        return cls._open[key]
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -149,7 +158,7 @@ class ByteBpe:
     def learn(self, part: str) -> bytes:
         """Ids of a space and an unknown part."""
         m = _PLAIN.fullmatch(part)
-        if not m:
+        if not m or any(t in part for t in self.added):
             return self._plain([" " + part])[0]
         word, marks = m.groups()
         if marks:

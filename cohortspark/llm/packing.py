@@ -13,8 +13,8 @@ Packing runs inside the scan's partitions: there is no shuffle, a task holds one
 ``partition * 2^32 + n``; a task that runs again reads the same split in the same order and
 repeats them.
 
-Defined cases: NULL text is an empty document (the end id only); repeated rows and NULL ids are
-packed row by row; an empty table gives no rows; a text of any length is packed whole; other
+Defined cases: NULL text is an empty document (the end id only); a text that spells a control token gets its id
+unless ``control_tokens`` is off; repeated rows and NULL ids are packed row by row; an empty table gives no rows; a text of any length is packed whole; other
 columns are ignored.
 """
 
@@ -105,9 +105,10 @@ def step_groups(sequences: list[tuple[int, list[Piece]]], step_ids: int) -> list
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None,
          tiers: tuple[int, ...] = TIERS, round_ids: int = 1 << 21, step_ids: int = 1 << 16,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, control_tokens: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier,
-    step_group and, if asked for, the piece's ids. A sequence shorter than its tier is padded."""
+    step_group and, if asked for, the piece's ids. A sequence shorter than its tier is padded.
+    ``control_tokens``: see ``ByteBpe``."""
     path, end = tokenizer or bpe_path(), struct.pack("<I", end_id)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     src = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
@@ -143,7 +144,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id:
         for batch in batches:
             kind, keys, texts = batch["id"].type, batch["id"].to_pylist(), text_bytes(batch["text"])
             for lo, hi in groups_of(texts, 2 << 20):
-                for key, enc in zip(keys[lo:hi], ByteBpe.of(path).encode(texts[lo:hi])):
+                for key, enc in zip(keys[lo:hi], ByteBpe.of(path, control_tokens).encode(texts[lo:hi])):
                     docs[number] = (key, enc + end)
                     fresh[number] = len(enc) // 4 + 1
                     held += fresh[number]

@@ -14,7 +14,6 @@ from llm_fixtures import docs_pd  # noqa: F401
 
 def plain(texts, end):
     tok = Tokenizer.from_file(bpe_path())
-    tok.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4") for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -48,3 +47,22 @@ def test_odd_rows_and_small_blocks(spark, plane):
     assert [r.start for r in back] == np.cumsum([0] + [r.n_tokens for r in back[:-1]]).tolist()
     assert files.agg({"n_docs": "sum"}).first()[0] == len(rows)
     assert B.round_trip(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_spread_and_keep_one_order(spark):
+    """Two thirds of the rows have no id: they go to several files, and the files read as one sequence."""
+    rows = [(None if i % 3 else i, f"text number {i} <|endoftext|> " + "x " * (i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = work_path(spark, "test-nulls")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # small files would be merged
+    try:
+        files = B.write_ids(df, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(f.n_docs for f in files) < 500
+    back = B.read_ids(spark, folder, with_ids=True).orderBy("start").collect()
+    assert [r.start for r in back] == np.cumsum([0] + [r.n_tokens for r in back[:-1]]).tolist()
+    ids = [r.doc_id for r in back]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and len(ids) == 900
+    want = sorted(tuple(x) for x in plain([t for _, t in rows], 2))
+    assert sorted(tuple(r.ids) for r in back) == want and any(50256 in w for w in want)

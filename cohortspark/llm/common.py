@@ -102,6 +102,9 @@ class _Memo(dict):
         return ids
 
 
+MEMO = 1_200_000      # parts that a worker remembers, some 250 MB
+
+
 class ByteBpe:
     """Ids of a ``tokenizers`` file, for byte-level BPE with a bounded memo of words.
 
@@ -117,9 +120,9 @@ class ByteBpe:
     no document can write control tokens into a corpus.
     """
 
-    _open: dict[tuple[str, bool], ByteBpe] = {}
+    _open: dict[tuple[str, bool, int], ByteBpe] = {}
 
-    def __init__(self, path: str, memo: int = 1_200_000, control_tokens: bool = True):
+    def __init__(self, path: str, memo: int = MEMO, control_tokens: bool = True):
         import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,10 +141,10 @@ class ByteBpe:
         self.memo, self.limit, self.tails = _Memo(self.learn), memo, {}
 
     @classmethod
-    def of(cls, path: str, control_tokens: bool = True) -> ByteBpe:
-        key = (path, control_tokens)
+    def of(cls, path: str, control_tokens: bool = True, memo: int = MEMO) -> ByteBpe:
+        key = (path, control_tokens, memo)
         if key not in cls._open:
-            cls._open[key] = cls(path, control_tokens=control_tokens)
+            cls._open[key] = cls(path, memo, control_tokens)
         return cls._open[key]
 
     @staticmethod

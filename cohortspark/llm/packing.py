@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortspark.llm.common import ByteBpe, bpe_path, groups_of, text_bytes
+from cohortspark.llm.common import MEMO, ByteBpe, bpe_path, groups_of, text_bytes
 
 TIERS = (1024, 512, 256, 128)
 # a piece is (length, document number, start); a sequence is (tier, [pieces])
@@ -105,10 +105,10 @@ def step_groups(sequences: list[tuple[int, list[Piece]]], step_ids: int) -> list
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None,
          tiers: tuple[int, ...] = TIERS, round_ids: int = 1 << 21, step_ids: int = 1 << 16,
-         with_ids: bool = False, control_tokens: bool = True) -> DataFrame:
+         with_ids: bool = False, control_tokens: bool = True, memo: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier,
     step_group and, if asked for, the piece's ids. A sequence shorter than its tier is padded.
-    ``control_tokens``: see ``ByteBpe``."""
+    ``control_tokens`` and ``memo``: see ``ByteBpe``; fewer remembered parts take less memory and more time."""
     path, end = tokenizer or bpe_path(), struct.pack("<I", end_id)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     src = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
@@ -144,7 +144,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id:
         for batch in batches:
             kind, keys, texts = batch["id"].type, batch["id"].to_pylist(), text_bytes(batch["text"])
             for lo, hi in groups_of(texts, 2 << 20):
-                for key, enc in zip(keys[lo:hi], ByteBpe.of(path, control_tokens).encode(texts[lo:hi])):
+                for key, enc in zip(keys[lo:hi], ByteBpe.of(path, control_tokens, memo).encode(texts[lo:hi])):
                     docs[number] = (key, enc + end)
                     fresh[number] = len(enc) // 4 + 1
                     held += fresh[number]

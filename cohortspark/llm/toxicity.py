@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,7 @@ STARTS = range(4, 9)
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 HASH_SPACE = 1 << 32
+HELD = 200_000
 
 # fixed values: identity terms, interchangeable within a group
 IDENTITY_GROUPS = [
@@ -114,19 +116,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_per_class: int) -
 
 def select_features(sample: DataFrame, n_features: int) -> list[str]:
     """The features with the highest chi-square over the sample's class-weighted document counts."""
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pos, neg = Counter(), Counter()
-        for raw, y in zip(text_bytes(batch["text"]), batch["label"].to_pylist()):
-            (pos if y else neg).update({f for w in set(words_of(raw)) for f in starts(w)})
+    def flushed(pos: Counter, neg: Counter) -> pa.RecordBatch:
         keys = list(pos.keys() | neg.keys())
         return pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.string()), "pos": pa.array([pos[k] for k in keys], pa.int64()),
                                            "neg": pa.array([neg[k] for k in keys], pa.int64())})
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the documents that have a feature, handed on whenever ``HELD`` features are held."""
+        pos, neg = Counter(), Counter()
+        for batch in batches:
+            for raw, y in zip(text_bytes(batch["text"]), batch["label"].to_pylist()):
+                (pos if y else neg).update({f for w in set(words_of(raw)) for f in starts(w)})
+                if len(pos) + len(neg) > HELD:
+                    yield flushed(pos, neg)
+                    pos, neg = Counter(), Counter()
+        yield flushed(pos, neg)
+
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
     if not n1 or not n0:
         return []
-    tallied = map_batches(sample.select("text", "label"), count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(
+    tallied = sample.select("text", "label").mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(
         F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b"))
     total = n1 + n0
     seen = F.col("a") + F.col("b")

@@ -34,7 +34,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Packing: the pieces of all documents in sequences of at most 1,024 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, memo=400_000)      # the executors have four stages behind them
 
 
 STAGES = [

@@ -11,7 +11,7 @@ index length, CRC-32 of the index, ``BPL1``). The index is JSON with one entry p
 (offset, ids, byte length of each plane) followed by document ids and lengths as 64-bit integers.
 
 A task writes under a name of its own attempt and renames at the end; its input order is total
-(id, hash of the text, text), so a task that runs again writes the same bytes and lost executors change nothing.
+(id, text; with very many rows of an id: id, hash of the text, text), so a task that runs again writes the same bytes and lost executors change nothing.
 Memory per task is one block, one Arrow batch and the file's index.
 
 Defined cases: NULL text is an empty document (the end id only); NULL ids come first; a text that spells a control token
@@ -40,6 +40,7 @@ from cohortspark.llm.common import ByteBpe, bpe_path, groups_of, text_bytes, wor
 MAGIC = b"BPL1"
 TAIL = struct.Struct("<QQI4s")
 BLOCK_IDS = 1 << 16
+ROWS_OF_AN_ID = 10_000
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
@@ -172,8 +173,10 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
                                               "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
 
     src = df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text")
-    # rows of one id (or without one) go on by a hash of their text, so that they do not share a task
-    order = [F.col("id"), F.xxhash64("text")]
+    # many rows of one id (or without one) go on by a hash of their text, so that they do not share a task; where no id
+    # has many rows, the ranges are sampled from the ids alone and no text is read for them
+    many = src.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > ROWS_OF_AN_ID)
+    order = [F.col("id")] if many.isEmpty() else [F.col("id"), F.xxhash64("text")]
     ranged = src.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     files = posixpath.join(folder, "files")
     ranged.mapInArrow(run, "part bigint, file string, n_docs bigint, n_ids bigint").write.parquet(files)

@@ -49,10 +49,11 @@ def test_odd_rows_and_small_blocks(spark, plane):
     assert B.round_trip(df.limit(0)).count() == 0
 
 
-def test_rows_without_id_are_spread_and_keep_one_order(spark):
+def test_rows_without_id_are_spread_and_keep_one_order(spark, monkeypatch):
     """Two thirds of the rows have no id: they go to several files, and the files read as one sequence."""
     rows = [(None if i % 3 else i, f"text number {i} <|endoftext|> " + "x " * (i % 7)) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    monkeypatch.setattr(B, "ROWS_OF_AN_ID", 100)
     folder = work_path(spark, "test-nulls")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # small files would be merged
     try:

@@ -164,6 +164,26 @@ def test_model_fill_keeps_every_row(spark):
     assert all(got[i] == ("u" if i % 3 == 0 else "v") for i in range(200))
 
 
+def _gappy_donors(spark):
+    rows = [(i, float(i % 7), float(i % 3), "u" if i % 3 == 0 else "v") for i in range(300)]
+    odd = [(900, None, 1.0, "u"), (901, float("nan"), 2.0, "u"), (902, 3.0, None, "v"), (903, 3.0, 1.0, None)]
+    return spark.createDataFrame(rows + odd, "id int, p double, q double, seg string")
+
+
+def test_model_fill_donors_without_a_feature(spark):
+    df = spark.createDataFrame([(1, 2.0, 0.0, None), (2, 2.0, 1.0, None), (3, float("nan"), 1.0, None), (4, None, 0.0, None)],
+                               "id int, p double, q double, seg string")
+    filled, _ = im.model_fill(df, _gappy_donors(spark), "seg", ["p", "q"], num_trees=10, max_depth=4)
+    got = {r["id"]: r["seg"] for r in filled.collect()}
+    assert got[1] == "u" and got[2] == "v" and set(got) == {1, 2, 3, 4} and None not in got.values()
+
+
+def test_fill_report_donors_without_a_feature(spark):
+    donors = _gappy_donors(spark)
+    r = im.fill_report(donors, donors.where("id < 20"), F.col("id") < 10, "seg", ["p", "q"], ["id"], k=2, num_trees=5, max_depth=3).collect()
+    assert [x["value"] for x in r if x["part"] == "accuracy"] == [1.0]
+
+
 def test_t_tail_equals_numeric_integration(spark):
     p = run(spark, "t_test_pvalue").collect()
     assert p and all(0 <= r["p_value"] <= 1 for r in p)

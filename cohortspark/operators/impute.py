@@ -8,7 +8,7 @@ MLlib random forest on the donor table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.knn import knn_join
@@ -64,14 +64,6 @@ def knn_fill(df: DataFrame, key: list[str], feats: list[str], grid: list[str] |
     return stored(out.select(*df.columns), "knn-filled")
 
 
-def _complete(df: DataFrame, feats: list[str]) -> Column:
-    """Whether a row has every feature: a forest takes neither NULL nor NaN."""
-    ok = F.lit(True)
-    for f in feats:
-        ok = ok & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
-    return F.coalesce(ok, F.lit(False))
-
-
 def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str], num_trees: int = 200,
                max_depth: int = 10, min_split: int = 5, seed: int = 42, balanced: bool = True):
     """IM3: train a random forest on the donors that have the target and every feature (balanced class weights,
@@ -82,7 +74,7 @@ def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str],
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler, IndexToString
     from cohortspark.operators.profile import balanced_weights
-    train = donors.where(F.col(target).isNotNull() & _complete(donors, feats))
+    train = donors.where(F.col(target).isNotNull()).na.drop(subset=feats)      # neither NULL nor NaN
     if balanced:
         train = balanced_weights(train, target, "__w")
     idx = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
@@ -90,7 +82,9 @@ def model_fill(df: DataFrame, donors: DataFrame, target: str, feats: list[str],
                                 minInstancesPerNode=max(1, (min_split + 1) // 2), seed=seed,
                                 weightCol="__w" if balanced else None)
     pipe = Pipeline(stages=[idx, VectorAssembler(inputCols=feats, outputCol="__x"), rf]).fit(train)
-    ok = F.col(target).isNull() & _complete(df, feats)
+    ok = F.col(target).isNull()
+    for f in feats:
+        ok = ok & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
     to_predict = df.where(ok)
     pred = pipe.transform(to_predict)
     labels = IndexToString(inputCol="prediction", outputCol="__pred", labels=idx.labels).transform(pred)
@@ -110,7 +104,10 @@ def fill_report(donors: DataFrame, filled: DataFrame, was_missing, target: str,
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from cohortspark.operators.split import assign_folds
-    complete = donors.where(F.col(target).isNotNull() & _complete(donors, feats))
+    complete = donors.where(F.col(target).isNotNull())
+    for f in feats:
+        complete = complete.where(F.col(f).isNotNull())
+    complete = complete.na.drop(subset=feats)       # nor NaN
     idx = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc").fit(complete)
     rows = cut_lineage(VectorAssembler(inputCols=feats, outputCol="__x").transform(idx.transform(assign_folds(complete, key, k, out="__fold")))
                        .select("__x", "__y", "__fold"))

@@ -11,6 +11,7 @@ Labelling runs on the k-row median table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -99,14 +100,18 @@ def fit_kmeans(df: DataFrame, features_col: str, k: int, seeds: list[int], max_i
     return best
 
 
-def k_sweep(df: DataFrame, features_col: str, ks: list[int], seeds: list[int], max_iter: int = 300) -> DataFrame:
-    """CL2: WCSS (training cost) and squared-Euclidean silhouette for each k."""
+def k_sweep(df: DataFrame, features_col: str, ks: list[int], seeds: list[int], max_iter: int = 300, parallelism: int = 3) -> DataFrame:
+    """CL2: WCSS (training cost) and squared-Euclidean silhouette for each k; several k at once, as a Lloyd iteration
+    alone leaves cores idle."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     ev = ClusteringEvaluator(featuresCol=features_col, predictionCol="cluster", distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
+
+    def one(k: int) -> tuple[int, float, float]:
         m = fit_kmeans(df, features_col, k, seeds, max_iter)
-        rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(df)))))
+        return k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(df)))
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        rows = list(pool.map(one, ks))
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 

@@ -15,8 +15,10 @@ The rings prune where vectors form clusters. Where they do not (long random vect
 far from each other), every exact method has to look at every block, and the partial distances still spare most
 full ones. ``visited`` reports both.
 
-A block meets its queries in one row per (block, share of the queries), at most about ``QUERIES`` of them, so no
-task holds more than a block and that many queries. NULL vectors, vectors with NULL or NaN and vectors of
+Blocks are held in shelves, about ``SHELVES`` of them and none of more than ``SHELF`` donors; a shelf has whole cells or a part of a
+large one. Queries are packed by the shelf they go to, at most ``QUERIES`` to a pack, and a pack meets a shelf in one row: a query is sent
+once to a shelf, not once to each of its blocks, so up to ``SHELVES`` x ``SHELF`` donors the rows sent grow as the table does. In the row
+blocks are left out one by one, nearest first, and the k best so far bound the next. NULL vectors, vectors with NULL or NaN and vectors of
 another length than the most frequent one have no neighbours and are none. Ties go by donor id.
 """
 
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +39,9 @@ from cohortspark.session import stored
 MAX_PIVOTS = 256
 SAMPLE = 8_192
 BLOCK = 512
-QUERIES = 256
+QUERIES = 4_096
+SHELVES = 48
+SHELF = 32_768
 MAX_DIMS = 1_024
 
 
@@ -143,48 +148,123 @@ def build_blocks(rows: DataFrame, did: list[str], payload: list[str], dims: int,
                                            "x array<double>"), "vectors-blocks")
 
 
-def _meet(pairs: DataFrame, blocks: DataFrame, qid: list[str], kept: list[str], dims: int, k: int, mean: np.ndarray, axes: np.ndarray,
-          head: int, n_queries: int) -> DataFrame:
-    """The k nearest donors of every (query, block) of ``pairs`` (qid, x, bound, block), stored: qid, d_<kept>, dist; and
-    per (block, share) one row without ids that counts pairs and full comparisons."""
-    query = F.struct(*qid, F.col("x"), F.col("bound"))
-    share = F.pmod(F.xxhash64(*qid), F.lit(max(1, -(-n_queries // QUERIES))))
-    groups = pairs.groupBy("block", share.alias("share")).agg(F.collect_list(query).alias("queries"))
-    met = groups.join(blocks.select("block", "members", F.col("x").alias("donors")), "block").select("queries", "members", "donors")
-    q_fields = [pairs.schema[c] for c in qid]
-    d_fields = {f.name: f.dataType for f in blocks.schema["members"].dataType.elementType.fields}
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in q_fields]
+def put_on_shelves(blocks: DataFrame, held: np.ndarray) -> tuple[DataFrame, list[list[int]]]:
+    """The stored shelves (shelf, blocks) and the shelves of each cell, for cells of ``held`` donors."""
+    size = min(SHELF, max(BLOCK, -(-int(held.sum()) // SHELVES)))
+    shelves: list[list[int]] = []
+    at, free = 0, size
+    for n in held.tolist():
+        if n > size:            # a large cell: shelves of its own, its blocks dealt out by hash
+            at, free = at + (free < size), size
+            parts = -(-n // size)
+            shelves.append(list(range(at, at + parts)))
+            at += parts
+        else:
+            if n > free:
+                at, free = at + 1, size
+            shelves.append([at] if n else [])
+            free -= n
+    first = F.array(*[F.lit(v[0] if v else 0) for v in shelves])
+    parts = F.array(*[F.lit(max(1, len(v))) for v in shelves])
+    shelf = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("block"), F.get(parts, F.col("cell"))).cast("int")
+    block = F.struct("cell", "n", "inner", "outer", "members", "x")
+    return stored(blocks.groupBy(shelf.alias("shelf")).agg(F.collect_list(block).alias("blocks")), "vectors-shelves"), shelves
+
+
+def pack_queries(asked: DataFrame, qid: list[str], dims: int, shelves: list[list[int]], visits) -> DataFrame:
+    """A row per shelf and at most ``QUERIES`` of the queries (qid, x, bound) that visit it: shelf, queries."""
+    on = np.zeros((len(shelves), 1 + max((v[-1] for v in shelves if v), default=0)), dtype=bool)
+    for c, v in enumerate(shelves):
+        on[c, v] = True
+    fields = [f"`{f.name}`: {f.dataType.simpleString()}" for f in asked.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(lo, QUERIES)
+                rows = pa.StructArray.from_arrays(part.columns, part.schema.names)
+                goes = visits(_matrix(part["x"], dims), part["bound"].to_numpy())[0] @ on
+                for shelf in np.flatnonzero(goes.any(axis=0)):
+                    chosen = rows.take(pa.array(np.flatnonzero(goes[:, shelf])))
+                    yield pa.RecordBatch.from_arrays([pa.array([shelf], pa.int32()), pa.ListArray.from_arrays([0, len(chosen)], chosen)],
+                                                     ["shelf", "queries"])
+
+    return asked.mapInArrow(run, f"shelf int, queries array<struct<{', '.join(fields)}>>")
+
+
+def _meet(packs: DataFrame, shelves: DataFrame, qid: list[str], did: list[str], kept: list[str], dims: int, k: int, mean: np.ndarray,
+          axes: np.ndarray, head: int, visits) -> DataFrame:
+    """The k nearest donors of every query on every shelf it visits, stored: qid, d_<kept>, dist; and per (pack, shelf) one row
+    without ids that counts pairs and full comparisons."""
+    met = packs.join(shelves, "shelf").select("queries", "blocks")
+    q_fields = {f.name: f.dataType for f in packs.schema["queries"].dataType.elementType.fields}
+    members = {f.name: f.dataType for f in shelves.schema["blocks"].dataType.elementType.fields}["members"].elementType
+    d_fields = {f.name: f.dataType for f in members.fields}
+    ddl = ", ".join([f"`{c}` {q_fields[c].simpleString()}" for c in qid]
                     + [f"`d_{c}` {d_fields[c].simpleString()}" for c in kept] + ["dist double", "pairs bigint", "compared bigint"])
     names = [*qid, *[f"d_{c}" for c in kept], "dist", "pairs", "compared"]
 
+    def best(a: np.ndarray, dist: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the k best of each query (ties: the least donor id), and the distance of the kth."""
+        order = np.lexsort((place, dist, a))
+        a = a[order]
+        nth = np.arange(len(a)) - np.searchsorted(a, np.arange(n))[a]
+        at_k = np.full(n, np.inf)
+        at_k[a[nth == k - 1]] = dist[order[nth == k - 1]]
+        return order[nth < k], at_k
+
+    def distances(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the pairs (q[a], x[b]), a bounded number at a time."""
+        step = 1 << 16
+        return np.concatenate([np.empty(0), *[np.sqrt(((q[a[i:i + step]] - x[b[i:i + step]]) ** 2).sum(axis=1)) for i in range(0, len(a), step)]])
+
+    def one(queries: pa.StructArray, blocks: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        q = _matrix(queries.field("x"), dims)
+        bound = queries.field("bound").to_numpy()
+        cells, inner, outer = (blocks.field(c).to_numpy() for c in ("cell", "inner", "outer"))
+        allowed, far, slacks = visits(q, bound)
+        zq = (q - mean) @ axes
+        q_tail, q_size = np.sqrt((zq[:, head:] ** 2).sum(axis=1)), (zq**2).sum(axis=1)
+        q_low = (zq[:, :head] ** 2).sum(axis=1)
+        at, dist = np.empty(0, np.int64), np.empty(0)
+        lists = [blocks.field("members")[i].values for i in range(len(blocks))]
+        starts = np.cumsum([0, *[len(m) for m in lists]])
+        donors = pa.concat_arrays(lists)
+        ids = pa.Table.from_arrays([donors.field(c) for c in did], did)
+        place = np.empty(len(donors), np.int64)         # of each donor in the order of the ids
+        place[pc.sort_indices(ids, sort_keys=[(c, "ascending") for c in did], null_placement="at_start").to_numpy()] = np.arange(len(donors))
+        found, pairs, compared = np.empty(0, np.int64), 0, 0
+        limit = bound.copy()
+        for i in np.argsort(far[:, cells].mean(axis=0), kind="stable"):
+            x = blocks.field("x")[int(i)].values.to_numpy().reshape(-1, dims)
+            d, slack = far[:, cells[i]], slacks[:, cells[i]]
+            sel = np.flatnonzero(allowed[:, cells[i]] & (d - outer[i] - slack <= limit) & (inner[i] - d - slack <= limit))
+            if not len(sel):
+                continue
+            zx = (x - mean) @ axes
+            tail = q_tail[sel][:, None] - np.sqrt((zx[:, head:] ** 2).sum(axis=1))
+            size = q_size[sel][:, None] + (zx**2).sum(axis=1)
+            low = q_low[sel][:, None] + (zx[:, :head] ** 2).sum(axis=1) - 2 * zq[sel, :head] @ zx[:, :head].T + tail**2
+            a, b = np.nonzero(low - 1e-9 * size <= (limit[sel] ** 2)[:, None])
+            pairs, compared = pairs + len(sel) * len(x), compared + len(a)
+            a = sel[a]
+            at = np.concatenate([at, a])
+            dist = np.concatenate([dist, distances(q, x, a, b)])
+            found = np.concatenate([found, starts[i] + b])
+            keep, at_k = best(at, dist, place[found], len(q))
+            at, dist, found = at[keep], dist[keep], found[keep]
+            limit = np.minimum(bound, at_k)
+        if len(at):
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[queries.field(c).take(pa.array(at)) for c in qid],
+                                              *[donors.field(c).take(pa.array(found)) for c in kept], pa.array(dist), none, none], names)
+        counted = [pa.nulls(1, queries.field(c).type) for c in qid] + [pa.nulls(1, lists[0].field(c).type) for c in kept]
+        yield pa.RecordBatch.from_arrays([*counted, pa.nulls(1, pa.float64()), pa.array([pairs]), pa.array([compared])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                queries, members = batch["queries"][i].values, batch["members"][i].values
-                q, x = _matrix(queries.field("x"), dims), batch["donors"][i].values.to_numpy().reshape(-1, dims)
-                bound = queries.field("bound").to_numpy()
-                zq, zx = (q - mean) @ axes, (x - mean) @ axes
-                tail = np.sqrt((zq[:, head:] ** 2).sum(axis=1))[:, None] - np.sqrt((zx[:, head:] ** 2).sum(axis=1))
-                size = (zq**2).sum(axis=1)[:, None] + (zx**2).sum(axis=1)
-                first, second = zq[:, :head], zx[:, :head]
-                low = (first**2).sum(axis=1)[:, None] + (second**2).sum(axis=1) - 2 * first @ second.T + tail**2
-                a, b = np.nonzero(low - 1e-9 * size <= (bound * bound)[:, None])
-                dist = np.sqrt(((q[a] - x[b]) ** 2).sum(axis=1))
-                # the k best of each query; its (k+1)th could tie with the kth, so equal distances stay
-                order = np.lexsort((dist, a))
-                a, b, dist = a[order], b[order], dist[order]
-                start = np.searchsorted(a, np.arange(len(q)))
-                nth = np.arange(len(a)) - start[a] if len(a) else np.empty(0, int)
-                at_k = np.full(len(q), np.inf)
-                at_k[a[nth == k - 1]] = dist[nth == k - 1]
-                keep = dist <= at_k[a] if len(a) else np.empty(0, bool)
-                a, b, dist = a[keep], b[keep], dist[keep]
-                cols = [queries.field(c).take(pa.array(a)) for c in qid] + [members.field(c).take(pa.array(b)) for c in kept]
-                none = pa.nulls(len(a), pa.int64())
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(dist), none, none], names)
-                counted = [pa.nulls(1, c.type) for c in cols]
-                yield pa.RecordBatch.from_arrays([*counted, pa.nulls(1, pa.float64()), pa.array([len(q) * len(x)]), pa.array([len(order)])], names)
+                yield from one(batch["queries"][i].values, batch["blocks"][i].values)
 
     return stored(met.mapInArrow(run, ddl), "vectors-met")
 
@@ -209,43 +289,38 @@ def vector_knn(queries: DataFrame, donors: DataFrame, qid: list[str], did: list[
     held = np.array([cells[j]["n"] if j in cells else 0 for j in range(len(pivots))])
     inner = np.array([cells[j]["inner"] if j in cells else np.inf for j in range(len(pivots))])
     outer = np.array([cells[j]["outer"] if j in cells else -np.inf for j in range(len(pivots))])
-    ask_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
-
-    def route(nearest: bool):
-        """Rows (query, bound, cell, far: its distance to the pivot) of the cells that a query has to visit: the nearest
-        ones with k donors, or all whose rings come within its bound."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                d = _distances(_matrix(batch["x"], dims), pivots)
-                if nearest:
-                    order = np.argsort(d, axis=1, kind="stable")
-                    before = np.cumsum(held[order], axis=1) - held[order]
-                    a, at = np.nonzero((before < k) & (held[order] > 0))
-                    cell, bound = order[a, at], np.full(len(a), np.inf)
-                else:
-                    limit = batch["bound"].to_numpy()
-                    slack = 1e-9 * (d + 1)
-                    a, cell = np.nonzero((d - outer - slack <= limit[:, None]) & (inner - d - slack <= limit[:, None]))
-                    bound = limit[a]
-                part = batch.take(pa.array(a))
-                base = [part[c] for c in [*qid, "x"]]
-                yield pa.RecordBatch.from_arrays([*base, pa.array(bound), pa.array(cell.astype(np.int32)), pa.array(d[a, cell])],
-                                                 [*qid, "x", "bound", "cell", "far"])
+    shelves, places = put_on_shelves(blocks, held)
+
+    pivot_size = np.sqrt((pivots**2).sum(axis=1)) + np.maximum(outer, 0)
+
+    def visits(nearest: bool):
+        """Which cells each query has to visit, its distance to their pivots, and the slack of that: the nearest ones with
+        k donors, or all whose rings come within its bound. ``_distances`` takes squares from each other, so a short
+        distance between long vectors is known to some 1e-8 of their length, and differs by batch."""
+        def run(x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = _distances(x, pivots)
+            slack = 1e-9 * (d + 1) + 2e-7 * (np.sqrt((x**2).sum(axis=1))[:, None] + pivot_size)
+            if nearest:
+                order = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(held[order], axis=1) - held[order]
+                go = np.zeros(d.shape, dtype=bool)
+                np.put_along_axis(go, order, (before < k) & (held[order] > 0), axis=1)
+                return go, d, slack
+            return (d - outer - slack <= bound[:, None]) & (inner - d - slack <= bound[:, None]), d, slack
         return run
 
-    out_ddl = ask_ddl + ", bound double, cell int, far double"
-    rings = blocks.select("block", "cell", "inner", "outer")
-    first = asked.mapInArrow(route(True), out_ddl).join(rings, "cell").select(*qid, "x", "bound", "block")
+    def meet(rows: DataFrame, nearest: bool) -> DataFrame:
+        which = visits(nearest)
+        packs = pack_queries(rows.select(*qid, "x", "bound"), qid, dims, places, which)
+        return _meet(packs, shelves, qid, did, kept, dims, k, mean, axes, round(head * dims), which)
+
+    found = meet(asked.withColumn("bound", F.lit(float("inf"))), True)
     mine = Window.partitionBy(*qid)
     rank = F.row_number().over(mine.orderBy("dist", *[F.col(f"d_{c}") for c in did]))
-    found = _meet(first, blocks, qid, kept, dims, k, mean, axes, round(head * dims), n_queries)
     best = found.where("dist IS NOT NULL").withColumn("nn_rank", rank).where(F.col("nn_rank") <= k)
     reach = best.groupBy(*qid).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
     bounded = stored(asked.join(reach, qid), "vectors-bounded")
-    slack = 1e-9 * (F.col("far") + 1)
-    second = bounded.mapInArrow(route(False), out_ddl).join(rings, "cell").where(
-        (F.col("far") - F.col("outer") - slack <= F.col("bound")) & (F.col("inner") - F.col("far") - slack <= F.col("bound")))
-    final = _meet(second.select(*qid, "x", "bound", "block"), blocks, qid, kept, dims, k, mean, axes, round(head * dims), n_queries)
+    final = meet(bounded, False)
     if visited is not None:
         sums = final.agg(F.sum("pairs").alias("p"), F.sum("compared").alias("c")).first()
         visited.update(all_pairs=n_queries * n, pairs=sums["p"] or 0, compared=sums["c"] or 0)

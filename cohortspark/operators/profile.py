@@ -103,10 +103,16 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """AG6: distinct non-NULL values per column (exact; distributed distinct aggregation)."""
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_distinct(F.col(c)).alias(c) for c in cols])
-    return (wide.unpivot(["__n"], cols, "column_name", "n_distinct")
-            .select("column_name", "n_distinct", (F.col("n_distinct") == F.col("__n")).alias("is_unique")))
+    """AG6: distinct non-NULL values per column (exact). Every column is its own distinct aggregation over a scan of that
+    column alone: several ``count_distinct`` in one aggregation would copy each row once per column, with all columns as key."""
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    out = None
+    for c in cols:
+        # the values of one column are distinct after the grouping, so their number is a plain count
+        one = df.select(F.col(c).alias("__v")).groupBy("__v").agg(F.lit(1).alias("__one")).agg(
+            F.lit(c).alias("column_name"), F.count("__v").alias("n_distinct"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(total).select("column_name", "n_distinct", (F.col("n_distinct") == F.col("__n")).alias("is_unique"))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cohortspark.llm.common import groups_of, map_batches, mix64, stored, text_bytes
+from cohortspark.llm.common import groups_of, map_batches, mix64, small_batches, stored, text_bytes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 BUCKET_BLOCK = 1024
+BATCH_ROWS = 1024
 SKETCH_BITS, SKETCH_LIMIT = 128, 36
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 # regions along the rank axis at unit weight: widths 1/8, 1/4, ... 8, then 8 each
@@ -292,7 +293,8 @@ def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, node, root (the node that names its class), class_id and class_size."""
     docs = df.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    sig = stored(signature_table(docs, "id", "text", bands, rows), "dart-signatures")
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        sig = stored(signature_table(docs, "id", "text", bands, rows), "dart-signatures")
     nodes = stored(sig.groupBy("node").agg(
         F.min("id").alias("low"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("s1").alias("s1"),
         F.first("s2").alias("s2"), F.first("bands").alias("bands")), "dart-nodes")
@@ -314,7 +316,8 @@ def classes_of_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # texts of nodes in shared buckets, as unit sets; any row of a node will do
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("low").alias("want"))
     fetched = docs.join(wanted.distinct(), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    units = stored(unit_table(fetched).dropDuplicates(["node"]), "dart-units")
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        units = stored(unit_table(fetched).dropDuplicates(["node"]), "dart-units")
     links = stored(verified(first, units, similarity), "dart-links")
     root = components(links, "dart-components")
 
